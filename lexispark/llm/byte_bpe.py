@@ -141,7 +141,9 @@ def encode_udf(path: str, with_ids: bool):
                 digest = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column])
                 columns = [batch.column("doc_id"), pa.array(total[ends[1:]] - total[ends[:-1]])]
                 if with_ids:
-                    columns += [pa.array([[int(i) for i in x.as_py().split()] for x in id_texts], pa.list_(pa.int32())), texts.cast(pa.string())]
+                    per_word = pc.split_pattern(pa.array(ids, pa.binary()).cast(pa.string()), " ").cast(pa.list_(pa.int32()))
+                    starts = total[ends].astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(starts), per_word.take(coded.indices).flatten()), texts.cast(pa.string())]
                 else:
                     columns += [digest(id_texts), digest(texts)]
                 names = ["doc_id", "n_tokens", *(["ids", "decoded"] if with_ids else ["ids_sha256", "decoded_sha256"])]

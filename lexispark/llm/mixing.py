@@ -51,14 +51,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def row_key() -> Column:
+    """A 64-bit name of a row, which rows equal in doc_id, source and text share."""
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix", quality=lexical_quality) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, size, source_size, target, taken (words) and copies (times taken).
+    """docs (doc_id, text, source) -> doc_id, source, row_key, size, source_size, target, taken (words) and copies (times taken).
 
     quality maps the column of a text's words to a positive weight."""
     found = words(F.col("text"))
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.col("doc_id"), F.col("source"), found.alias("_words"), digest.alias("_digest"))
-    rows = rows.select("doc_id", "source", F.size("_words").cast("bigint").alias("size"), (-F.log(uniform(F.col("doc_id"), F.col("_digest"), seed=seed)) / quality(F.col("_words"))).alias("_key"), F.substring("_digest", 1, 8).alias("_tie"))
+    rows = docs.select(F.col("doc_id"), F.col("source"), row_key().alias("row_key"), found.alias("_words"), digest.alias("_digest"))
+    rows = rows.select("doc_id", "source", "row_key", F.size("_words").cast("bigint").alias("size"), (-F.log(uniform(F.col("doc_id"), F.col("_digest"), seed=seed)) / quality(F.col("_words"))).alias("_key"), F.substring("_digest", 1, 8).alias("_tie"))
     rows = rows.withColumn("_bucket", F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS).cast("int"))
     rows = written(rows, "mix-rows")
 
@@ -83,4 +88,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     reached = F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2
     at_end = at_end.withColumn("_extra", (reached <= F.col("_rest")).cast("bigint"))
     copies = F.col("_epochs") + F.col("_extra")
-    return sure.unionByName(at_end).select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return sure.unionByName(at_end).select("doc_id", "source", "row_key", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document of docs as often as it is taken, with all columns of docs. Equal rows are taken together."""
+    columns = docs.columns
+    taken = mix(docs, **options).groupBy(F.col("row_key").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn("_row", row_key()).dropDuplicates(["_row"]).join(taken, F.col("_row") == F.col("_key"))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)

@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def count_udf(path: str):
                 per_piece = piece_counts(coded.dictionary, path)
                 tokens = per_piece[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
                 total = np.append(0, np.cumsum(tokens))
-                ends = np.cumsum(np.append(0, pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+                ends = np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
                 n = total[ends[1:]] - total[ends[:-1]] + batch.column("_special").to_numpy()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n.astype(np.int64))], names=["doc_id", "n_bytes", "n_tokens"])
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.shared import written
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
@@ -145,17 +147,25 @@ def rejection_levels(candidates: DataFrame) -> dict[int, int]:
     return out
 
 
+def row_name() -> Column:
+    """A 64-bit name of a row, which rows equal in doc_id and text share."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with text -> their columns and base, spans: arrays of (start, kind, end), kind a place in KINDS, in order."""
-    rows = base_spans(docs.withColumn("_rid", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
-    # candidates are few: they go alone through the battery, keyed by a hash of the row, which equal rows share
-    each = tested(rows.select("_rid", "maybe"), ["_rid"]).dropDuplicates(["_rid", "start"])
+    """docs (doc_id, text) -> doc_id, row_name and base, spans: arrays of (start, kind, end), kind a place in KINDS, in order.
+
+    Texts are read once; what is written and joined are spans and candidates. Candidates go through the battery once for
+    equal rows."""
+    rows = base_spans(docs.select("doc_id", "text", row_name().alias("row_name")))
+    rows = written(rows.select("doc_id", "row_name", "base", "maybe"), "candidates")
+    each = written(tested(rows.where(F.size("maybe") > 0), ["row_name"]).dropDuplicates(["row_name", "start"]), "battery")
     limits = rejection_levels(each)
     limit = F.element_at(F.array(*[F.lit(limits[b]) for b in range(len(BANDS))]), F.col("band") + 1)
-    random = each.where(F.col("level") > limit).groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end"))).alias("_random"))
-    rows = rows.drop("maybe").join(random.withColumnRenamed("_rid", "_r"), F.col("_rid") == F.col("_r"), "left")
+    random = each.where(F.col("level") > limit).groupBy(F.col("row_name").alias("_r")).agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")).alias("_random"))
+    rows = rows.join(random, F.col("row_name") == F.col("_r"), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("_random", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return rows.withColumn("spans", spans).drop("_r", "_rid", "_random", "_text")
+    return rows.select("doc_id", "row_name", "base", spans.alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
@@ -165,7 +175,7 @@ def as_text(spans: Column) -> Column:
 
 def scan_digests(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    rows = scan(docs.select("doc_id", "text"))
+    rows = scan(docs)
     count = lambda column, kind: F.size(F.filter(column, lambda s: s["kind"] == kind)).cast("bigint")
     return rows.select("doc_id", *[count("base", i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])], F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), count("spans", 3).alias("n_random"))
 
@@ -173,9 +183,10 @@ def scan_digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each span, overlapping ones as one, replaced by mark."""
     columns = docs.columns
-    rows = scan(docs)
-    text = F.coalesce("text", F.lit(""))
-    rows = rows.withColumn("_t", text)
+    spans = scan(docs).where(F.size("spans") > 0).groupBy(F.col("row_name").alias("_r")).agg(F.first("spans").alias("_spans"))
+    spans = written(spans, "spans")
+    rows = docs.withColumn("_row", row_name()).join(spans, F.col("_row") == F.col("_r"), "left")
+    rows = rows.withColumn("_t", F.coalesce("text", F.lit("")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -183,8 +194,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    cleaned = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_t"), acc["at"] + 1, F.length("_t"))))
-    rows = rows.withColumn("text", F.when(F.size("spans") > 0, cleaned).otherwise(F.col("text")))
+    cleaned = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_t"), acc["at"] + 1, F.length("_t"))))
+    rows = rows.withColumn("text", F.when(F.col("_spans").isNotNull(), cleaned).otherwise(F.col("text")))
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return rows.select(*columns)

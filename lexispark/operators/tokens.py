@@ -74,19 +74,25 @@ def compound_merge(morphemes: DataFrame) -> DataFrame:
 def token_offsets(content: DataFrame, tokens: DataFrame) -> DataFrame:
     """Start and end of each token in its text, searched forward from the end of the one before; tokens not found go.
 
-    One text's tokens meet in one row, as the search is sequential within a text."""
+    The search is sequential within a text, so a text's tokens meet in one row and Arrow batches of such rows are searched."""
     lists = tokens.groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct("pos", "surface"))).alias("_t"))
     rows = content.select("content_id", "text").join(lists, "content_id")
-    empty = F.array().cast("array<struct<pos:int,surface:string,start_idx:int,end_idx:int>>")
+    rows = rows.select("content_id", "text", F.transform("_t", lambda t: t["pos"]).alias("pos"), F.transform("_t", lambda t: t["surface"]).alias("surface"))
 
-    def step(acc: Column, t: Column) -> Column:
-        at = F.call_function("locate", t["surface"], F.col("text"), acc["at"])
-        end = at - 1 + F.length(t["surface"])
-        hit = F.struct(t["pos"].alias("pos"), t["surface"].alias("surface"), (at - 1).alias("start_idx"), end.alias("end_idx"))
-        return F.when(at > 0, F.struct((end + 1).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))).otherwise(acc)
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for content_id, text, places, surfaces in frame.itertuples(index=False, name=None):
+                at = 0
+                for pos, surface in zip(places, surfaces, strict=True):
+                    start = text.find(surface, at)
+                    if start >= 0:
+                        at = start + len(surface)
+                        found.append((content_id, pos, surface, start, at))
+            yield pd.DataFrame(found, columns=["content_id", "pos", "surface", "start_idx", "end_idx"])
 
-    found = F.aggregate("_t", F.struct(F.lit(1).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return rows.select("content_id", F.explode(found).alias("_f")).select("content_id", "_f.*")
+    kind = dict(content.dtypes)["content_id"]
+    return rows.mapInPandas(search, f"content_id {kind}, pos int, surface string, start_idx int, end_idx int")
 
 
 def content_lines(content: DataFrame) -> DataFrame:

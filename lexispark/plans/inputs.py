@@ -85,8 +85,13 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.with_srs(vocab(spark, sf_dir), srs(spark), LATIN)
 
 
-def status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.content_status(content(spark, sf_dir), staged(spark, sf_dir), known_words(spark, sf_dir))
+def advanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known words of an advanced learner: those of conversations and all that the lexicon has seen twice."""
+    return C.known_union(known_words(spark, sf_dir), lexicon(spark, sf_dir).where("n >= 2").select(F.col("written").alias("word")))
+
+
+def status(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    return V.content_status(content(spark, sf_dir), staged(spark, sf_dir), known_words(spark, sf_dir) if known is None else known)
 
 
 def by_type(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -151,7 +156,10 @@ CTE = {
       FROM (SELECT *, (word IN (SELECT word FROM known) OR coalesce(stage >= 7, false)) kn FROM staged) GROUP BY content_id) USING (content_id)""",
     "looked": "SELECT c.*, (EXISTS (SELECT 1 FROM lexicon l WHERE l.written = c.word) OR EXISTS (SELECT 1 FROM lexicon l WHERE l.pronounced = c.word) OR EXISTS (SELECT 1 FROM lexicon l WHERE l.written = c.base_form) OR EXISTS (SELECT 1 FROM lexicon l WHERE l.pronounced = c.base_form)) AS found FROM counts c",
 }
+CTE["known_adv"] = "SELECT word FROM known UNION SELECT written FROM lexicon WHERE n >= 2"
+CTE["status_adv"] = CTE["status"].replace("FROM known)", "FROM known_adv)")
 NEEDS = {
+    "known_adv": ["known", "lexicon"], "status_adv": ["content", "staged", "known_adv"],
     "relations": ["content"], "tokens": ["content"], "lexicon": ["tokens"], "counts": ["tokens"], "words": ["counts"], "chars": ["words"],
     "profile": ["words", "chars", "char_meta"], "best_surface": ["words", "lexicon"], "best_base": ["words", "lexicon"],
     "scored": ["words", "best_surface", "best_base", "profile"], "vocab": ["counts", "scored", "tokens", "morphemes"],

@@ -179,4 +179,6 @@ def sql(body: str, *needs: str) -> str:
 
     for n in needs:
         add(n)
+    if not wanted:
+        return body
     return "WITH " + ",\n".join(f"{k} AS MATERIALIZED ({CTE[k]})" for k in CTE if k in wanted) + "\n" + body

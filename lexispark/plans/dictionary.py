@@ -93,19 +93,21 @@ def dict_best_entry(spark, d):
     return L.dict_best_entry(e.select(F.col("pronounced").alias("word"), "entry_id", F.col("entry_pos").alias("pos"), (F.col("written") == F.col("pronounced")).alias("exact"), "n_kanji", "n_senses"))
 
 
-GLOSSES = F.array(F.concat(F.when(F.col("n") % 4 == 0, "rare ").when(F.col("n") % 4 == 1, "auxiliary ").otherwise(""), F.col("written")))
+def one_gloss():
+    """A sense of one gloss: rare, auxiliary or plain by the word's count."""
+    return F.array(F.concat(F.when(F.col("n") % 4 == 0, "rare ").when(F.col("n") % 4 == 1, "auxiliary ").otherwise(""), F.col("written")))
 
 
 @query("sense_commonness", sql("SELECT entry_id, CASE WHEN n % 5 = 0 THEN 5 ELSE 0 END - CASE WHEN len(list_filter(['esp.', 'rare', 'archaic', 'obsolete', 'old', 'dated', 'specialized'], lambda t: contains(g, t))) > 0 THEN 10 ELSE 0 END + CASE WHEN contains(g, 'copula') OR contains(g, 'auxiliary') THEN 3 ELSE 0 END AS commonness FROM (SELECT *, CASE n % 4 WHEN 0 THEN 'rare ' WHEN 1 THEN 'auxiliary ' ELSE '' END || written AS g FROM lexicon)", "lexicon"))
 def sense_commonness(spark, d):
-    glosses = F.when(F.col("n") % 5 == 0, F.concat(GLOSSES, F.array(F.lit("more")))).otherwise(GLOSSES)
+    glosses = F.when(F.col("n") % 5 == 0, F.concat(one_gloss(), F.array(F.lit("more")))).otherwise(one_gloss())
     return I.lexicon(spark, d).select("entry_id", S.sense_commonness(glosses).alias("commonness"))
 
 
 @query("dict_meanings", sql("SELECT entry_id, CASE n % 4 WHEN 0 THEN 'plain ' || written || '; rare ' || written WHEN 1 THEN 'auxiliary ' || written || '; plain ' || written ELSE written || '; plain ' || written END AS meanings FROM lexicon WHERE NOT regexp_matches(written, 'old|rare|esp|dated|copula')", "lexicon"))
 def dict_meanings(spark, d):
     rows = I.lexicon(spark, d).where(~F.col("written").rlike("old|rare|esp|dated|copula"))
-    return rows.select("entry_id", F.array_join(S.dict_meanings(F.array(GLOSSES, F.array(F.concat(F.lit("plain "), "written")))), "; ").alias("meanings"))
+    return rows.select("entry_id", F.array_join(S.dict_meanings(F.array(one_gloss(), F.array(F.concat(F.lit("plain "), "written")))), "; ").alias("meanings"))
 
 
 @query("first_entry_meaning", sql(f"SELECT word, gloss AS meaning FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY CASE WHEN regexp_matches(word, '^[a-z]+$') AND (regexp_matches(written, '^[a-z]+$') OR pronounced = word) THEN 0 ELSE 1 END, entry_pos, entry_id) rn FROM {MATCH}) WHERE rn = 1", "words", "lexicon"))

@@ -1,0 +1,368 @@
+"""Each operator against brute force or the library that it stands for, on documents that hold the hard cases."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from lexispark.llm import byte_bpe, fingerprints, jaccard_join, lm_katz, mixing, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard string, _row string"
+RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
+
+
+def rows():
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)] + ["é", "straße", "日本", "😀", "the", "a|b", "x#"]
+    texts = [None, "", " \n\t ", "one", "one two", "One  two", "a" * 300, "le mot " * 40, "x<|endoftext|>y\x85z　w it's WE'LL 12٣½", "word\nline a\nline a\n\nline a"]
+    for size in (9, 12, 25, 60, 120, 400):
+        base = [r.choice(vocabulary) for _ in range(size)]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            edited = list(base)
+            for _ in range(r.randint(0, max(1, size // 40))):
+                edited[r.randrange(size)] = r.choice(vocabulary)
+            texts.append(" ".join(edited))
+    texts += [texts[-1]] * 3 + [" ".join(r.choice(vocabulary) for _ in range(20_000))]
+    out = [(i, t, [None, "en", "fr"][i % 3], [None, "s1", "s2", "s3"][i % 4 if i % 5 else 1], None, "clash", "clash") for i, t in enumerate(texts)]
+    return out + [(5, "one  two again", "en", "s1", 3, "x", "y"), (None, "no id", None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def pairs(df, *columns):
+    return sorted(((r.doc_id, *[r[c] for c in columns]) for r in df.collect()), key=str)
+
+
+def test_byte_bpe(docs, empty):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in rows():
+        ids = encoding.encode_ordinary(r[1] or "")
+        want.append((r[0], len(ids), sha(" ".join(map(str, ids)).encode()), sha((r[1] or "").encode())))
+    assert pairs(byte_bpe.encode_digests(docs, RANKS, P.PATTERN), "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=str)
+    for r in byte_bpe.encode_texts(docs.where("doc_id < 12"), RANKS, P.PATTERN).collect():
+        assert encoding.decode(r.ids) == r.decoded and len(r.ids) == r.n_tokens
+    assert byte_bpe.encode_digests(empty, RANKS, P.PATTERN).count() == 0
+
+
+def test_token_counts(docs, empty):
+    tokenizer = Tokenizer.from_file(JSON)
+    want = []
+    for r in rows():
+        n = len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)
+        want.append((r[0], len((r[1] or "").encode()), n, n > 1024))
+    assert pairs(token_counts.token_counts(docs, JSON, P.PATTERN), "n_bytes", "n_tokens", "over_limit") == sorted(want, key=str)
+    assert token_counts.token_counts(empty, JSON, P.PATTERN).count() == 0
+
+
+def longest_repeats(words):
+    n, out = len(words), [0] * len(words)
+    for i in range(n):
+        for j in range(i + 1, n):
+            if words[i] == words[j]:
+                k = 0
+                while j + k < n and words[i + k] == words[j + k]:
+                    k += 1
+                out[i], out[j] = max(out[i], k), max(out[j], k)
+    return out
+
+
+def test_quality_rules(docs, empty):
+    got = {(r.doc_id, r.n_words): r for r in quality_rules.quality_rules(docs).collect()}
+    for doc_id, text, *_ in rows():
+        words = (text or "").encode().split()
+        if len(words) > 500:
+            continue
+        r, repeats = got[(doc_id, len(words))], longest_repeats(words)
+        again = {q for p, k in enumerate(repeats) if k >= 8 for q in range(p, p + 8)}
+        covered = {q for p, k in enumerate(repeats) if k >= 5 for q in range(p, p + k)}
+        lines = [x for x in (text or "").split("\n") if x.encode().split()]
+        assert (r.n_repeat_words, r.n_covered_words, r.longest_repeat) == (len(again), len(covered), max(repeats, default=0))
+        assert (r.word_chars, r.n_symbols, r.n_dup_lines) == (sum(len(w.decode()) for w in words), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(words) < 20 or 100 * len(again) > 30 * len(words))
+        assert not (r.kept and r.base_failed)
+    assert quality_rules.quality_rules(empty).count() == 0
+
+
+def linked(texts, n, percent):
+    sets = {}
+    for i, t in texts:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_join(docs, n, percent):
+    texts = [(r[0], r[1]) for r in rows() if r[0] is not None and r[5] == "clash"]
+    one = docs.where("doc_id IS NOT NULL AND shard = 'clash'")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(one, n, percent).collect()}
+    assert got == linked(texts, n, percent)
+
+
+def test_jaccard_join_hard_rows(docs, empty):
+    assert jaccard_join.jaccard_components(docs).count() == len(rows())
+    assert jaccard_join.jaccard_components(empty).count() == 0
+    assert jaccard_join.representatives(docs).where("doc_id IS NULL").count() == 1
+
+
+def test_jaccard_blocks_of_a_large_cluster(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    r = random.Random(7)
+    base = [f"v{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.randint(0, 6)):
+            words[r.randrange(120)] = f"n{r.randrange(1000)}"
+        texts.append((i, " ".join(words)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()} == linked(texts, 3, 90)
+
+
+def test_pigeonhole_loses_no_pair():
+    r = np.random.default_rng(5)
+    for size in (10, 11, 19, 40, 150, 600):
+        for percent in (80, 90):
+            for _ in range(20):
+                a = r.choice(1 << 62, size, replace=False).astype(np.uint64)
+                most = (100 - percent) * 2 * size // (100 + percent)
+                keep = size - r.integers(0, most // 2 + 1)
+                b = np.sort(np.concatenate([a[:keep], r.choice(1 << 62, max(0, most // 2 - (size - keep)), replace=False).astype(np.uint64)]))
+                common = len(np.intersect1d(a, b))
+                if 100 * common < percent * (len(a) + len(b) - common):
+                    continue
+                edges = jaccard_join.band_edges(percent, 2000)
+                low, high = sorted((np.sort(a), b), key=len)
+                band = np.searchsorted(edges, len(high), side="right") - 1
+                sigs = [set(jaccard_join.band_signatures(x, np.zeros(len(x), int), np.array([band]), np.array([edges[band + 1] - 1]), percent)[0]) for x in (low, high)]
+                assert sigs[0] & sigs[1] or len(np.setxor1d(a, b)) == 0
+
+
+def test_katz(docs, empty):
+    got = {(r.doc_id, r.n_tokens): r for r in lm_katz.katz_scores(docs).collect()}
+    texts = [(r[0], (r[1] or "").encode().lower().split() + [None]) for r in rows()]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    one, two = collections.Counter(), collections.Counter()
+    for i, w in texts:
+        if not held(i):
+            one.update(w)
+            two.update(zip(["start", *w[:-1]], w, strict=True))
+    total, distinct = sum(one.values()), len(one)
+    of = lambda c: [sum(c.values()), len(c), *[collections.Counter(c.values())[r] for r in range(1, lm_katz.K + 2)]]
+    d1, d2 = lm_katz.discounts(of(one)), lm_katz.discounts(of(two))
+    kept = lambda c, d: d[c] * c if c <= lm_katz.K else c - lm_katz.TAIL
+    unseen = 1 - sum(kept(c, d1) for c in one.values()) / total
+    lower = lambda w: kept(one[w], d1) / total if one[w] else unseen
+    context = dict(one) | {"start": one[None]}
+    seen, mass = collections.defaultdict(float), collections.defaultdict(float)
+    for (a, w), c in two.items():
+        seen[a] += kept(c, d2) / context[a]
+        mass[a] += lower(w)
+
+    def p(a, w):
+        if two[(a, w)]:
+            return kept(two[(a, w)], d2) / context[a]
+        return lower(w) * ((1 - seen[a]) / (1 - mass[a]) if context.get(a) else 1)
+
+    for a in list(seen)[:5]:
+        assert math.isclose(sum(p(a, w) for w in one) + p(a, "never seen"), 1, rel_tol=1e-9)
+    for i, w in texts:
+        r = got[(i, len(w))]
+        base = sum(math.log10((one[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w)
+        score = sum(math.log10(p(a, x)) for a, x in zip(["start", *w[:-1]], w, strict=True))
+        assert (r.held_out, r.n_known, r.train_tokens) == (held(i), sum(one[x] > 0 for x in w), total)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
+    assert lm_katz.katz_scores(empty).count() == 0
+
+
+def test_discounts_lie_between_0_and_1():
+    for counts in ([0] * 6, [10, 8, 9, 1, 0, 3], [1000, 300, 120, 70, 40, 30], [5, 50, 500, 5, 5, 5]):
+        d = lm_katz.discounts([0, 0, *counts])
+        assert ((d[1:] > 0) & (d[1:] < 1)).all()
+
+
+def generalised_jaccard(a, b):
+    x, y = collections.Counter(a.encode().split()), collections.Counter(b.encode().split())
+    return sum((x & y).values()) / max(1, sum((x | y).values()))
+
+
+def test_fingerprints(docs, empty):
+    one = docs.where("doc_id IS NOT NULL AND shard = 'clash'")
+    texts = [(r[0], r[1] or "") for r in rows() if r[0] is not None and r[5] == "clash"]
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(one).collect()}
+    errors, by_text = [], {}
+    for (i, text), (_, after) in zip(texts, texts[1:] + texts[:1], strict=True):
+        r, k = got[i], len(text) // 4
+        edited = text[: len(text) - k] + after[:k]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
+        if text.split():
+            errors += [r.near_edited - generalised_jaccard(text, edited), r.near_next - generalised_jaccard(text, after)]
+    assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < 0.5
+    assert fingerprints.edited_fingerprints(empty).count() == 0
+    assert fingerprints.edited_fingerprints(docs).count() == len(rows())
+    alone = fingerprints.edited_fingerprints(docs.where("doc_id = 12")).first()
+    assert alone.near_next == 1.0
+
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def test_secret_scan(spark, docs, empty):
+    secrets = [
+        (100, "secret: token: abcdefghijk PASSWORD=\"x1234567890\" AKIA" + "A1" * 8 + " é" + "ab12" * 9 + " api_key=short sk-9fJ2kLm4Qx7Rt1Vb8Zw3 x"),
+        (101, "token=token=abcdefghij Token = \"zzzzzzzz"),
+        (102, "thethethethethethe12thethethe is no secret"),
+        (103, None),
+        (103, None),
+    ]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(secrets, "doc_id bigint, text string"))
+    texts = [(r[0], r[1] or "") for r in rows()] + [(i, t or "") for i, t in secrets]
+    want = []
+    for i, s in texts:
+        assign = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(s) if len(m[2]) >= 8]
+        access = [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", s) if len(m[0]) >= 16]
+        hexes = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", s) if len(m[0]) >= 32]
+        joined = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(assign + access + hexes))
+        want.append((i, len(assign), len(access), len(hexes), hashlib.sha256(joined.encode()).hexdigest()))
+    got = secret_scan.scan_digests(df)
+    assert pairs(got, "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=str)
+    random_spans = {r.doc_id: r.spans for r in got.where("n_random > 0").collect()}
+    start = secrets[0][1].index("sk-9f")
+    assert f"random:{start}:{start + 23}" in random_spans[100] and 102 not in random_spans
+    assert secret_scan.scan_digests(empty).count() == 0
+
+
+def test_redaction_leaves_no_span(spark):
+    df = spark.createDataFrame([(1, "a password=abcdefgh1 b", 99), (2, "clean", 5), (3, None, None)], "doc_id bigint, text string, n_chars bigint")
+    got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(df).collect()}
+    assert got == {1: ("a [SECRET] b", 12), 2: ("clean", 5), 3: (None, None)}
+
+
+def test_randomness_battery_tells_random_from_text(spark):
+    r = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = [("random", "".join(r.choice(alphabet) for _ in range(40))) for _ in range(200)]
+    values += [("text", "".join(r.choice(["the", "and", "ing", "er", "on", "2"]) for _ in range(16))[:40]) for _ in range(200)]
+    got = secret_scan.battery(spark.createDataFrame(values, "kind string, value string")).groupBy("kind").agg(F.avg((F.col("p") > 0.05).cast("double")).alias("share")).collect()
+    share = {x.kind: x.share for x in got}
+    assert share["random"] > 0.9 and share["text"] < 0.1
+
+
+def water(sizes, weights, cap):
+    total, names, target = sum(sizes.values()), list(sizes), {}
+    open_, rest = set(names), float(total)
+    while open_:
+        level = rest / sum(weights[n] for n in open_)
+        full = {n for n in open_ if level * weights[n] > cap * sizes[n]}
+        if not full:
+            return target | {n: level * weights[n] for n in open_}
+        for n in full:
+            target[n] = cap * sizes[n]
+            rest -= cap * sizes[n]
+        open_ -= full
+    return target
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix(docs).collect()
+    sizes = collections.Counter()
+    for r in rows():
+        sizes[r[3]] += len((r[1] or "").encode().split())
+    names = sorted((n for n in sizes if n is not None)) + [None]
+    want = water(sizes, dict(zip(names, [5, 2, 1, 5], strict=True)), 3)
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source] and math.isclose(r.target, want[r.source], rel_tol=1e-9)
+        assert r.taken <= 3 * r.size and r.taken == r.copies * r["size"]
+        taken[r.source] += r.taken
+    largest = max(len((r[1] or "").split()) for r in rows())
+    assert len(got) == len(rows()) and all(abs(taken[n] - want[n]) <= largest for n in names)
+    again = sorted((str(r.doc_id), r["size"], r.taken) for r in mixing.mix(docs.repartition(5)).collect())
+    assert again == sorted((str(r.doc_id), r["size"], r.taken) for r in got)
+    assert mixing.mix(empty).count() == 0
+    assert mixing.mixed(docs).count() == sum(r.copies for r in got)
+
+
+def test_sharding(docs, empty):
+    got = sharding.hilbert_shards(docs).collect()
+    counts = collections.Counter(r.shard for r in got)
+    assert len(got) == len(rows()) and max(counts.values()) - min(counts.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in sorted(counts) for i in range(counts[s])]
+    assert sorted(r.text_crc32 for r in got) == sorted(zlib.crc32((r[1] or "").encode()) for r in rows())
+    assert sharding.hilbert_shards(empty).count() == 0
+
+
+@pytest.mark.parametrize("d", [2, 3])
+def test_hilbert_curve_visits_all_cells_by_neighbours(d):
+    side = 8
+    grid = np.stack(np.meshgrid(*[np.arange(side)] * d, indexing="ij"), axis=-1).reshape(-1, d)
+    index = sharding.hilbert_index([grid[:, i] for i in range(d)], 3)
+    path = grid[np.argsort(index)]
+    assert sorted(index) == list(range(side**d)) and (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_quality_classifier(spark, docs, empty):
+    r = random.Random(2)
+    texts, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = [r.choice(["alpha", "beta", "gamma", "delta", "over", "under", "and"]) for _ in range(80)]
+        texts.append((i, " ".join(w.upper() + "!!" if bad else w for w in words), f"host{i % 7}", "p"))
+        if i % 2 == 0 or i % 5 == 0:
+            labels.append((i, 0 if bad else 1))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, source string, lang string")
+    y = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = {x.doc_id: x.kept for x in quality_classifier.quality_scores(df, y).collect()}
+    held = [i for i in range(400) if i % 2 and i % 5]
+    assert sum(got[i] == (i % 4 != 0) for i in held) / len(held) > 0.98
+    assert quality_classifier.keep_quality(df, y).count() == sum(got.values())
+    assert quality_classifier.quality_scores(docs, y).count() == len(rows())
+    assert quality_classifier.quality_scores(empty, y).count() == 0
+    nothing = quality_classifier.quality_scores(docs, y.where("false"))
+    assert nothing.where("NOT kept").count() == 0
+
+
+def test_sparse_sites_are_shrunk(spark):
+    rows = [(i, "good words in a row here " * 5, "big", "p") for i in range(50)] + [(99, "good words in a row here " * 5, "small", "p")]
+    rows += [(200 + i, "BAD!! " * 20, "worse", "p") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    y = spark.createDataFrame([(i, 1) for i in range(0, 50, 2)] + [(200 + i, 0) for i in range(0, 50, 2)], "doc_id bigint, quality int")
+    got = {x.doc_id: x.path_posterior for x in quality_classifier.quality_scores(df, y).collect()}
+    assert got[0] > got[99] > got[200]

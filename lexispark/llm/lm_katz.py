@@ -34,6 +34,8 @@ DOCS, TOKENS = 3_000, 2_500_000
 #: Counts up to K are discounted by Good-Turing.
 K = 5
 TAIL = 0.05
+#: What a block's own row holds of its documents.
+DOCUMENT = ("held", "n_tokens", "n_known", "base", "value")
 END, START = np.uint64(0x5BD1E995A7C3F217), np.uint64(0x27D4EB2F165667C5)
 
 
@@ -268,19 +270,19 @@ def score_udf(one: list[int], two: list[int], parts: int, kind: pa.DataType):
 
 def alpha_udf(kind: pa.DataType):
     def alpha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Masses and questions of some partitions -> what the documents' back-off weights add; the documents' own rows pass through."""
+        """Masses and questions of some partitions -> one row for each asking block, what the back-off weights add to its
+        documents; the blocks' own rows pass through."""
         masses: dict[int, list] = {}
         asks: dict[int, list] = {}
-        names = ["block", "place", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-        types = [pa.int64(), pa.int64(), kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        names = ["block", "ids", *DOCUMENT, "places", "added"]
+        types = [pa.int64(), pa.list_(kind), *[pa.binary()] * (len(DOCUMENT) + 2)]
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["ids"] is not None:
-                    n = len(row["ids"])
-                    held = np.unpackbits(np.frombuffer(row["held"], np.uint8))[:n].astype(bool)
-                    columns = [np.full(n, row["block"]), np.arange(n), row["ids"], held, unpack(row["n_tokens"], np.int64), unpack(row["n_known"], np.int64), unpack(row["base"], np.float64), unpack(row["value"], np.float64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-                    continue
+            own = batch.filter(pc.is_valid(batch.column("ids")))
+            if own.num_rows:
+                columns = [own.column(c) for c in names[:-2]] + [pa.nulls(own.num_rows, pa.binary())] * 2
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+            rest = batch.filter(pc.is_null(batch.column("ids"))).select(["part", "block", "n_tokens", "keys", "masses", "ask", "ask_doc", "ask_n"])
+            for row in rest.to_pylist():
                 both = np.frombuffer(row["masses"], np.float64).reshape(2, -1)
                 masses.setdefault(row["part"], []).append((unpack_sorted(row["keys"]), both))
                 if row["ask_n"]:
@@ -295,12 +297,29 @@ def alpha_udf(kind: pa.DataType):
                 pair = unpack(row["ask_doc"], np.uint64).astype(np.int64)
                 added = np.bincount(pair % docs, weights=wanted[pair // docs] * unpack(row["ask_n"], np.uint32), minlength=docs)
                 at = np.flatnonzero(added)
-                columns = [pa.array(np.full(len(at), row["block"])), pa.array(at), *(pa.nulls(len(at), t) for t in types[2:7]), pa.array(added[at])]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                values = [row["block"], None, *[None] * len(DOCUMENT), at.tobytes(), added[at].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
     return alpha
 
 
+def collect_udf(kind: pa.DataType):
+    def collect(rows: pa.Table) -> pa.Table:
+        """A block's own row and what was added to it -> a row for each document."""
+        own = rows.filter(pc.is_valid(rows["ids"])).to_pylist()[0]
+        n = len(own["ids"])
+        score = unpack(own["value"], np.float64).copy()
+        for places, added in zip(rows["places"].to_pylist(), rows["added"].to_pylist(), strict=True):
+            if places is not None:
+                score[np.frombuffer(places, np.int64)] += np.frombuffer(added, np.float64)
+        held = np.unpackbits(np.frombuffer(own["held"], np.uint8))[:n].astype(bool)
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+        columns = [pa.array(own["ids"], kind), held, unpack(own["n_tokens"], np.int64), unpack(own["n_known"], np.int64), unpack(own["base"], np.float64), score]
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    return collect
+
+
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
@@ -326,7 +345,8 @@ def katz_scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     names = ("held", "n_tokens", "n_known", "base", "value", "keys", "masses", "ask", "ask_doc", "ask_n")
     schema = f"part int, block bigint, ids array<{id_type}>, " + ", ".join(f"{x} binary" for x in names)
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_udf(one, two, parts, kind), schema)
-    out = f"block bigint, place bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    by_part = scored.repartition(parts, "part").mapInArrow(alpha_udf(kind), out)
-    final = by_part.groupBy("block", "place").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")], F.sum("score").alias("score"))
+    through = f"block bigint, ids array<{id_type}>, " + ", ".join(f"{x} binary" for x in (*DOCUMENT, "places", "added"))
+    by_part = scored.repartition(parts, "part").mapInArrow(alpha_udf(kind), through)
+    out = f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    final = by_part.groupBy("block").applyInArrow(collect_udf(kind), out)
     return final.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(one[0]).cast("bigint").alias("train_tokens"), "base_score", "score")

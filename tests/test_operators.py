@@ -132,3 +132,23 @@ def test_word_override_and_names(spark):
     assert (row.score, row.joyo, row.priorities) == (0, True, "a,b")
     names = spark.createDataFrame([(0, "たなか", "田中", ["Tanaka"]), (1, "たなか", None, ["Other"]), (2, "ぎふ", "ぎふ", [])], "entry_pos int, kana string, kanji string, meanings array<string>")
     assert {r.key: r.meaning for r in L.names_index(names).collect()} == {"たなか": "Tanaka", "田中": "Tanaka", "ぎふ": "Unknown"}
+
+
+def test_pos_base_form(spark):
+    from lexispark.operators.base_forms import pos_base_form
+
+    cases = [
+        ("帰っ", "動詞", "五段-ラ行", "連用形-促音便", "帰る"),
+        ("書き", "動詞", "五段-カ行", "連用形-一般", "書く"),
+        ("作ろ", "動詞", "五段-ラ行", "意志推量形", "作る"),
+        ("食べ", "動詞", "下一段-バ行", "連用形-一般", "食べる"),
+        ("出かけ", "動詞", "下一段-カ行", "連用形-一般", "出かける"),
+        ("し", "動詞", "サ行変格", "連用形-一般", "する"),
+        ("こ", "動詞", "カ行変格", "未然形-一般", "くる"),
+        ("まし", "助動詞", "助動詞-マス", "連用形-一般", "ます"),
+        ("静か", "形状詞", "", "", "静か"),
+        ("猫", "名詞", "", "", "猫"),
+    ]
+    df = spark.createDataFrame([(s, [t, "", "", "", k, f], w) for s, t, k, f, w in cases], "surface string, pos_tags array<string>, want string")
+    got = {r.surface: r.base_form for r in pos_base_form(df).collect()}
+    assert got == {c[0]: c[4] for c in cases}

@@ -5,6 +5,7 @@ made from hashes of the word and the position decide which (word, quantised weig
 the same one with a probability equal to their generalised Jaccard similarity (sum of minima over sum of maxima).
 
 The minimum over a text's words is kept as one integer: the sampled value in its high bits, the sample's name in its low 32.
+Counts are exact up to 2**20 - 1, the weight of any word that occurs more often.
 
 Defined results: null is the empty text; empty texts have a fingerprint of their own, alike only to one another; rows with equal
 doc_id and text follow each other in no particular order but have equal fingerprints; the document after the last is the
@@ -19,19 +20,37 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.shared import partitions, word_hashes, written
 
-SAMPLES = 64
+SAMPLES = 32
 MASK = (1 << 32) - 1
 
 
-def weighted_terms(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """A row of (h, lw) for each distinct word of a text, its hash and the logarithm of its count: runs in the sorted array of
-    hashes. A text without words has one row of nulls. Each array is a column of its own, as lambdas evaluate expressions anew."""
-    rows = texts.select(*keys, F.sort_array(word_hashes(F.col(column))).alias("_h"))
-    starts = F.filter(F.transform("_h", lambda h, i: F.when((i == 0) | (h != F.get(F.col("_h"), i - 1)), i).otherwise(F.lit(-1))), lambda i: i >= 0)
-    rows = rows.select(*keys, "_h", starts.alias("_s"))
-    runs = F.transform("_s", lambda s, i: F.struct(F.get(F.col("_h"), s).alias("h"), (F.coalesce(F.get(F.col("_s"), i + 1), F.size("_h")) - s).alias("n")))
-    rows = rows.select(*keys, F.explode_outer(runs).alias("_t"))
-    return rows.select(*keys, F.col("_t.h").alias("h"), F.log(F.col("_t.n").cast("double")).alias("lw"))
+#: Bits of a packed term that hold its count; the others hold the word's hash.
+COUNT_BITS = 20
+
+
+def runs(rows: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """keys and text columns -> keys and for each text the packed terms, one for each distinct word: runs in the sorted array of
+    hashes. Each array is a column of its own, as lambdas evaluate expressions anew."""
+    rows = rows.select(*keys, *[F.sort_array(word_hashes(F.col(c))).alias(f"_h{name}") for name, c in columns.items()])
+    for name in columns:
+        h = f"_h{name}"
+        rows = rows.withColumn(f"_s{name}", F.filter(F.transform(h, at_start(h)), lambda i: i >= 0))
+    for name in columns:
+        rows = rows.withColumn(name, F.transform(f"_s{name}", pack(f"_h{name}", f"_s{name}")))
+    return rows.select(*keys, *columns)
+
+
+def at_start(h: str):
+    return lambda x, i: F.when((i == 0) | (x != F.get(F.col(h), i - 1)), i).otherwise(F.lit(-1))
+
+
+def pack(h: str, s: str):
+    def one(start: Column, i: Column) -> Column:
+        n = F.coalesce(F.get(F.col(s), i + 1), F.size(h)) - start
+        name = F.shiftleft(F.shiftright(F.get(F.col(h), start), COUNT_BITS), COUNT_BITS)
+        return name.bitwiseOR(F.least(n, F.lit((1 << COUNT_BITS) - 1)).cast("bigint"))
+
+    return one
 
 
 def sample(k: int) -> Column:
@@ -49,11 +68,26 @@ def sample(k: int) -> Column:
     return F.shiftleft(F.floor(value * float(1 << 20)), 32).bitwiseOR(name)
 
 
+def sketches(terms: DataFrame, keys: list[str], texts: list[str], samples: int) -> DataFrame:
+    """keys and one or two columns of packed terms -> keys and a sketch for each, array<bigint>, the names of the samples.
+
+    A term that two texts share with equal counts is sampled once for both. Keys must name rows uniquely."""
+    of = lambda array, which: F.transform(array, lambda p: F.struct(p.alias("p"), F.lit(which).alias("f")))
+    if len(texts) == 1:
+        parts = of(F.col(texts[0]), 1)
+    else:
+        a, b = texts
+        parts = F.concat(of(F.array_intersect(a, b), 3), of(F.array_except(a, b), 1), of(F.array_except(b, a), 2))
+    rows = terms.select(*keys, F.explode_outer(parts).alias("_t")).select(*keys, "_t.f", F.shiftright("_t.p", COUNT_BITS).alias("h"), F.log(F.col("_t.p").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("double")).alias("lw"))
+    least = rows.groupBy(*keys, "f").agg(*[F.min(sample(k)).alias(f"m{k}") for k in range(samples)])
+    both = least.groupBy(*keys).agg(*[F.min(F.when(F.col("f").bitwiseAND(F.lit(1 << i)) > 0, F.col(f"m{k}"))).alias(f"{t}{k}") for i, t in enumerate(texts) for k in range(samples)])
+    sketch = lambda t: F.array(*[F.coalesce(F.col(f"{t}{k}").bitwiseAND(F.lit(MASK)), F.lit(-1).cast("bigint")) for k in range(samples)])
+    return both.select(*keys, *[sketch(t).alias(t) for t in texts])
+
+
 def fingerprint_table(texts: DataFrame, keys: list[str], column: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """keys and a text column -> keys and sketch array<bigint>, the names of the samples. Keys must name rows uniquely."""
-    terms = weighted_terms(texts, keys, column)
-    least = terms.groupBy(*keys).agg(*[F.min(sample(k)).alias(f"m{k}") for k in range(samples)])
-    return least.select(*keys, F.array(*[F.coalesce(F.col(f"m{k}").bitwiseAND(F.lit(MASK)), F.lit(-1).cast("bigint")) for k in range(samples)]).alias("sketch"))
+    """keys and a text column -> keys and sketch."""
+    return sketches(runs(texts, keys, {"sketch": column}), keys, ["sketch"], samples)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -90,13 +124,11 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     wanted = after.select(F.col("rid").alias("_for"), F.col("next_rid").alias("_rid"), F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
     heads = rows.join(wanted, F.col("rid") == F.col("_rid")).select("_for", F.expr("left(text, _k)").alias("_head")).groupBy("_for").agg(F.max("_head").alias("_head"))
     edited = rows.join(heads, F.col("rid") == F.col("_for"))
-    n = F.length("text")
-    edited = edited.select("rid", "doc_id", n.cast("bigint").alias("n_chars"), F.array("text", F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.col("_head"))).alias("_both"))
-    both = edited.select("rid", "doc_id", "n_chars", F.posexplode("_both").alias("_v", "text"))
-    digest = F.when(F.col("_v") == 1, F.sha2(F.col("text"), 256))
-    both = both.withColumn("_digest", digest)
-    sketches = fingerprint_table(both, ["rid", "doc_id", "n_chars", "_v", "_digest"], samples=samples)
-    pairs = sketches.groupBy("rid", "doc_id", "n_chars").agg(F.max("_digest").alias("edited_sha256"), F.max(F.when(F.col("_v") == 0, F.col("sketch"))).alias("own"), F.max(F.when(F.col("_v") == 1, F.col("sketch"))).alias("edited"))
+    changed = F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.col("_head"))
+    edited = edited.select("rid", "doc_id", F.length("text").cast("bigint").alias("n_chars"), "text", changed.alias("_changed"))
+    edited = edited.withColumn("edited_sha256", F.sha2(F.col("_changed"), 256))
+    keys = ["rid", "doc_id", "n_chars", "edited_sha256"]
+    pairs = sketches(runs(edited, keys, {"own": "text", "edited": "_changed"}), keys, ["own", "edited"], samples)
     pairs = written(pairs, "sketches")
     following = pairs.select(F.col("rid").alias("_rid"), F.col("own").alias("_next"))
     out = pairs.join(after.select(F.col("rid").alias("_at"), "next_rid"), F.col("rid") == F.col("_at")).join(following, F.col("next_rid") == F.col("_rid"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lexispark.llm.shared import ascii_lower, partitions, word_hashes, written
 
 #: Documents and tokens of a block, at most (a longer document is a block of its own).
-DOCS, TOKENS = 3_000, 2_500_000
+DOCS, TOKENS = 2_000, 1_200_000
 #: Counts up to K are discounted by Good-Turing.
 K = 5
 TAIL = 0.05
@@ -141,7 +141,8 @@ def total_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, block, n, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "n", "keys", "counts")), strict=True):
             found.setdefault((part, n), []).append((block, keys, counts))
-    for (part, n), sent in found.items():
+    while found:
+        (part, n), sent = found.popitem()
         keys = [unpack_sorted(x[1]) for x in sent]
         key = np.concatenate(keys)
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
@@ -287,7 +288,8 @@ def alpha_udf(kind: pa.DataType):
                 masses.setdefault(row["part"], []).append((unpack_sorted(row["keys"]), both))
                 if row["ask_n"]:
                     asks.setdefault(row["part"], []).append(row)
-        for part, questions in asks.items():
+        while asks:
+            part, questions = asks.popitem()
             key, inverse = np.unique(np.concatenate([x[0] for x in masses[part]]), return_inverse=True)
             seen, lower = (np.bincount(inverse, weights=np.concatenate([x[1][i] for x in masses[part]])) for i in (0, 1))
             weight = np.log10((1 - seen) / (1 - lower))

@@ -8,7 +8,7 @@ The minimum over a text's words is kept as one integer: the sampled value in its
 Counts are exact up to 2**20 - 1, the weight of any word that occurs more often.
 
 Defined results: null is the empty text; empty texts have a fingerprint of their own, alike only to one another; rows with equal
-doc_id and text follow each other in no particular order but have equal fingerprints; the document after the last is the
+doc_id and text count as one document when the next is sought and each have a row; the document after the last is the
 first, which for a single document is itself; nulls of doc_id come first; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -100,11 +100,13 @@ def as_text(sketch: Column) -> Column:
 
 
 def followers(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, rid, n_chars) -> rid, next_rid, n_chars: the row after each by (doc_id, rid), the first after the last.
+    """docs (doc_id, rid, n_chars) -> doc_id, rid, n_chars, copies, next_rid: the row after each by (doc_id, rid), the first
+    after the last. Equal rows are one, with their number.
 
     Rows are dealt by ranges; only the first row of each range is looked at across ranges."""
     order = [F.col("doc_id").asc_nulls_first(), F.col("rid").asc()]
-    dealt = docs.distinct().repartitionByRange(partitions(docs.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    rows = docs.groupBy("doc_id", "rid", "n_chars").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    dealt = rows.repartitionByRange(partitions(docs.sparkSession), *order).withColumn("_range", F.spark_partition_id())
     dealt = written(dealt, "ranges")
     heads = dealt.groupBy("_range").agg(F.min_by("rid", F.struct(F.col("doc_id").isNotNull(), "doc_id", "rid")).alias("_head"))
     by_range = W.orderBy("_range")
@@ -112,24 +114,26 @@ def followers(docs: DataFrame) -> DataFrame:
     heads = heads.select(F.col("_range").alias("_r"), F.coalesce(F.lead("_head").over(by_range), first).alias("_after"))
     following = F.lead("rid").over(W.partitionBy("_range").orderBy(*order))
     linked = dealt.withColumn("_next", following).join(heads, F.col("_range") == F.col("_r"))
-    return written(linked.select("rid", F.coalesce("_next", "_after").alias("next_rid"), "n_chars"), "followers")
+    return written(linked.select("doc_id", "rid", "n_chars", "copies", F.coalesce("_next", "_after").alias("next_rid")), "followers")
 
 
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """docs (doc_id, text) -> each text's fingerprint beside that of its edited text (its last quarter replaced by the start
     of the next document) and its likeness to the edited text's and to the next document's."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), text.alias("text"))
-    after = followers(rows.select("doc_id", "rid", F.length("text").cast("bigint").alias("n_chars")))
+    rid = F.xxhash64("doc_id", text).alias("rid")
+    after = followers(docs.select("doc_id", rid, F.length(text).cast("bigint").alias("n_chars")))
+    # both joins take the same two columns by the same key, so texts are shuffled once and the exchange is used again
+    rows = docs.select(rid, text.alias("text"))
     wanted = after.select(F.col("rid").alias("_for"), F.col("next_rid").alias("_rid"), F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
     heads = rows.join(wanted, F.col("rid") == F.col("_rid")).select("_for", F.expr("left(text, _k)").alias("_head")).groupBy("_for").agg(F.max("_head").alias("_head"))
     edited = rows.join(heads, F.col("rid") == F.col("_for"))
     changed = F.concat(F.expr("left(text, length(text) - length(text) div 4)"), F.col("_head"))
-    edited = edited.select("rid", "doc_id", F.length("text").cast("bigint").alias("n_chars"), "text", changed.alias("_changed"))
-    edited = edited.withColumn("edited_sha256", F.sha2(F.col("_changed"), 256))
-    keys = ["rid", "doc_id", "n_chars", "edited_sha256"]
+    edited = edited.select("rid", "text", changed.alias("_changed")).withColumn("edited_sha256", F.sha2(F.col("_changed"), 256))
+    keys = ["rid", "edited_sha256"]
     pairs = sketches(runs(edited, keys, {"own": "text", "edited": "_changed"}), keys, ["own", "edited"], samples)
     pairs = written(pairs, "sketches")
     following = pairs.select(F.col("rid").alias("_rid"), F.col("own").alias("_next"))
-    out = pairs.join(after.select(F.col("rid").alias("_at"), "next_rid"), F.col("rid") == F.col("_at")).join(following, F.col("next_rid") == F.col("_rid"))
+    own = after.select(F.col("rid").alias("_at"), "doc_id", "n_chars", "copies", "next_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    out = pairs.join(own, F.col("rid") == F.col("_at")).join(following, F.col("next_rid") == F.col("_rid"))
     return out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("_next")).alias("near_next"))

@@ -30,14 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import ascii_lower, partitions, word_hashes, written
+from lexispark.llm.shared import BROADCAST_ROWS, ascii_lower, partitions, without, word_hashes, written
 
 #: How many index entries a signature that rests on two shingles or fewer is worth.
 WEAK = 3.0
 #: Documents of a cluster that are compared in one group with another such block.
 BLOCK = 1024
-#: Cluster members up to which their ids are broadcast to fetch their texts (16 MB); beyond, the texts are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -320,14 +318,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     keys = members.select(F.col("min_doc").alias("_id"), "node", "cluster", "blocks")
     if n_members <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    fetched = docs.select("doc_id", "text").join(keys, F.col("doc_id") == F.col("_id"))
-    fetched = fetched.select("node", "cluster", "blocks", word_hashes(ascii_lower(F.col("text"))).alias("_h"))
+    fetched = docs.select("doc_id", "text").join(keys, F.col("doc_id") == F.col("_id")).select("node", "cluster", "blocks", "text")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     bundle = F.pmod(F.xxhash64("cluster"), F.lit(max(1, n_members // 1000))).cast("int")
-    lone = fetched.where("blocks = 1").select(F.lit(0).cast("bigint").alias("g"), bundle.alias("i"), F.lit(0).alias("j"), "cluster", "node", "_h")
+    lone = fetched.where("blocks = 1").select(F.lit(0).cast("bigint").alias("g"), bundle.alias("i"), F.lit(0).alias("j"), "cluster", "node", "text")
     many = fetched.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
-    many = many.select(F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cluster", "node", "_h")
-    edges = lone.unionByName(many).groupBy("g", "i", "j").applyInArrow(verify_udf(n, percent), "u bigint, v bigint")
+    many = many.select(F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cluster", "node", "text")
+    # texts are dealt out, which compress, and hashed where they arrive
+    dealt = lone.unionByName(many).repartition(parts, "g", "i", "j")
+    dealt = dealt.select("g", "i", "j", "cluster", "node", word_hashes(ascii_lower(F.col("text"))).alias("_h"))
+    edges = dealt.groupBy("g", "i", "j").applyInArrow(verify_udf(n, percent), "u bigint, v bigint")
     roots = connected_components(edges)
 
     labelled = nodes.select("node", "min_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -339,6 +339,5 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one document of each component: the one with the smallest doc_id stays, rows with a null doc_id stay."""
-    keep = jaccard_components(docs, n, percent).where(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
-    keep = keep.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    members = jaccard_components(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, members)

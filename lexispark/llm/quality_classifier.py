@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import words, written
+from lexispark.llm.shared import without, words, written
 
 #: Labelled rows that the regression is fitted on: all, or where there are more, about this many by a hash of their ids.
 FIT_ROWS = 20_000
@@ -124,5 +124,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = Non
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the documents that the classifier rejects; a doc_id goes if one of its rows is rejected."""
-    rejected = quality_scores(docs, labels, **options).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(written(rejected, "rejected"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return without(docs, quality_scores(docs, labels, **options).where("NOT kept").select("doc_id").distinct())

@@ -5,7 +5,8 @@ made from hashes of the word and the position decide which (word, quantised weig
 the same one with a probability equal to their generalised Jaccard similarity (sum of minima over sum of maxima).
 
 The minimum over a text's words is kept as one integer: the sampled value in its high bits, the sample's name in its low 32.
-Counts are exact up to 2**20 - 1, the weight of any word that occurs more often.
+A term holds a count of at most 2**20 - 1; a word that occurs more often has further terms for the rest, filled in order, whose
+minima and maxima sum to those of the whole counts.
 
 Defined results: null is the empty text; empty texts have a fingerprint of their own, alike only to one another; rows with equal
 doc_id and text count as one document when the next is sought and each have a row; the document after the last is the
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.shared import partitions, word_hashes, written
 
-SAMPLES = 32
+SAMPLES = 64
 MASK = (1 << 32) - 1
 
 
 #: Bits of a packed term that hold its count; the others hold the word's hash.
 COUNT_BITS = 20
+TERM_COUNT = (1 << COUNT_BITS) - 1
 
 
 def runs(rows: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
@@ -36,7 +38,9 @@ def runs(rows: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame
         h = f"_h{name}"
         rows = rows.withColumn(f"_s{name}", F.filter(F.transform(h, at_start(h)), lambda i: i >= 0))
     for name in columns:
-        rows = rows.withColumn(name, F.transform(f"_s{name}", pack(f"_h{name}", f"_s{name}")))
+        terms = F.transform(f"_s{name}", pack(f"_h{name}", f"_s{name}"))
+        more = F.flatten(F.transform(f"_s{name}", rest(f"_h{name}", f"_s{name}")))
+        rows = rows.withColumn(name, F.when(F.size(f"_h{name}") > TERM_COUNT, F.concat(terms, more)).otherwise(terms))
     return rows.select(*keys, *columns)
 
 
@@ -44,13 +48,27 @@ def at_start(h: str):
     return lambda x, i: F.when((i == 0) | (x != F.get(F.col(h), i - 1)), i).otherwise(F.lit(-1))
 
 
+def term(h: Column, n: Column) -> Column:
+    return F.shiftleft(F.shiftright(h, COUNT_BITS), COUNT_BITS).bitwiseOR(n.cast("bigint"))
+
+
+def run_length(h: str, s: str, start: Column, i: Column) -> Column:
+    return F.coalesce(F.get(F.col(s), i + 1), F.size(h)) - start
+
+
 def pack(h: str, s: str):
-    def one(start: Column, i: Column) -> Column:
-        n = F.coalesce(F.get(F.col(s), i + 1), F.size(h)) - start
-        name = F.shiftleft(F.shiftright(F.get(F.col(h), start), COUNT_BITS), COUNT_BITS)
-        return name.bitwiseOR(F.least(n, F.lit((1 << COUNT_BITS) - 1)).cast("bigint"))
+    return lambda start, i: term(F.get(F.col(h), start), F.least(run_length(h, s, start, i), F.lit(TERM_COUNT)))
+
+
+def rest(h: str, s: str):
+    """The terms of a run after its first, each of a name of its own."""
+
+    def of(start: Column, i: Column) -> Column:
+        n, name = run_length(h, s, start, i), F.get(F.col(h), start)
+        further = F.transform(F.sequence(F.lit(1), F.floor((n - 1) / TERM_COUNT).cast("int")), lambda j: term(F.xxhash64(name, j), F.least(n - j * TERM_COUNT, F.lit(TERM_COUNT))))
+        return F.when(n > TERM_COUNT, further).otherwise(F.array().cast("array<bigint>"))
 
-    return one
+    return of
 
 
 def sample(k: int) -> Column:
@@ -78,7 +96,7 @@ def sketches(terms: DataFrame, keys: list[str], texts: list[str], samples: int)
     else:
         a, b = texts
         parts = F.concat(of(F.array_intersect(a, b), 3), of(F.array_except(a, b), 1), of(F.array_except(b, a), 2))
-    rows = terms.select(*keys, F.explode_outer(parts).alias("_t")).select(*keys, "_t.f", F.shiftright("_t.p", COUNT_BITS).alias("h"), F.log(F.col("_t.p").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("double")).alias("lw"))
+    rows = terms.select(*keys, F.explode_outer(parts).alias("_t")).select(*keys, "_t.f", F.shiftright("_t.p", COUNT_BITS).alias("h"), F.log(F.col("_t.p").bitwiseAND(F.lit(TERM_COUNT)).cast("double")).alias("lw"))
     least = rows.groupBy(*keys, "f").agg(*[F.min(sample(k)).alias(f"m{k}") for k in range(samples)])
     both = least.groupBy(*keys).agg(*[F.min(F.when(F.col("f").bitwiseAND(F.lit(1 << i)) > 0, F.col(f"m{k}"))).alias(f"{t}{k}") for i, t in enumerate(texts) for k in range(samples)])
     sketch = lambda t: F.array(*[F.coalesce(F.col(f"{t}{k}").bitwiseAND(F.lit(MASK)), F.lit(-1).cast("bigint")) for k in range(samples)])

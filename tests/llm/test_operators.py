@@ -234,13 +234,39 @@ def test_fingerprints(docs, empty):
         assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
         if text.split():
             errors += [r.near_edited - generalised_jaccard(text, edited), r.near_next - generalised_jaccard(text, after)]
-    assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < 0.5
+    assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < 0.25
     assert fingerprints.edited_fingerprints(empty).count() == 0
     assert fingerprints.edited_fingerprints(docs).count() == len(rows())
     alone = fingerprints.edited_fingerprints(docs.where("doc_id = 12")).first()
     assert alone.near_next == 1.0
 
 
+def test_fingerprint_errors_are_those_of_64_samples(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefghij") + str(r.randrange(9)) for _ in range(80)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x for x in fingerprints.edited_fingerprints(df).collect()}
+    assert all(len(x.fingerprint) // 8 >= 64 for x in got.values())
+    z = []
+    for i, text in enumerate(texts):
+        after, k = texts[(i + 1) % len(texts)], len(text) // 4
+        for near, other in ((got[i].near_edited, text[: len(text) - k] + after[:k]), (got[i].near_next, after)):
+            p = generalised_jaccard(text, other)
+            z.append((near - p) / math.sqrt(p * (1 - p) / 64))
+    assert np.max(np.abs(z)) < 5 and 0.85 < np.std(z) < 1.15 and abs(np.mean(z)) < 0.25
+
+
+def test_fingerprints_tell_words_beyond_the_count_of_one_term(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "COUNT_BITS", 3)
+    monkeypatch.setattr(fingerprints, "TERM_COUNT", 7, raising=False)
+    texts = ["a " * 7 + "b", "a " * 50 + "b", "a " * 100 + "b c", "b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sketch = {x.doc_id: x.sketch for x in fingerprints.fingerprint_table(df, ["doc_id"], samples=400).collect()}
+    for i, j in ((0, 1), (0, 2), (1, 2), (2, 3)):
+        want = generalised_jaccard(texts[i], texts[j])
+        assert abs(np.mean([a == b for a, b in zip(sketch[i], sketch[j], strict=True)]) - want) < 5 * math.sqrt(want * (1 - want) / 400)
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 

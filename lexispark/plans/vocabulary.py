@@ -35,9 +35,9 @@ def vocab_extract(spark, d):
     return I.vocab(spark, d)
 
 
-@query("vocab_extract_batch", sql("SELECT content_id, CASE WHEN length(text) > 5000 THEN 'too_long' END AS error, CASE WHEN length(text) <= 5000 THEN coalesce(n, 0) END AS n_words, CASE WHEN length(text) <= 5000 THEN s END AS total_score FROM content LEFT JOIN (SELECT content_id, count(*) n, sum(score)::BIGINT s FROM vocab GROUP BY content_id) USING (content_id)", "vocab"))
+@query("vocab_extract_batch", sql("SELECT content_id, CASE WHEN length(text) > 50000 THEN 'too_long' END AS error, CASE WHEN length(text) <= 50000 THEN coalesce(n, 0) END AS n_words, CASE WHEN length(text) <= 50000 THEN s END AS total_score FROM content LEFT JOIN (SELECT content_id, count(*) n, sum(score)::BIGINT s FROM vocab GROUP BY content_id) USING (content_id)", "vocab"))
 def vocab_extract_batch(spark, d):
-    checked = C.validated(I.content(spark, d), LATIN, 5000)
+    checked = C.validated(I.content(spark, d), LATIN)
     rows = K.tokenize(checked.where("error IS NULL"), LATIN)
     vocab = V.vocab_extract(rows, I.lexicon(spark, d), I.char_meta(spark), I.morphemes(spark), LATIN)
     per = vocab.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total_score"))
@@ -343,6 +343,6 @@ def word_override(spark, d):
     return V.word_override(v, four.select("word", F.left(F.md5("word"), F.lit(2)).alias("score"), grade.alias("grade"), F.lit(" a, ,b").alias("priorities")))
 
 
-@query("validate_text", sql("SELECT content_id, CASE WHEN text IS NULL OR text = '' THEN 'missing' WHEN length(text) > 3000 THEN 'too_long' WHEN NOT regexp_matches(text, '\\p{L}') THEN 'no_target_script' END AS error FROM content", "content"))
+@query("validate_text", sql("SELECT content_id, CASE WHEN text IS NULL OR text = '' THEN 'missing' WHEN length(text) > 50000 THEN 'too_long' WHEN NOT regexp_matches(text, '\\p{L}') THEN 'no_target_script' END AS error FROM content", "content"))
 def validate_text(spark, d):
-    return C.validated(I.content(spark, d), LATIN, 3000).select("content_id", "error")
+    return C.validated(I.content(spark, d), LATIN).select("content_id", "error")

@@ -104,10 +104,14 @@ def sense_commonness(spark, d):
     return I.lexicon(spark, d).select("entry_id", S.sense_commonness(glosses).alias("commonness"))
 
 
-@query("dict_meanings", sql("SELECT entry_id, CASE n % 4 WHEN 0 THEN 'plain ' || written || '; rare ' || written WHEN 1 THEN 'auxiliary ' || written || '; plain ' || written ELSE written || '; plain ' || written END AS meanings FROM lexicon WHERE NOT regexp_matches(written, 'old|rare|esp|dated|copula')", "lexicon"))
+GLOSS = "CASE n % 4 WHEN 0 THEN 'rare ' WHEN 1 THEN 'auxiliary ' ELSE '' END || written"
+#: What the terms in a gloss add to the rank of its sense, as in sense_commonness.
+TERMS = "(CASE WHEN len(list_filter(['esp.', 'rare', 'archaic', 'obsolete', 'old', 'dated', 'specialized'], lambda t: contains({g}, t))) > 0 THEN -10 ELSE 0 END + CASE WHEN contains({g}, 'copula') OR contains({g}, 'auxiliary') THEN 3 ELSE 0 END)"
+
+
+@query("dict_meanings", sql(f"SELECT entry_id, CASE WHEN {TERMS.format(g='first')} >= {TERMS.format(g='plain')} THEN first || '; ' || plain ELSE plain || '; ' || first END AS meanings FROM (SELECT entry_id, {GLOSS} AS first, 'plain ' || written AS plain FROM lexicon)", "lexicon"))
 def dict_meanings(spark, d):
-    rows = I.lexicon(spark, d).where(~F.col("written").rlike("old|rare|esp|dated|copula"))
-    return rows.select("entry_id", F.array_join(S.dict_meanings(F.array(one_gloss(), F.array(F.concat(F.lit("plain "), "written")))), "; ").alias("meanings"))
+    return I.lexicon(spark, d).select("entry_id", F.array_join(S.dict_meanings(F.array(one_gloss(), F.array(F.concat(F.lit("plain "), "written")))), "; ").alias("meanings"))
 
 
 @query("first_entry_meaning", sql(f"SELECT word, gloss AS meaning FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY CASE WHEN regexp_matches(word, '^[a-z]+$') AND (regexp_matches(written, '^[a-z]+$') OR pronounced = word) THEN 0 ELSE 1 END, entry_pos, entry_id) rn FROM {MATCH}) WHERE rn = 1", "words", "lexicon"))
@@ -325,11 +329,13 @@ def deduplicate(spark, d):
     return C.deduplicate(I.content(spark, d)).select("content_id", "type")
 
 
-@query("vocab_merge", sql("SELECT coalesce(a.content_id, b.content_id) AS content_id, coalesce(a.word, b.word) AS word, coalesce(b.reading, a.reading) AS reading, coalesce(b.meaning, a.meaning) AS meaning, coalesce(b.score, a.score) AS score FROM (SELECT * FROM vocab WHERE ord % 3 <> 0) a FULL JOIN (SELECT content_id, word, NULL::VARCHAR AS reading, 'imported ' || word AS meaning, score + 1 AS score FROM vocab WHERE ord % 2 = 0) b ON a.content_id = b.content_id AND a.word = b.word", "vocab"))
+@query("vocab_merge", sql("SELECT coalesce(a.content_id, b.content_id) AS content_id, coalesce(a.word, b.word) AS word, coalesce(b.reading, a.reading) AS reading, coalesce(b.meaning, a.meaning) AS meaning, coalesce(b.score, a.score) AS score FROM vocab a FULL JOIN (SELECT content_id, CASE WHEN ord % 3 = 0 THEN 'new ' || word ELSE word END AS word, NULL::VARCHAR AS reading, 'imported ' || word AS meaning, score + 1 AS score FROM vocab WHERE ord % 2 = 0) b ON a.content_id = b.content_id AND a.word = b.word", "vocab"))
 def vocab_merge(spark, d):
+    """Half of the words are imported again, a third of these under a name that the existing table doesn't have."""
     v = I.vocab(spark, d)
-    new = v.where("ord % 2 = 0").select("content_id", "word", F.lit(None).cast("string").alias("reading"), F.concat(F.lit("imported "), "word").alias("meaning"), (F.col("score") + 1).alias("score"))
-    return C.vocab_merge(v.where("ord % 3 <> 0"), new)
+    name = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("new "), "word")).otherwise(F.col("word"))
+    new = v.where("ord % 2 = 0").select("content_id", name.alias("word"), F.lit(None).cast("string").alias("reading"), F.concat(F.lit("imported "), "word").alias("meaning"), (F.col("score") + 1).alias("score"))
+    return C.vocab_merge(v, new)
 
 
 @query("vocab_update_word", sql("SELECT content_id, word, CASE WHEN word LIKE 'th%' THEN 'new ' || word ELSE meaning END AS meaning, score FROM vocab", "vocab"))

@@ -38,3 +38,28 @@ def test_vocab_extract_batch_takes_texts_up_to_the_limit(run):
 def test_validate_text_takes_texts_up_to_the_limit(run):
     got = {r["content_id"]: r["error"] for r in run("validate_text", ["a" * n for n in LENGTHS])}
     assert got == {0: None, 1: None, 2: None, 3: "too_long"}
+
+
+SPECIAL, GRAMMAR = ("esp.", "rare", "archaic", "obsolete", "old", "dated", "specialized"), ("copula", "auxiliary")
+
+
+def commonness(gloss):
+    return -10 * any(t in gloss for t in SPECIAL) + 3 * any(t in gloss for t in GRAMMAR)
+
+
+def test_dict_meanings_has_entries_whose_writing_holds_a_term(run):
+    words = "gold old especially rarely dated updated copula archaic auxiliary scopulas plainly water stone river".split()
+    n = {w: 1 + (i + k) % 4 for k in range(1) for i, w in enumerate(words)}
+    n |= {f"{w}{x}": 1 + j for w in ("old", "copula", "mint") for j, x in enumerate(("aa", "bb", "cc", "dd"))}
+    got = {r["entry_id"]: r["meanings"] for r in run("dict_meanings", [" ".join(w for w, k in n.items() for _ in range(k))])}
+    for w, meanings in got.items():
+        senses = [{0: "rare ", 1: "auxiliary "}.get(n[w] % 4, "") + w, "plain " + w]
+        assert meanings == "; ".join(sorted(senses, key=lambda g: -commonness(g)))
+    assert sum(any(t in w for t in SPECIAL + GRAMMAR) for w in got) >= 10
+
+
+def test_vocab_merge_keeps_every_existing_row(run):
+    words = [f"{a}{b}" for a in ("ba", "ce", "di", "fo") for b in ("la", "me", "ni", "po")]
+    got = collections.Counter(r["word"] for r in run("vocab_merge", [" ".join(words)]))
+    want = collections.Counter(words) + collections.Counter(f"new {w}" for i, w in enumerate(words) if i % 6 == 0)
+    assert got == want

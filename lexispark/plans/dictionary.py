@@ -298,11 +298,11 @@ def content_override(spark, d):
     return C.content_override(c, c.where("content_id % 4 = 0").select("content_id", (F.col("ord") + 1000).alias("ord"), F.concat(F.lit("custom "), "title").alias("title")))
 
 
-@query("import_content", sql("SELECT 'custom-' || content_id AS content_id, title, trim(left(text, 30), ' ' || chr(10) || chr(9)) AS text, CASE WHEN content_id % 2 = 0 THEN 'u' || content_id END AS media_url, 'Custom content' AS description FROM content", "content"))
+@query("import_content", sql("SELECT 'custom-' || content_id AS content_id, title, trim(text, ' ' || chr(10) || chr(9)) AS text, CASE WHEN content_id % 2 = 0 THEN 'u' || content_id END AS media_url, 'Custom content' AS description FROM content", "content"))
 def import_content(spark, d):
     c = I.content(spark, d)
     url = F.when(F.col("content_id") % 2 == 0, F.concat(F.lit(" u"), F.col("content_id").cast("string"))).otherwise("  ")
-    return C.import_content(c.select(F.col("content_id").alias("seq"), F.concat(F.lit("  "), "title", F.lit("\n")).alias("title"), F.left("text", F.lit(30)).alias("text"), url.alias("url")))
+    return C.import_content(c.select(F.col("content_id").alias("seq"), F.concat(F.lit("  "), "title", F.lit("\n")).alias("title"), "text", url.alias("url")))
 
 
 @query("content_sink_new_only", sql("SELECT content_id, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM content WHERE type = 'story' AND content_id % 2 = 1", "content"))

@@ -63,3 +63,9 @@ def test_vocab_merge_keeps_every_existing_row(run):
     got = collections.Counter(r["word"] for r in run("vocab_merge", [" ".join(words)]))
     want = collections.Counter(words) + collections.Counter(f"new {w}" for i, w in enumerate(words) if i % 6 == 0)
     assert got == want
+
+
+def test_import_content_takes_whole_texts(run):
+    texts = ["  " + "a line of words\n" * 20 + " \t\n", "\n" + "x" * 31 + "\t", "short ", "", " \n "]
+    got = {r["content_id"]: r["text"] for r in run("import_content", texts)}
+    assert got == {f"custom-{i}": t.strip(" \t\n") for i, t in enumerate(texts)}

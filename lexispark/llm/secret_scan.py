@@ -1,14 +1,12 @@
 """Secret scans with a randomness test battery (native: DataFrame functions only).
 
 Three base kinds are found by pattern: values assigned to a telling name, access keys, and hexadecimal runs. The method adds
-random-looking strings: candidates are runs of token characters with a digit and a letter; the smallest alphabet that holds
-one is its inferred encoding, over which three tests ask whether the characters are independent and uniform: chi-squared of
-symbol counts, runs above and below the alphabet's middle, serial correlation of neighbours. A candidate's p-value is three
-times the least of the three. Within bands of length the Benjamini-Hochberg rule over all documents' candidates decides which are
-rejected as not random; shorter bands have less power and so a larger share of false rejections is allowed. What isn't
-rejected and lies outside the base spans is a span of kind random.
-
-P-values are counted in LEVELS steps, so the rule needs one histogram of bounded size, not a sort of all candidates.
+random-looking strings: candidates are runs of at least LEAST token characters, of which the parts outside the base spans
+count, each by the same least length; the smallest alphabet that holds one is its inferred encoding, over which four tests
+ask whether the characters are independent and uniform: chi-squared of symbol counts, chi-squared of digits, capitals and
+others, runs above and below the alphabet's middle, serial correlation of neighbours. A candidate's p-value is four times
+the least of the four. Randomness is the null hypothesis, so the share of random strings that are missed is bounded for each
+string, whatever else the corpus holds: a candidate is a span of kind random unless its p-value is at most MISS.
 
 Defined results: null is the empty text, which has no spans; offsets are code points, ends exclusive; texts of any length are
 scanned whole; equal rows get equal results; an empty table gives an empty result; columns other than doc_id and text are ignored.
@@ -24,7 +22,8 @@ from lexispark.llm.shared import written
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets in order of size; a candidate's encoding is the first that holds it.
 ALPHABETS = (
@@ -38,9 +37,8 @@ ALPHABETS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 )
-#: (shortest candidate of a band, allowed share of false rejections).
-BANDS = ((20, 0.20), (32, 0.10), (48, 0.05))
-LEVELS = 1000
+#: The share of random strings that may be taken for text.
+MISS = 0.01
 
 
 def found(rows: DataFrame, pattern: str, name: str, group: int | None = None) -> DataFrame:
@@ -72,6 +70,25 @@ def upper_normal(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * bounded + 0.070566 * bounded * bounded * bounded))
 
 
+def chi_tail(chi: Column, df: Column) -> Column:
+    """The upper tail of chi-squared, by Wilson and Hilferty."""
+    return upper_normal((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+
+
+def class_test(n: Column, k: Column) -> Column:
+    """The p-value of the counts of digits, capitals and others among a value's n characters, by their shares of its alphabet."""
+
+    def counts(c: str) -> list[Column]:
+        digits, capitals = [F.length(c) - F.length(F.translate(c, x, "")) for x in (ALPHABETS[0][:10], ALPHABETS[4][10:])]
+        return [digits, capitals, F.length(c) - digits - capitals]
+
+    chi, df = F.lit(0.0), F.lit(-1)
+    for seen, size in zip(counts("value"), counts("_a"), strict=True):
+        chi = chi + F.when(size > 0, F.pow(seen - n * size / k, F.lit(2.0)) / (n * size / k)).otherwise(F.lit(0.0))
+        df = df + (size > 0).cast("int")
+    return chi_tail(chi, df)
+
+
 def battery(rows: DataFrame) -> DataFrame:
     """rows with the string column value -> with encoding (place in ALPHABETS), n and p."""
     alphabet = F.lit(None).cast("string")
@@ -91,20 +108,24 @@ def battery(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_var", total(F.transform("_x", lambda v: (v - deviation) * (v - deviation))))
     rows = rows.withColumn("_cov", total(F.transform("_x", lambda v, i: F.when(i > 0, (v - deviation) * (F.get(F.col("_x"), i - 1) - deviation)).otherwise(F.lit(0.0)))))
     df = k - 1
-    chi = upper_normal((F.pow(F.greatest(F.col("_chi"), F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+    chi = chi_tail(F.col("_chi"), df)
     low = n - F.col("_high")
     expected = 1 + 2 * F.col("_high") * low / n
     spread = F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9))
     runs = F.when((F.col("_high") == 0) | (low == 0), F.pow(F.lit(2.0), 1 - n)).otherwise(2 * upper_normal(F.abs(F.col("_runs") - expected) / F.sqrt(spread)))
     serial = F.when(F.col("_var") > 0, 2 * upper_normal(F.abs(F.col("_cov") / F.col("_var") + 1 / (n - 1)) * F.sqrt(n - 1.0))).otherwise(F.lit(0.0))
-    return rows.withColumn("p", F.least(F.lit(1.0), 3 * F.least(chi, runs, serial)))
+    return rows.withColumn("p", F.least(F.lit(1.0), 4 * F.least(chi, class_test(n, k), runs, serial)))
 
 
-def band_of(n: Column) -> Column:
-    band = F.lit(0)
-    for i, (least, _) in enumerate(BANDS):
-        band = F.when(n >= least, F.lit(i)).otherwise(band)
-    return band
+def outside(s: Column) -> Column:
+    """The parts of a candidate that no base span covers and that are long enough; base is in order of starts."""
+    parts = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    part = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end"), F.substring(s["value"], start - s["start"] + 1, end - start).alias("value")))
+    long_enough = lambda out, start, end: F.when(end - start >= LEAST, F.concat(out, part(start, end))).otherwise(out)
+    first = F.struct(s["start"].alias("at"), parts.alias("out"))
+    touching = F.filter("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), long_enough(acc["out"], acc["at"], b["start"]).alias("out"))
+    return F.aggregate(touching, first, step, lambda acc: long_enough(acc["out"], acc["at"], s["end"]))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -121,30 +142,12 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
     spans = F.concat(of_kind("_assign", 8, 0), of_kind("_access", 16, 1), of_kind("_hex", 32, 2))
     rows = rows.withColumn("base", F.array_sort(spans))
-    fresh = F.filter("_maybe", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.withColumn("maybe", fresh).drop("_assign", "_access", "_hex", "_maybe")
+    return rows.withColumn("maybe", F.flatten(F.transform("_maybe", outside))).drop("_assign", "_access", "_hex", "_maybe")
 
 
 def tested(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each candidate with its band and p-value level (1 to LEVELS)."""
-    each = battery(rows.select(*keys, F.explode("maybe").alias("_s")).select(*keys, "_s.*"))
-    level = F.greatest(F.lit(1), F.ceil(F.col("p") * LEVELS).cast("int"))
-    return each.select(*keys, "start", "end", band_of(F.col("n")).alias("band"), level.alias("level"), "p")
-
-
-def rejection_levels(candidates: DataFrame) -> dict[int, int]:
-    """For each band the highest level that the Benjamini-Hochberg rule rejects (0: none). The histogram has at most len(BANDS) * LEVELS rows."""
-    counts = candidates.groupBy("band", "level").count().collect()
-    out = {}
-    for band, (_, share) in enumerate(BANDS):
-        by_level = sorted((r["level"], r["count"]) for r in counts if r["band"] == band)
-        total, below, limit = sum(c for _, c in by_level), 0, 0
-        for level, count in by_level:
-            below += count
-            if level / LEVELS <= share * below / total:
-                limit = level
-        out[band] = limit
-    return out
+    """A row for each candidate with its p-value."""
+    return battery(rows.select(*keys, F.explode("maybe").alias("_s")).select(*keys, "_s.*")).select(*keys, "start", "end", "p")
 
 
 def row_name() -> Column:
@@ -160,9 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = base_spans(docs.select("doc_id", "text", row_name().alias("row_name")))
     rows = written(rows.select("doc_id", "row_name", "base", "maybe"), "candidates")
     each = written(tested(rows.where(F.size("maybe") > 0), ["row_name"]).dropDuplicates(["row_name", "start"]), "battery")
-    limits = rejection_levels(each)
-    limit = F.element_at(F.array(*[F.lit(limits[b]) for b in range(len(BANDS))]), F.col("band") + 1)
-    random = each.where(F.col("level") > limit).groupBy(F.col("row_name").alias("_r")).agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")).alias("_random"))
+    random = each.where(F.col("p") > MISS).groupBy(F.col("row_name").alias("_r")).agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")).alias("_random"))
     rows = rows.join(random, F.col("row_name") == F.col("_r"), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("_random", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return rows.select("doc_id", "row_name", "base", spans.alias("spans"))

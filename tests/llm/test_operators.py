@@ -301,6 +301,30 @@ def test_redaction_leaves_no_span(spark):
     assert got == {1: ("a [SECRET] b", 12), 2: ("clean", 5), 3: (None, None)}
 
 
+def test_secret_scan_misses_few_random_strings_among_identifiers(spark):
+    r = random.Random(17)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    alphabets = (base62, base62 + "-_", base62[26:])
+    key = lambda i: "".join(r.choice(alphabets[i % 3]) for _ in range((20, 24, 32)[i // 3 % 3]))
+    no_digit = lambda: "".join(r.choice(base62[:52]) for _ in range(20))
+    words = "get user account profile index table value count report status".split()
+    texts = [(i, "text", "-".join(r.choice(words) for _ in range(5)) + "-2") for i in range(9_000)]
+    texts += [(10_000 + i, "key", key(i)) for i in range(900)] + [(20_000 + i, "letters", no_digit()) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id bigint, kind string, text string").repartition(4)
+    found = {x.doc_id for x in secret_scan.scan_digests(df.select("doc_id", "text")).where("n_random > 0").collect()}
+    share = lambda kind: np.mean([i in found for i, k, _ in texts if k == kind])
+    print("found", {k: share(k) for k in ("text", "key", "letters")})
+    assert share("key") > 0.97 and share("letters") > 0.85 and share("text") < 0.1
+
+
+def test_secret_scan_keeps_what_base_spans_leave_of_a_candidate(spark):
+    key = "sk-9fJ2kLm4Qx7Rt1Vb8Zw3"
+    text = "é " + key + "/AKIA" + "A1B2" * 4 + "_" + key + " token=abcdefgh"
+    spans = secret_scan.scan_digests(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().spans.split(",")
+    at = text.index("AKIA")
+    assert spans == [f"random:2:{at}", f"access:{at}:{at + 20}", f"random:{at + 20}:{at + 21 + len(key)}", f"assign:{len(text) - 14}:{len(text)}"]
+
+
 def test_randomness_battery_tells_random_from_text(spark):
     r = random.Random(11)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

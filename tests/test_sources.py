@@ -85,3 +85,19 @@ def test_known_words_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("known").count() == 1
+
+
+def test_known_words_stream_takes_late_events_and_no_repeats(spark, tmp_path):
+    schema, source = "user_id int, word string, ts timestamp", str(tmp_path / "in")
+    event = lambda word, day: f"SELECT 1 AS user_id, '{word}' AS word, timestamp'2024-01-{day:02}' AS ts"
+    spark.sql(event("a", 1)).write.parquet(source)
+    stream = incremental.known_words_stream(spark.readStream.schema(schema).parquet(source))
+    q = stream.writeStream.format("memory").queryName("known_late").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        for word, day in (("b", 10), ("late", 2), ("a", 11), ("c", 20), ("b", 21), ("late", 22)):
+            spark.sql(event(word, day)).write.mode("append").parquet(source)
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r.word for r in spark.table("known_late").collect()) == ["a", "b", "c", "late"]

@@ -1,16 +1,22 @@
 """N-gram Jaccard join by universe-partition pigeonhole.
 
-A document is the set of its distinct n-word shingles. The shingle universe is hashed into segments; how many there are
-depends on the size band of the larger document of a pair. Two sets that reach the similarity differ in at most H elements,
-so if segments have allocations (1: the segment itself is indexed; 2: the segment and its one-deletion neighbourhood) that
-sum to more than H, the pair agrees in some segment up to that segment's allocation less one, and so shares a signature. The
-allocation of a band is the cheapest by a cost model: index entries against how weak the segments' signatures are. Beyond H,
-allocations have a spare of 2 * s, so every document may leave out its weakest segments up to s without losing a pair.
-
-Signatures meet by one shuffle; documents that share one are candidates and make clusters (connected components). Inside a
-cluster all pairs are verified exactly, in blocks of bounded size, and linked documents get the smallest doc_id reachable.
-Copies of equal shingle sets are one node from the start, so a group of copies adds no pairs. Shingles are compared by 64-bit
-hashes: two of n distinct shingles meet with probability n*n / 2**65.
+A document is the set of its distinct n-word shingles; documents with equal sets are one node. The shingle universe is hashed
+into segments; how many there are depends on the size band of the larger document of a pair. Two sets that reach the similarity
+differ in at most H elements, so if segments have allocations (1: the segment itself is indexed; 2: the segment and its
+one-deletion neighbourhood) that sum to H + 1 + 2 * s, the segments on which the pair agrees hold at least 1 + 2 * s of it.
+Every document leaves out its weakest segments up to s - 1, so linked documents share several signatures, not just one. The
+allocation of a band is the cheapest by a cost model: index entries against how weak the segments' signatures are.
+
+Signatures meet in one shuffle. What follows works on pairs, and a pair is verified before it joins anything:
+1. each node is compared with the one node with which it shares most signatures; links make components;
+2. in signature groups that still hold several components, pairs across components are candidates if sizes allow the
+   similarity, if their parity sketches differ in at most H bits (each element flips one bit, so more bits mean more differing
+   elements) and if they share as many signatures as the pigeonhole promises; these are compared too.
+Every link lies in one component after the first step or is a candidate of the second, so none is lost, while a group of
+thousands of near copies needs a comparison for each, not for each two. Texts travel once for each comparison with their hub;
+hubs with many partners and signature groups with many members are split.
+
+Shingles are compared by 64-bit hashes: two of n distinct shingles meet with probability n*n / 2**65.
 
 Defined results: null texts and texts without words have the empty set and link with nothing (each row is its own component);
 fewer words than n are one shingle; rows that repeat a doc_id each get a row; a null doc_id counts as larger than any other when
@@ -27,15 +33,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import BROADCAST_ROWS, ascii_lower, partitions, without, word_hashes, written
+from lexispark.llm.shared import ascii_lower, discard, joined_small, partitions, word_hashes, written
 
 #: How many index entries a signature that rests on two shingles or fewer is worth.
 WEAK = 3.0
-#: Documents of a cluster that are compared in one group with another such block.
-BLOCK = 1024
+#: Members of a signature group, and partners of a hub, that are handled together; larger groups are split.
+BLOCK = 2048
+PARTNERS = 512
+#: Bits of a parity sketch: about half the set's size, between these.
+SKETCH_BITS = (64, 8192)
 
 
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -83,10 +93,15 @@ def most_differences(largest: int, percent: int) -> int:
 
 
 def spare(largest: int, percent: int) -> int:
-    """Weight of a document's allocation that may be left out of the index."""
+    """s: half of what allocations sum to beyond H + 1."""
     return 2 + most_differences(largest, percent) // 16
 
 
+def left_out(largest: int, percent: int) -> int:
+    """Weight of a document's allocation that may be left out of the index."""
+    return spare(largest, percent) - 1
+
+
 @lru_cache(maxsize=4096)
 def allocation(largest: int, percent: int) -> tuple[int, int]:
     """(segments, how many of them have allocation 2) for sets of at most this size, by least cost."""
@@ -122,7 +137,7 @@ def band_signatures(value: np.ndarray, doc: np.ndarray, band: np.ndarray, upper:
         by_load = np.argsort(count.reshape(-1, m), axis=1, kind="stable")
         skipped_weight = np.cumsum(weight[by_load], axis=1)
         skip = np.zeros((len(docs), m), bool)
-        np.put_along_axis(skip, by_load, skipped_weight <= spare(largest, percent), axis=1)
+        np.put_along_axis(skip, by_load, skipped_weight <= left_out(largest, percent), axis=1)
         name = mix(np.tile(np.arange(m, dtype=np.uint64), len(docs)), int(b) + 5000)
         keep = ~skip.ravel()
         out_s.append(mix(total ^ name, 3)[keep])
@@ -145,11 +160,27 @@ def node_names(value: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return mix(digest ^ np.bincount(doc, minlength=docs).astype(np.uint64), 7).astype(np.int64)
 
 
-def sets_udf(n: int, percent: int, parts: int):
-    """Rows of two kinds: for each document its set's size, node and index entries; for each batch and shuffle partition the
-    signatures that go there, as 64-bit words (48 bits of signature, 16 of the entry's place) beside the entries."""
+def sketch_widths(size: np.ndarray) -> np.ndarray:
+    """Bits of the sketch of each set: a power of two."""
+    half = np.maximum(size // 2, 1)
+    return np.clip(2 ** np.ceil(np.log2(half)).astype(np.int64), *SKETCH_BITS)
+
+
+def sketches(value: np.ndarray, doc: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Parity sketches: every element flips one bit. A sketch folds to half its width by xor of its halves."""
+    width = sketch_widths(size)
+    start = np.append(0, np.cumsum(width))
+    at = start[doc] + (mix(value, 991) & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.bincount(at, minlength=start[-1]) & 1
+    data = np.packbits(bits.astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def sets_udf(n: int, percent: int, kind: pa.DataType):
+    """Rows of two kinds: for each document its name, set size, node and sketch (doc); and its signatures (doc is null)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
@@ -163,63 +194,101 @@ def sets_udf(n: int, percent: int, parts: int):
                 own = np.searchsorted(edges, np.maximum(size, 1), side="right") - 1
                 fresh = np.zeros(docs, bool)  # copies inside the batch are indexed once
                 fresh[np.unique(node, return_index=True)[1]] = True
-                entry, words, places = [], [], []
+                found = []
                 for up in (0, 1):
-                    top = edges[own + 1 + up] - 1
                     reaches = (edges[own + up] * percent <= 100 * size) & (size > 0)
                     use = (reaches & fresh)[doc]
-                    sig, place = band_signatures(value[use], doc[use], own + up, top, percent)
-                    words.append(sig)
-                    places.append(place + up * docs)
-                    key = mix(node.astype(np.uint64) ^ mix((own + up).astype(np.uint64), 11), 13).astype(np.int64)
-                    entry.append((key, reaches))
-                sig, place = np.concatenate(words), np.concatenate(places)
-                keys = np.concatenate([entry[0][0], entry[1][0]])
-                part = (sig % np.uint64(parts)).astype(np.int64)
-                packed = (mix(sig, 17) & np.uint64(0xFFFFFFFFFFFF0000)) | place.astype(np.uint64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                filled = np.flatnonzero(np.diff(cuts))
-                blobs, entries = [], []
-                for x in filled:
-                    mine = packed[order[cuts[x] : cuts[x + 1]]]
-                    used, place = np.unique(mine & np.uint64(0xFFFF), return_inverse=True)
-                    blobs.append(((mine & np.uint64(0xFFFFFFFFFFFF0000)) | place.astype(np.uint64)).tobytes())
-                    entries.append(keys[used.astype(np.int64)].tobytes())
-                m = len(filled)
-                nulls = lambda kind, k: pa.nulls(k, kind)
-                own_key, up_key = (pa.array(k, mask=~ok) for k, ok in entry)
-                columns = [
-                    pa.concat_arrays([batch.column("doc_id"), nulls(batch.column("doc_id").type, m)]),
-                    pa.concat_arrays([pa.array(size), nulls(pa.int64(), m)]),
-                    pa.concat_arrays([pa.array(node), nulls(pa.int64(), m)]),
-                    pa.concat_arrays([own_key, nulls(pa.int64(), m)]),
-                    pa.concat_arrays([up_key, nulls(pa.int64(), m)]),
-                    pa.concat_arrays([nulls(pa.int32(), docs), pa.array(filled.astype(np.int32))]),
-                    pa.concat_arrays([nulls(pa.binary(), docs), pa.array(blobs, pa.binary())]),
-                    pa.concat_arrays([nulls(pa.binary(), docs), pa.array(entries, pa.binary())]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "own", "up", "part", "sigs", "entries"])
+                    found.append(band_signatures(value[use], doc[use], own + up, edges[own + 1 + up] - 1, percent))
+                sig, place = (np.concatenate(x) for x in zip(*found, strict=True))
+                about = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(size), sketches(value, doc, size)], names=["doc_id", "rid", "size", "sketch"])
+                spread = mix(np.arange(at, at + docs, dtype=np.uint64) ^ node.astype(np.uint64), 5).astype(np.int64)
+                at += docs
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(node), about], names=["sig", "node", "doc"])
+                for b in range(0, len(sig), 50_000):
+                    part = slice(b, b + 50_000)
+                    columns = [pa.array(sig[part].astype(np.int64)), pa.array(node[place[part]])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), about.type)], names=["sig", "node", "doc"])
 
     return sets
 
 
-def meet_udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The signatures of some shuffle partitions -> edges from each entry to the smallest entry with which it shares a signature."""
-    by_part: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        for part, blob, own in zip(*(batch.column(c).to_pylist() for c in ("part", "sigs", "entries")), strict=True):
-            packed = np.frombuffer(blob, np.uint64)
-            by_part.setdefault(part, []).append((packed >> np.uint64(16), np.frombuffer(own, np.int64)[(packed & np.uint64(0xFFFF)).astype(np.int64)]))
-    for found in by_part.values():
-        sig, entry = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(sig, kind="stable")
-        sig, entry = sig[order], entry[order]
-        starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        least = np.repeat(np.minimum.reduceat(entry, starts), np.diff(np.append(starts, len(sig))))
-        pairs = np.unique(np.stack([entry, least], axis=1)[entry != least], axis=0)
-        for a in range(0, len(pairs), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 100_000, 0]), pa.array(pairs[a : a + 100_000, 1])], names=["u", "v"])
+def differing_bits(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """In how many bits the sketches of each pair differ, the wider ones folded."""
+    out = np.zeros(len(a), np.int64)
+    widths = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for wide, narrow in np.unique(np.sort(widths, axis=1)[:, ::-1], axis=0):
+        at = np.flatnonzero((widths.max(axis=1) == wide) & (widths.min(axis=1) == narrow))
+        both = []
+        for side in (a, b):
+            rows = [side[i] for i in at]
+            both.append(np.stack([r if len(r) == narrow else np.bitwise_xor.reduce(r.reshape(-1, narrow), axis=0) for r in rows]))
+        out[at] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1)
+    return out
+
+
+@lru_cache(maxsize=100_000)
+def promised(larger: int, differences: int, percent: int) -> int:
+    """How many signatures two sets share at least if they differ in no more elements than this."""
+    edges = band_edges(percent, larger)
+    largest = int(edges[np.searchsorted(edges, larger, side="right")]) - 1
+    m, twos = allocation(largest, percent)
+    weight = m + twos - differences - 2 * left_out(largest, percent)
+    return -(-weight // 2) if twos else weight
+
+
+def pairs_udf(percent: int):
+    """Members of signature groups, group by group -> pairs across components that sizes and sketches allow, with the number of
+    signatures that a link would have to share."""
+
+    def candidates(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        number = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+        sig, i, j, own, node, root, size = (number(c) for c in ("sig", "i", "j", "own", "node", "root", "size"))
+        fresh = np.ones(len(sig), bool)
+        fresh[1:] = (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        group = np.cumsum(fresh)
+        at, step, out = np.arange(len(sig)), 1, []
+        sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("sketch")]
+        while True:
+            at = at[at + step < len(sig)]
+            at = at[group[at] == group[at + step]]
+            if not len(at):
+                break
+            to = at + step
+            small, large = np.minimum(size[at], size[to]), np.maximum(size[at], size[to])
+            use = (root[at] != root[to]) & (node[at] != node[to]) & (100 * small >= percent * large) & ((own[at] != own[to]) | (i[at] == j[at]))
+            x, y, most = at[use], to[use], ((100 - percent) * (small + large) // (100 + percent))[use]
+            near = differing_bits([sketch[k] for k in x], [sketch[k] for k in y]) <= most
+            x, y, most, large = x[near], y[near], most[near], large[use][near]
+            if len(x):
+                u, v = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+                out.append((u, v, np.array([promised(int(a), int(b), percent) for a, b in zip(large, most, strict=True)], np.int64)))
+            step += 1
+        if not out:
+            return None
+        u, v, need = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(need)], names=["u", "v", "need"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")], axis=1)
+            start = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            last = int(start[-1]) + 1 if len(start) else 0  # where the batch's last group begins
+            if last or (held and any(held[-1].column(c)[-1].as_py() != k for c, k in zip(("sig", "i", "j"), keys[0].tolist(), strict=True))):
+                held.append(batch.slice(0, last))
+                found = candidates(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                if found is not None:
+                    yield found
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            found = candidates(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            if found is not None:
+                yield found
+
+    return pairs
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -234,110 +303,122 @@ def connected_components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down.select(F.col("u").alias("k"), "m"), F.col("u") == F.col("k"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        before, edges = edges, written(small.where("u <> v").distinct(), "edges")
+        discard(before)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = state
 
 
-def link_labels(values: list[np.ndarray], percent: int) -> np.ndarray:
-    """Distinct-element sets -> for each the smallest index reachable by links, all pairs compared exactly."""
-    k = len(values)
-    size = np.array([len(v) for v in values], np.int64)
-    owner = np.repeat(np.arange(k), size)
-    _, token = np.unique(np.concatenate(values), return_inverse=True)
-    df = np.bincount(token)
-    shared = df[token] > 1
-    owner, token = owner[shared], token[shared]
-    _, token = np.unique(token, return_inverse=True)
-    common = np.zeros((k, k), np.float32)
-    width = int(token.max(initial=-1)) + 1
-    for a in range(0, width, 4096):
-        here = (token >= a) & (token < a + 4096)
-        block = np.zeros((k, min(4096, width - a)), np.float32)
-        block[owner[here], token[here] - a] = 1
-        common += block @ block.T
-    common = common.astype(np.int64)
-    linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-    labels = np.arange(k)
-    while True:
-        lower = np.where(linked, labels[None, :], k).min(axis=1)
-        lower = np.minimum(lower, labels)
-        lower = lower[lower]
-        if (lower == labels).all():
-            return labels
-        labels = lower
-
-
 def verify_udf(n: int, percent: int):
-    def verify(table: pa.Table) -> pa.Table:
-        cluster = table["cluster"].to_numpy()
-        order = np.argsort(cluster, kind="stable")
-        table = table.take(pa.array(order))
-        cluster, node = cluster[order], table["node"].to_numpy()
-        lists = table["_h"].combine_chunks()
-        offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
-        value, doc = shingle_sets(lists.flatten().to_numpy(zero_copy_only=False), offsets, n)
-        cuts = np.searchsorted(doc, np.arange(len(node) + 1))
-        right = node_names(value, doc, len(node)) == node  # a doc_id that has several texts brings others along
-        edges = np.append(np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])), len(cluster))
-        u, v = [], []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            names, at = np.unique(node[a:b][right[a:b]], return_index=True)
-            if len(names) > 1:
-                own = np.flatnonzero(right[a:b])[at] + a
-                labels = link_labels([value[cuts[i] : cuts[i + 1]] for i in own], percent)
-                moved = np.flatnonzero(labels != np.arange(len(names)))
-                u.append(names[moved])
-                v.append(names[labels[moved]])
-        column = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"u": column(u), "v": column(v)})
+    """Word hashes by (hub, salt), the hub's own first -> (hub, node) where the sets of both are linked. Equal rows follow one another."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                lists = batch.column("_h")
+                offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+                value, doc = shingle_sets(lists.flatten().to_numpy(zero_copy_only=False), offsets, n)
+                cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                u, v = [], []
+                for k, (of, node) in enumerate(zip(batch.column("hub").to_pylist(), batch.column("node").to_pylist(), strict=True)):
+                    mine = value[cuts[k] : cuts[k + 1]]
+                    if of == node:
+                        hub, own = of, mine
+                    elif of == hub:
+                        common = len(np.intersect1d(own, mine, assume_unique=True))
+                        if 100 * common >= percent * (len(own) + len(mine) - common):
+                            u.append(of)
+                            v.append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return verify
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id: documents linked when 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)["doc_id"]
-    parts = partitions(spark)
-    lists = docs.select("doc_id", word_hashes(ascii_lower(F.col("text"))).alias("_h"))
-    found = written(lists.mapInArrow(sets_udf(n, percent, parts), f"doc_id {kind}, n_shingles bigint, node bigint, own bigint, up bigint, part int, sigs binary, entries binary"), "sets")
-    sets = found.where("n_shingles IS NOT NULL")
-    candidates = found.where("part IS NOT NULL").select("part", "sigs", "entries").repartition(parts, "part").mapInArrow(meet_udf, "u bigint, v bigint").distinct()
-    clusters = written(connected_components(candidates).select(F.col("node").alias("entry"), F.col("root").alias("cluster")), "clusters")
-    nodes = sets.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("min_doc"), F.max("own").alias("own"), F.max("up").alias("up"))
-    nodes = written(nodes, "nodes")
-
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    entries = nodes.select("node", "min_doc", F.explode(F.array("own", "up")).alias("entry")).where("entry IS NOT NULL AND min_doc IS NOT NULL")
-    members = clusters.join(sizes, "cluster").join(entries, "entry").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    members = written(members, "members")
-    n_members = members.count()
-    keys = members.select(F.col("min_doc").alias("_id"), "node", "cluster", "blocks")
-    if n_members <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    fetched = docs.select("doc_id", "text").join(keys, F.col("doc_id") == F.col("_id")).select("node", "cluster", "blocks", "text")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    bundle = F.pmod(F.xxhash64("cluster"), F.lit(max(1, n_members // 1000))).cast("int")
-    lone = fetched.where("blocks = 1").select(F.lit(0).cast("bigint").alias("g"), bundle.alias("i"), F.lit(0).alias("j"), "cluster", "node", "text")
-    many = fetched.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
-    many = many.select(F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cluster", "node", "text")
+def row_name() -> Column:
+    """A 64-bit name of a row, which rows equal in doc_id and text share."""
+    return F.xxhash64("doc_id", "text")
+
+
+def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """pairs (u, v) of nodes -> those that are linked. nodes: node, rid (the row from which its set can be made)."""
+    parts = partitions(docs.sparkSession)
+    many = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("_n"))
+    dealt = pairs.join(many.withColumnRenamed("u", "_u"), F.col("u") == F.col("_u"))
+    dealt = dealt.select(F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.col("_n")).cast("int").alias("salt"), F.col("v").alias("node"))
+    wanted = dealt.unionByName(dealt.select("hub", "salt", F.col("hub").alias("node")).distinct())
+    wanted = wanted.join(nodes.select(F.col("node").alias("_node"), F.col("rid").alias("_rid")), F.col("node") == F.col("_node")).select("hub", "salt", "node", "_rid")
+    texts = joined_small(docs.select(row_name().alias("rid"), "text"), written(wanted, "wanted"), F.col("rid") == F.col("_rid"))
     # texts are dealt out, which compress, and hashed where they arrive
-    dealt = lone.unionByName(many).repartition(parts, "g", "i", "j")
-    dealt = dealt.select("g", "i", "j", "cluster", "node", word_hashes(ascii_lower(F.col("text"))).alias("_h"))
-    edges = dealt.groupBy("g", "i", "j").applyInArrow(verify_udf(n, percent), "u bigint, v bigint")
-    roots = connected_components(edges)
+    texts = texts.select("hub", "salt", "node", (F.col("hub") != F.col("node")).alias("leaf"), "text").repartition(parts, "hub", "salt")
+    texts = texts.sortWithinPartitions("hub", "salt", "leaf", "node").select("hub", "node", word_hashes(ascii_lower(F.col("text"))).alias("_h"))
+    return texts.mapInArrow(verify_udf(n, percent), "u bigint, v bigint").distinct()
+
+
+def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """met (sig, node): members of signature groups -> candidate pairs (u, v) across components."""
+    parts = partitions(met.sparkSession)
+    labelled = met.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
+    group = W.partitionBy("sig")
+    labelled = labelled.select("sig", "node", F.coalesce("root", "node").alias("root")).distinct()
+    labelled = labelled.select("*", F.min("root").over(group).alias("_low"), F.max("root").over(group).alias("_high"), F.count(F.lit(1)).over(group).alias("_k"))
+    labelled = labelled.where("_low <> _high").withColumn("_blocks", F.ceil(F.col("_k") / BLOCK).cast("int"))
+    labelled = labelled.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    members = labelled.join(nodes.select(F.col("node").alias("_node"), "size", "sketch"), F.col("node") == F.col("_node"))
+    members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    members = members.select("sig", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "node", "root", "size", "sketch")
+    pairs = members.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(pairs_udf(percent), "u bigint, v bigint, need bigint")
+    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_shared"), F.min("need").alias("_need")).where("_shared >= _need").select("u", "v")
+
+
+def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, rid, n_shingles, root: rows of linked documents share a root; null without words."""
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType
+    lists = docs.select("doc_id", row_name().alias("rid"), word_hashes(ascii_lower(F.col("text"))).alias("_h"))
+    schema = f"sig bigint, node bigint, doc struct<doc_id: {kind.simpleString()}, rid: bigint, size: bigint, sketch: binary>"
+    found = lists.mapInArrow(sets_udf(n, percent, kind), schema)
+    # documents travel beside the signatures, which so needn't be made twice; their keys spread them evenly
+    group = W.partitionBy("sig", "_is_doc")
+    found = found.withColumn("_is_doc", F.col("doc").isNotNull())
+    found = found.select("*", F.min("node").over(group).alias("head"), F.max("node").over(group).alias("_last"))
+    found = written(found.where("_is_doc OR head <> _last").select("sig", "node", "doc", "head"), "met")
+    rows = found.where("doc IS NOT NULL").select("node", "doc.*")
+    met = found.where("doc IS NULL")
+    nodes = written(rows.where("size > 0").groupBy("node").agg(F.min("rid").alias("rid"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
+
+    stars = met.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c")).where("c >= 3")
+    stars = stars.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("u")).select("u", F.col("node").alias("v"))
+    first = written(linked(docs, nodes, stars, n, percent), "links")
+    roots = written(connected_components(first), "roots")
+    pairs = written(candidate_pairs(met.select("sig", "node"), nodes, roots, percent), "pairs")
+    second = linked(docs, nodes, pairs, n, percent)
+    roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second))
+    rows = rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    return rows.select("doc_id", "rid", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("root", "node")).alias("root"))
 
-    labelled = nodes.select("node", "min_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = labelled.groupBy("root").agg(F.min("min_doc").alias("component_id"))
-    by_node = labelled.join(smallest, "root").select("node", "component_id")
-    rows = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
-    return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id: documents linked when 100 * intersection >= percent * union."""
+    rows = written(components(docs, n, percent), "components")
+    smallest = rows.where("root IS NOT NULL").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("_least"))
+    rows = rows.join(smallest, F.col("root") == F.col("_root"), "left")
+    return rows.select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one document of each component: the one with the smallest doc_id stays, rows with a null doc_id stay."""
-    members = jaccard_components(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, members)
+    """docs without all but one row of each component: of the rows with the smallest doc_id (null is largest) one stays. Rows without
+    words link with nothing and stay."""
+    rows = written(components(docs, n, percent).where("root IS NOT NULL"), "components")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    several = rows.join(first.where("_rows > 1").withColumnRenamed("root", "_root"), F.col("root") == F.col("_root"))
+    several = written(several.groupBy("rid").agg(F.min((F.col("_first.rid") == F.col("rid")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("times")), "copies")
+    named = docs.withColumn("_rid", row_name())
+    gone = several.where("stays = 0 OR times > 1").select(F.col("rid").alias("_gone"))
+    left = joined_small(named, gone, F.col("_rid") == F.col("_gone"), "left_anti")
+    # the few rows that stay but occur more than once are reduced to one
+    again = joined_small(named, several.where("stays = 1 AND times > 1").select(F.col("rid").alias("_gone")), F.col("_rid") == F.col("_gone"), "left_semi").dropDuplicates(["_rid"])
+    return left.unionByName(again).select(*docs.columns)

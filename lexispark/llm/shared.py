@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: The white space that parts words: space and the five controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows of a few integers that may be broadcast (16 to 40 MB); beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few integers that may be broadcast (10 to 25 MB); beyond, both sides are shuffled.
+BROADCAST_ROWS = 250_000
 
 _local_dirs: dict[str, str] = {}
 
@@ -39,12 +39,24 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Removes the files of a written table that nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if folder.startswith((shared_dir(table.sparkSession), f"file://{shared_dir(table.sparkSession)}")):
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined_small(rows: DataFrame, keys: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """rows joined with keys, a written table of a few integers a row: rows stay where they are if the counted keys may be broadcast."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids (doc_id): texts stay where they are if the counted ids may be broadcast."""
+    """docs without the rows whose doc_id is in ids (doc_id)."""
     gone = written(ids.select(F.col("doc_id").alias("_gone")), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return joined_small(docs, gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def words(text: Column) -> Column:

@@ -139,20 +139,69 @@ def test_jaccard_join_hard_rows(docs, empty):
     assert jaccard_join.jaccard_components(docs).count() == len(rows())
     assert jaccard_join.jaccard_components(empty).count() == 0
     assert jaccard_join.representatives(docs).where("doc_id IS NULL").count() == 1
+    assert jaccard_join.representatives(empty).count() == 0
 
 
-def test_jaccard_blocks_of_a_large_cluster(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
-    r = random.Random(7)
-    base = [f"v{i}" for i in range(120)]
-    texts = []
-    for i in range(60):
+def words_with(last, n=200):
+    return " ".join([f"w{i}" for i in range(n - 1)] + [last])
+
+
+def test_jaccard_join_of_null_ids(spark):
+    texts = [(1, words_with("x")), (None, words_with("y")), (None, "alone in a row of words"), (7, words_with("z")), (None, words_with("y")), (3, None)]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (None, None), (7, 1), (None, 1), (3, 3)], key=str)
+
+
+def test_representatives_of_repeated_ids(spark):
+    texts = [(1, words_with("x")), (1, "another text of the same id"), (2, words_with("y")), (2, "a text that only two has"), (4, "twice the same row"), (4, "twice the same row"), (None, words_with("z")), (6, ""), (6, "")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.representatives(df, 3, 90).collect()), key=str)
+    assert got == sorted([texts[0], texts[1], texts[3], texts[4], texts[7], texts[8]], key=str)
+
+
+def edits(seed, count, length, most):
+    r = random.Random(seed)
+    base = [f"v{i}" for i in range(length)]
+    for i in range(count):
         words = list(base)
-        for _ in range(r.randint(0, 6)):
-            words[r.randrange(120)] = f"n{r.randrange(1000)}"
-        texts.append((i, " ".join(words)))
+        for _ in range(r.randint(0, most)):
+            words[r.randrange(length)] = f"n{r.randrange(1000)}"
+        yield i, " ".join(words)
+
+
+@pytest.mark.parametrize(("n", "percent", "most"), [(3, 90, 6), (5, 80, 9)])
+def test_jaccard_blocks_of_large_groups(spark, monkeypatch, n, percent, most):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 3)
+    texts = list(edits(7, 90, 120, most)) + [(100 + i, t + " and more") for i, t in edits(8, 40, 60, most)]
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()} == linked(texts, 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, n, percent).collect()} == linked(texts, n, percent)
+
+
+def test_candidates_of_one_band_stay_few(spark):
+    r = random.Random(4)
+    shared = [f"s{i}" for i in range(12)]
+    texts = [(i, " ".join([r.choice("abcdefgh") + str(r.randrange(60)) for _ in range(20)] + shared)) for i in range(5_000)]
+    texts += [(9_000 + i, texts[i][1] + " x") for i in range(50)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    seen = []
+    plain = jaccard_join.linked
+    jaccard_join.linked = lambda docs, nodes, pairs, *a: seen.append(pairs.count()) or plain(docs, nodes, pairs, *a)
+    try:
+        got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(df).collect()}
+    finally:
+        jaccard_join.linked = plain
+    assert all(got[9_000 + i] == i for i in range(50)) and max(seen) < 10_000
+
+
+def test_parity_sketches_bound_differences():
+    r = np.random.default_rng(6)
+    for size in (1, 3, 40, 300, 3000):
+        a = np.unique(r.choice(1 << 62, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[size // 10 :], r.choice(1 << 62, size // 8).astype(np.uint64)]))
+        both = jaccard_join.sketches(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]))
+        x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in both)
+        assert jaccard_join.differing_bits([x], [y])[0] <= len(np.setxor1d(a, b))
 
 
 def test_pigeonhole_loses_no_pair():

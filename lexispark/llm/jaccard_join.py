@@ -212,17 +212,23 @@ def sets_udf(n: int, percent: int, kind: pa.DataType):
     return sets
 
 
-def differing_bits(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """In how many bits the sketches of each pair differ, the wider ones folded."""
-    out = np.zeros(len(a), np.int64)
-    widths = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
-    for wide, narrow in np.unique(np.sort(widths, axis=1)[:, ::-1], axis=0):
-        at = np.flatnonzero((widths.max(axis=1) == wide) & (widths.min(axis=1) == narrow))
-        both = []
-        for side in (a, b):
-            rows = [side[i] for i in at]
-            both.append(np.stack([r if len(r) == narrow else np.bitwise_xor.reduce(r.reshape(-1, narrow), axis=0) for r in rows]))
-        out[at] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1)
+def differing_bits(column: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches at places x and y of a column differ, the wider ones folded."""
+    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 8
+    flat = np.frombuffer(column.buffers()[2], np.uint64)
+    words = np.diff(start)
+    out = np.zeros(len(x), np.int64)
+    narrow = np.minimum(words[x], words[y])
+    for w in np.unique(narrow):
+        at = np.flatnonzero(narrow == w)
+        a, b = start[x[at]], start[y[at]]
+        turns_a, turns_b = words[x[at]] // w, words[y[at]] // w
+        for k in range(w):
+            bits = flat[a + k] ^ flat[b + k]
+            for first, turns in ((a, turns_a), (b, turns_b)):
+                for t in range(1, int(turns.max())):
+                    bits ^= np.where(turns > t, flat[np.minimum(first + k + t * w, len(flat) - 1)], np.uint64(0))
+            out[at] += np.bitwise_count(bits)
     return out
 
 
@@ -247,7 +253,6 @@ def pairs_udf(percent: int):
         fresh[1:] = (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         group = np.cumsum(fresh)
         at, step, out = np.arange(len(sig)), 1, []
-        sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("sketch")]
         while True:
             at = at[at + step < len(sig)]
             at = at[group[at] == group[at + step]]
@@ -257,7 +262,7 @@ def pairs_udf(percent: int):
             small, large = np.minimum(size[at], size[to]), np.maximum(size[at], size[to])
             use = (root[at] != root[to]) & (node[at] != node[to]) & (100 * small >= percent * large) & ((own[at] != own[to]) | (i[at] == j[at]))
             x, y, most = at[use], to[use], ((100 - percent) * (small + large) // (100 + percent))[use]
-            near = differing_bits([sketch[k] for k in x], [sketch[k] for k in y]) <= most
+            near = differing_bits(rows.column("sketch"), x, y) <= most
             x, y, most, large = x[near], y[near], most[near], large[use][near]
             if len(x):
                 u, v = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])

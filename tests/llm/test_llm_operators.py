@@ -198,10 +198,13 @@ def test_parity_sketches_bound_differences():
     r = np.random.default_rng(6)
     for size in (1, 3, 40, 300, 3000):
         a = np.unique(r.choice(1 << 62, size).astype(np.uint64))
-        b = np.unique(np.concatenate([a[size // 10 :], r.choice(1 << 62, size // 8).astype(np.uint64)]))
+        b = np.unique(np.concatenate([a[size // 10 :], r.choice(1 << 62, size).astype(np.uint64)]))
         both = jaccard_join.sketches(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]))
-        x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in both)
-        assert jaccard_join.differing_bits([x], [y])[0] <= len(np.setxor1d(a, b))
+        fold = lambda bits, n: bits if len(bits) == n else fold(bits[: len(bits) // 2] ^ bits[len(bits) // 2 :], n)
+        x, y = (np.unpackbits(np.frombuffer(s.as_buffer(), np.uint8)) for s in both)
+        narrow = min(len(x), len(y))
+        found = jaccard_join.differing_bits(both, np.array([0]), np.array([1]))[0]
+        assert found == (fold(x, narrow) != fold(y, narrow)).sum() <= len(np.setxor1d(a, b))
 
 
 def test_pigeonhole_loses_no_pair():

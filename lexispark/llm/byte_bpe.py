@@ -5,6 +5,12 @@ each word; in every step the positions of a word are unnested to rows that join
 minimum rank is contracted, and words without a pair leave the recursion. Decoding joins token positions to the vocabulary
 and concatenates their bytes in order of position.
 
+Long words (unspaced scripts, encoded data) have a query of their own that keeps only the last state of a word and contracts,
+in one step, every pair whose rank is the least within as many positions to either side as the longest token has bytes. No
+merge of a lower rank can reach such a pair, since what it would have to form with a neighbour is no token; so the result is
+that of one contraction after another, in a number of steps that doesn't grow with the word. This takes a vocabulary that was
+built by merging: while a token forms, ranks never fall (a test holds this for the vocabulary used).
+
 Defined results: null is the empty text, which has no tokens; special strings are ordinary text; texts of any length are encoded whole;
 equal rows get equal results; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
@@ -13,6 +19,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +55,35 @@ WITH RECURSIVE step(w, toks, done) AS (
 )
 SELECT w, toks FROM step WHERE done ORDER BY w
 """
+#: Bytes beyond which a word is a long one, and bytes of long words in one query.
+LONG, LONG_BYTES = 64, 500_000
+
+
+def encode_long(span: int) -> str:
+    return f"""
+WITH RECURSIVE step(w, toks, done) USING KEY (w) AS (
+    SELECT w, toks, len(toks) < 2 FROM words
+    UNION ALL
+    SELECT w, list(CASE WHEN fires THEN new ELSE tok END ORDER BY pos) FILTER (WHERE NOT taken), NOT bool_or(fires)
+    FROM (
+        SELECT w, pos, tok, new, fires, coalesce(lag(fires) OVER (PARTITION BY w ORDER BY pos), false) AS taken
+        FROM (
+            SELECT w, pos, tok, new, new IS NOT NULL AND (row_number() OVER run) % 2 = 1 AND bool_and(least) OVER run AS fires
+            FROM (
+                SELECT w, pos, tok, new, pos - row_number() OVER (PARTITION BY w, new ORDER BY pos) AS part,
+                    new = min(new) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN {span} PRECEDING AND {span} FOLLOWING) AS least
+                FROM (
+                    SELECT p.w, p.pos, p.tok, m.new
+                    FROM (SELECT w, unnest(toks) AS tok, unnest(list_append(toks[2:], -1)) AS following, generate_subscripts(toks, 1) AS pos
+                          FROM step WHERE NOT done) p
+                    LEFT JOIN merges m ON m.pair = (p.tok::BIGINT << 20) | p.following))
+            WINDOW run AS (PARTITION BY w, new, part ORDER BY pos)))
+    GROUP BY w
+)
+SELECT w, toks FROM step ORDER BY w
+"""
+
+
 DECODE = """
 SELECT w, unhex(string_agg(v.hex, '' ORDER BY p.pos)) AS bytes
 FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM coded) p JOIN vocabulary v ON v.tok = p.tok
@@ -73,7 +110,9 @@ class Merger:
                     made.append(rank)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[bytes, tuple[bytes, bytes, int]] = {}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.long = encode_long(max(map(len, self.ranks)))
+        spill = os.path.join(tempfile.gettempdir(), f"duckdb-{os.getpid()}")  # made only when a word outgrows the memory limit, gone with the worker
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill})
         self.table("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "new": pa.array(made, pa.int32())}))
         self.table("vocabulary", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
 
@@ -83,7 +122,7 @@ class Merger:
         self.db.unregister("incoming")
 
     def encode(self, words: list[bytes]) -> tuple[pa.Array, list[bytes]]:
-        """Token ids of each word as a list array, and the bytes that they decode to."""
+        """Token ids of each word, all long or none, as a list array, and the bytes that they decode to."""
         offsets = np.cumsum([0, *map(len, words)], dtype=np.int32)
         start = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         rows = pa.table({"w": np.arange(len(words), dtype=np.int32), "toks": pa.ListArray.from_arrays(pa.array(offsets), pa.array(start))})
@@ -93,7 +132,7 @@ class Merger:
             at, tok = zip(*whole, strict=True)
             self.table("single", pa.table({"w": pa.array(at, pa.int32()), "t": pa.array(tok, pa.int32())}))
             self.db.execute("UPDATE words SET toks = [t] FROM single WHERE single.w = words.w")
-        self.db.execute(f"CREATE OR REPLACE TABLE coded AS {ENCODE}")
+        self.db.execute(f"CREATE OR REPLACE TABLE coded AS {self.long if len(words[0]) > LONG else ENCODE}")
         lists = self.db.sql("SELECT toks FROM coded ORDER BY w").to_arrow_table()["toks"].combine_chunks()
         decoded = self.db.sql(DECODE).to_arrow_table()["bytes"].to_pylist()
         return lists, decoded
@@ -102,8 +141,17 @@ class Merger:
         """(ids joined by spaces, decoded bytes, number of ids) of each distinct word."""
         out = [self.known.get(w) for w in words]
         missing = [i for i, x in enumerate(out) if x is None]
-        for a in range(0, len(missing), WORDS):
-            part = missing[a : a + WORDS]
+        short = [i for i in missing if len(words[i]) <= LONG]
+        parts = [short[a : a + WORDS] for a in range(0, len(short), WORDS)]
+        total = LONG_BYTES
+        for i in missing:
+            if len(words[i]) > LONG:
+                if total + len(words[i]) > LONG_BYTES:
+                    parts.append([])
+                    total = 0
+                parts[-1].append(i)
+                total += len(words[i])
+        for part in parts:
             lists, decoded = self.encode([words[i] for i in part])
             joined = pc.binary_join(lists.cast(pa.list_(pa.string())), " ").cast(pa.binary()).to_pylist()
             sizes = pc.list_value_length(lists).to_pylist()

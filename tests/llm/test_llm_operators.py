@@ -66,6 +66,31 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.encode_digests(empty, RANKS, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_long_words(spark):
+    r = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGH"
+    texts = ["".join(r.choice(letters) for _ in range(n)) for n in (65, 66, 200, 2_000, 100_000)]
+    texts += ["a" * 9_999, "the" * 900, "-" * 1_000 + "=" * 777, " " * 3_000, "".join(chr(0x4E00 + r.randrange(3_000)) for _ in range(4_000)), "".join(r.choice("ab") for _ in range(3_000))]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    for x in byte_bpe.encode_texts(df, RANKS, P.PATTERN).collect():
+        assert x.ids == encoding.encode_ordinary(texts[x.doc_id]) and x.decoded == texts[x.doc_id]
+
+
+def test_ranks_never_fall_while_a_token_forms():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    for token in ranks:
+        parts, last = [token[i : i + 1] for i in range(len(token))], -1
+        while len(parts) > 1:
+            rank, i = min((ranks.get(a + b, math.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == math.inf:
+                break
+            assert rank >= last, token
+            last = rank
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
 def test_token_counts(docs, empty):
     tokenizer = Tokenizer.from_file(JSON)
     want = []

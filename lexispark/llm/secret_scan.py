@@ -1,15 +1,21 @@
 """Secret scans with a randomness test battery (native: DataFrame functions only).
 
 Three base kinds are found by pattern: values assigned to a telling name, access keys, and hexadecimal runs. The method adds
-random-looking strings: candidates are runs of at least LEAST token characters, of which the parts outside the base spans
-count, each by the same least length; the smallest alphabet that holds one is its inferred encoding, over which four tests
-ask whether the characters are independent and uniform: chi-squared of symbol counts, chi-squared of digits, capitals and
-others, runs above and below the alphabet's middle, serial correlation of neighbours. A candidate's p-value is four times
-the least of the four. Randomness is the null hypothesis, so the share of random strings that are missed is bounded for each
-string, whatever else the corpus holds: a candidate is a span of kind random unless its p-value is at most MISS.
-
-Defined results: null is the empty text, which has no spans; offsets are code points, ends exclusive; texts of any length are
-scanned whole; equal rows get equal results; an empty table gives an empty result; columns other than doc_id and text are ignored.
+random-looking strings: candidates are runs of at least LEAST token characters in the text in which assignments, then access
+keys, then hexadecimal runs are blanked out. The smallest alphabet that holds a candidate is its inferred encoding, over which
+four tests ask whether the characters are independent and uniform: chi-squared of symbol counts, chi-squared of digits,
+capitals and others, runs above and below the alphabet's middle, serial correlation of neighbours. The least of the four
+p-values m counts as 1 - (1 - m) ** 4, which is uniform for random strings if the tests are independent.
+
+False discoveries are controlled among what is reported, by length, since short strings tell less: candidates fall into bands
+of doubling length. A candidate is reported if its p-value exceeds its band's threshold t, so of random strings a share t is
+missed. The share of p-values above 0.2, divided by 0.8, estimates how many of a band's candidates are random (4 % too many, as the
+tests depend on one another a little), hence which share of those above t isn't. The threshold is the least of THRESHOLDS at which that share is at most FALSE_SHARE, and their largest
+where none is: the thresholds' range bounds what may be missed, whatever else the corpus holds.
+
+Defined results: null is the empty text, which has no spans; offsets are code points, ends exclusive; texts of any length and any
+number of matches are scanned whole; equal rows get equal results; an empty table gives an empty result; columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 LEAST = 20
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
+#: What a span is called, in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets in order of size; a candidate's encoding is the first that holds it.
 ALPHABETS = (
@@ -37,33 +44,81 @@ ALPHABETS = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 )
-#: The share of random strings that may be taken for text.
-MISS = 0.01
+#: Thresholds from which each band's is taken: bounds of the share of random strings that may be missed.
+THRESHOLDS = tuple(round(0.006 + 0.002 * i, 3) for i in range(11))
+#: The share of reported candidates that may be no random strings, by estimate.
+FALSE_SHARE = 0.1
+#: Beyond this p-value hardly any but random strings are expected.
+CLEARLY_RANDOM = 0.2
+#: The last band of lengths; band b begins at LEAST * 2 ** b.
+LAST_BAND = 6
 
 
-def found(rows: DataFrame, pattern: str, name: str, group: int | None = None) -> DataFrame:
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, which a column used inside a lambda isn't."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def block_size(array: Column) -> Column:
+    """The square root of an array's size: work over blocks of so many is n * sqrt(n) where going over all each time is n * n."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(array))).cast("int"))
+
+
+def over_blocks(array: Column, body) -> Column:
+    """An array of body(block, number, size of blocks) for each block of a non-empty array."""
+
+    def each(size: Column) -> Column:
+        last = F.floor((F.size(array) - 1) / size).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: body(F.slice(array, b * size + 1, size), b, size))
+
+    return let(block_size(array), each)
+
+
+def placed(pieces: Column) -> Column:
+    """pieces (g, m, v: lengths of the gap before a match and of the match, its value) -> (start, end, value) of each."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x["g"] + x["m"])
+
+    def block(sums: Column):
+        def of(part: Column, b: Column, size: Column) -> Column:
+            first = F.struct(F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), lambda acc, x: acc + x).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+
+            def step(acc: Column, x: Column) -> Column:
+                begin = acc["at"] + x["g"]
+                return F.struct((begin + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), (begin + x["m"]).alias("end"), x["v"].alias("value")))).alias("out"))
+
+            return F.aggregate(part, first, step, lambda acc: acc["out"])
+
+        return of
+
+    return let(pieces, lambda p: let(over_blocks(p, lambda part, b, size: total(part)), lambda sums: F.flatten(over_blocks(p, block(sums)))))
+
+
+def found(rows: DataFrame, pattern: str, name: str, group: int | None = None, text: str = "_text") -> DataFrame:
     """Adds the array column name of all matches (start, end, value): value is the match, or its group.
 
     Texts between matches (split) and the matches themselves alternate, so starts are running sums of their lengths."""
     others = [c for c in rows.columns]
-    hit = F.col("_text").rlike(pattern)
+    hit = F.col(text).rlike(pattern)
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("_gaps", F.when(hit, F.split("_text", pattern, -1)).otherwise(none))
-    rows = rows.withColumn("_all", F.when(F.size("_gaps") > 1, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(none))
-    value = F.col("_all") if group is None else F.when(F.size("_gaps") > 1, F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))).otherwise(none)
-    rows = rows.withColumn("_value", value)
-    lengths = F.transform("_all", lambda m, i: F.struct(F.length(F.get(F.col("_gaps"), i)).alias("g"), F.length(m).alias("m"), F.get(F.col("_value"), i).alias("v")))
-    rows = rows.withColumn("_lengths", lengths)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        return F.struct((begin + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), (begin + x["m"]).alias("end"), x["v"].alias("value")))).alias("out"))
-
-    spans = F.when(F.size("_lengths") > 0, F.aggregate("_lengths", start, step, lambda acc: acc["out"])).otherwise(start["out"])
+    matches = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    rows = rows.withColumn("_gaps", F.when(hit, F.split(text, pattern, -1)).otherwise(none))
+    rows = rows.withColumn("_all", F.when(F.size("_gaps") > 1, matches(0)).otherwise(none))
+    rows = rows.withColumn("_value", F.col("_all") if group is None else F.when(F.size("_gaps") > 1, matches(group)).otherwise(none))
+    pieces = F.transform(F.arrays_zip("_gaps", "_all", "_value"), lambda x: F.struct(F.length(x["_gaps"]).alias("g"), F.length(x["_all"]).alias("m"), x["_value"].alias("v")))
+    spans = F.when(F.size("_all") > 0, placed(F.slice(pieces, F.lit(1), F.size("_all")))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
     return rows.withColumn(name, spans).select(*others, name)
 
 
+def blanked(rows: DataFrame, pattern: str, least: int, group: int = 0) -> DataFrame:
+    """Blanks in _left the matches of which the group has at least so many characters; no length changes."""
+    hit = F.col("_left").rlike(pattern)
+    values = F.regexp_extract_all("_left", F.lit(pattern), F.lit(group))
+    pieces = F.arrays_zip(F.split("_left", pattern, -1).alias("g"), F.regexp_extract_all("_left", F.lit(pattern), F.lit(0)).alias("m"), values.alias("v"))
+    blank = lambda x: F.when(F.length(x["v"]) >= least, F.repeat(F.lit(" "), F.length(x["m"]))).otherwise(x["m"])
+    rebuilt = F.array_join(F.transform(pieces, lambda x: F.concat(x["g"], F.coalesce(blank(x), F.lit("")))), "")
+    return rows.withColumn("_left", F.when(hit, rebuilt).otherwise(F.col("_left")))
+
+
 def upper_normal(z: Column) -> Column:
     """1 - Phi(z), by the logistic approximation (absolute error under 0.0002)."""
     bounded = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
@@ -114,18 +169,8 @@ def battery(rows: DataFrame) -> DataFrame:
     spread = F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9))
     runs = F.when((F.col("_high") == 0) | (low == 0), F.pow(F.lit(2.0), 1 - n)).otherwise(2 * upper_normal(F.abs(F.col("_runs") - expected) / F.sqrt(spread)))
     serial = F.when(F.col("_var") > 0, 2 * upper_normal(F.abs(F.col("_cov") / F.col("_var") + 1 / (n - 1)) * F.sqrt(n - 1.0))).otherwise(F.lit(0.0))
-    return rows.withColumn("p", F.least(F.lit(1.0), 4 * F.least(chi, class_test(n, k), runs, serial)))
-
-
-def outside(s: Column) -> Column:
-    """The parts of a candidate that no base span covers and that are long enough; base is in order of starts."""
-    parts = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    part = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end"), F.substring(s["value"], start - s["start"] + 1, end - start).alias("value")))
-    long_enough = lambda out, start, end: F.when(end - start >= LEAST, F.concat(out, part(start, end))).otherwise(out)
-    first = F.struct(s["start"].alias("at"), parts.alias("out"))
-    touching = F.filter("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), long_enough(acc["out"], acc["at"], b["start"]).alias("out"))
-    return F.aggregate(touching, first, step, lambda acc: long_enough(acc["out"], acc["at"], s["end"]))
+    least = F.least(chi, class_test(n, k), runs, serial, F.lit(1.0))
+    return rows.withColumn("p", 1 - F.pow(1 - F.greatest(least, F.lit(0.0)), F.lit(4.0)))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -134,20 +179,34 @@ def base_spans(docs: DataFrame) -> DataFrame:
     rows = found(rows, ASSIGN, "_assign", 2)
     rows = found(rows, ACCESS, "_access")
     rows = found(rows, HEX, "_hex")
-    rows = found(rows, CANDIDATE, "_maybe")
+    rows = rows.withColumn("_left", F.col("_text"))
+    for pattern, least, group in ((ASSIGN, 8, 2), (ACCESS, 16, 0), (HEX, 32, 0)):
+        rows = blanked(rows, pattern, least, group)
+    rows = found(rows, CANDIDATE, "maybe", text="_left")
 
     def of_kind(column: str, least: int, kind: int) -> Column:
         long_enough = F.filter(column, lambda s: F.length(s["value"]) >= least)
         return F.transform(long_enough, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
     spans = F.concat(of_kind("_assign", 8, 0), of_kind("_access", 16, 1), of_kind("_hex", 32, 2))
-    rows = rows.withColumn("base", F.array_sort(spans))
-    return rows.withColumn("maybe", F.flatten(F.transform("_maybe", outside))).drop("_assign", "_access", "_hex", "_maybe")
+    return rows.withColumn("base", F.array_sort(spans)).drop("_assign", "_access", "_hex", "_left")
 
 
 def tested(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each candidate with its p-value."""
-    return battery(rows.select(*keys, F.explode("maybe").alias("_s")).select(*keys, "_s.*")).select(*keys, "start", "end", "p")
+    """A row for each candidate with its band of length and p-value."""
+    band = F.least(F.lit(LAST_BAND), F.floor(F.log2(F.col("n") / LEAST))).cast("int")
+    return battery(rows.select(*keys, F.explode("maybe").alias("_s")).select(*keys, "_s.*")).select(*keys, "start", "end", band.alias("band"), "p")
+
+
+def band_thresholds(each: DataFrame) -> DataFrame:
+    """band, p of candidates -> band, threshold: a row for each of the few bands."""
+    above = lambda t: F.sum((F.col("p") > t).cast("double"))
+    counts = each.groupBy("band").agg(above(CLEARLY_RANDOM).alias("_clear"), *[above(t).alias(f"_r{i}") for i, t in enumerate(THRESHOLDS)])
+    threshold = F.lit(THRESHOLDS[-1])
+    for i, t in reversed(list(enumerate(THRESHOLDS))):
+        false_share = 1 - F.col("_clear") / (1 - CLEARLY_RANDOM) * (1 - t) / F.greatest(F.col(f"_r{i}"), F.lit(1.0))
+        threshold = F.when(false_share <= FALSE_SHARE, F.lit(t)).otherwise(threshold)
+    return counts.select("band", threshold.alias("threshold"))
 
 
 def row_name() -> Column:
@@ -163,7 +222,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = base_spans(docs.select("doc_id", "text", row_name().alias("row_name")))
     rows = written(rows.select("doc_id", "row_name", "base", "maybe"), "candidates")
     each = written(tested(rows.where(F.size("maybe") > 0), ["row_name"]).dropDuplicates(["row_name", "start"]), "battery")
-    random = each.where(F.col("p") > MISS).groupBy(F.col("row_name").alias("_r")).agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")).alias("_random"))
+    limits = written(band_thresholds(each), "thresholds").withColumnRenamed("band", "_band")
+    random = each.join(F.broadcast(limits), F.col("band") == F.col("_band")).where("p > threshold").groupBy(F.col("row_name").alias("_r")).agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")).alias("_random"))
     rows = rows.join(random, F.col("row_name") == F.col("_r"), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("_random", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return rows.select("doc_id", "row_name", "base", spans.alias("spans"))
@@ -188,14 +248,27 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     spans = written(spans, "spans")
     rows = docs.withColumn("_row", row_name()).join(spans, F.col("_row") == F.col("_r"), "left")
     rows = rows.withColumn("_t", F.coalesce("text", F.lit("")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(F.col("_t"), acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def block(spans: Column):
+        def of(part: Column, b: Column, size: Column) -> Column:
+            """The text from the block's first span to the next block's, its own spans replaced."""
+            begin = F.when(b > 0, F.get(part, F.lit(0))["start"]).otherwise(F.lit(0))
+            end = F.coalesce(F.get(spans, (b + 1) * size)["start"], F.length("_t"))
+            at = F.greatest(begin, F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), b * size), lambda s: s["end"])), F.lit(0)))
+            return let(F.struct(F.substring(F.col("_t"), begin + 1, end - begin).alias("t"), begin.alias("begin"), at.alias("at")), lambda x: replaced(part, x))
+
+        return of
+
+    def replaced(part: Column, x: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            piece = F.substring(x["t"], acc["at"] - x["begin"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
+            out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece, F.lit(mark))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+        rest = lambda acc: F.concat(acc["out"], F.substring(x["t"], acc["at"] - x["begin"] + 1, F.length(x["t"])))
+        return F.aggregate(part, F.struct(x["at"].alias("at"), F.lit("").alias("out")), step, rest)
 
-    cleaned = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_t"), acc["at"] + 1, F.length("_t"))))
+    cleaned = F.array_join(over_blocks(F.col("_spans"), block(F.col("_spans"))), "")
     rows = rows.withColumn("text", F.when(F.col("_spans").isNotNull(), cleaned).otherwise(F.col("text")))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))

@@ -402,6 +402,75 @@ def test_secret_scan_keeps_what_base_spans_leave_of_a_candidate(spark):
     assert spans == [f"random:2:{at}", f"access:{at}:{at + 20}", f"random:{at + 20}:{at + 21 + len(key)}", f"assign:{len(text) - 14}:{len(text)}"]
 
 
+def test_secret_scan_of_many_matches(spark):
+    pieces = ["token=abcdefgh ", "AKIA" + "A1" * 8 + " ", "ab12" * 9 + " ", "sk-9fJ2kLm4Qx7Rt1Vb8Zw3 "]
+    text = "é" + "".join(pieces * 25_000)
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    got = secret_scan.scan_digests(df).first()
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text)] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{32,}", text)]
+    joined = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    assert got.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and got.n_random == 25_000
+    assert secret_scan.redact(df).first().text == "é" + "[SECRET] " * 100_000
+
+
+def battery_by_hand(value):
+    """The four tests in plain Python."""
+    alphabet = next(a for a in secret_scan.ALPHABETS if set(value) <= set(a))
+    n, k, x = len(value), len(alphabet), [alphabet.index(c) for c in value]
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * (z := max(-8, min(8, z))) + 0.070566 * z**3))
+    chi_tail = lambda c, df: tail(((max(c, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    symbols = chi_tail(sum((x.count(i) - n / k) ** 2 / (n / k) for i in range(k)), k - 1)
+    kind = lambda c: 0 if c.isdigit() else 1 if c.isupper() else 2
+    sizes = collections.Counter(map(kind, alphabet))
+    seen = collections.Counter(map(kind, value))
+    classes = chi_tail(sum((seen[i] - n * s / k) ** 2 / (n * s / k) for i, s in sizes.items()), len(sizes) - 1)
+    high = [2 * v >= k for v in x]
+    h, low = sum(high), n - sum(high)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    expected = 1 + 2 * h * low / n
+    run_p = 2.0 ** (1 - n) if not h or not low else 2 * tail(abs(runs - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9)))
+    mean = sum(x) / n
+    variance, covariance = sum((v - mean) ** 2 for v in x), sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False))
+    serial = 2 * tail(abs(covariance / variance + 1 / (n - 1)) * math.sqrt(n - 1)) if variance else 0
+    return 1 - (1 - max(0, min(1, symbols, classes, run_p, serial))) ** 4
+
+
+def test_battery_and_thresholds_by_hand(spark):
+    r = random.Random(21)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = ["".join(r.choice(r.choice([base62, base62[26:], "0123456789abcdef", base62 + "+/"])) for _ in range(r.randrange(20, 90))) for _ in range(150)]
+    values += ["".join(r.choice(base62) for _ in range(r.randrange(20, 90))) for _ in range(150)]
+    values += ["-".join(r.choice(["user", "index", "table", "value"]) for _ in range(r.randrange(4, 12))) for _ in range(150)] + ["a" * 30, "0123456789abcdef" * 3]
+    got = {x.value: x.p for x in secret_scan.battery(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
+    want = {v: battery_by_hand(v) for v in values}
+    assert all(math.isclose(got[v], want[v], rel_tol=1e-6, abs_tol=1e-9) for v in values)
+    bands = collections.defaultdict(list)
+    for i, v in enumerate(values):
+        bands[min(6, int(math.log2(len(v) / 20)))].append(want[v])
+    limits = {}
+    for b, ps in bands.items():
+        for t in secret_scan.THRESHOLDS:
+            reported, random_ones = sum(p > t for p in ps), sum(p > 0.2 for p in ps) / 0.8
+            limits.setdefault(b, secret_scan.THRESHOLDS[-1])
+            if 1 - random_ones * (1 - t) / max(reported, 1) <= secret_scan.FALSE_SHARE:
+                limits[b] = t
+                break
+    rows_ = spark.createDataFrame([(b, float(p)) for b, ps in bands.items() for p in ps], "band int, p double")
+    assert {x.band: x.threshold for x in secret_scan.band_thresholds(rows_).collect()} == limits
+    spans = secret_scan.scan_digests(spark.createDataFrame(list(enumerate(values)), "doc_id bigint, text string"))
+    for x in spans.where("n_hex = 0").collect():
+        v = values[x.doc_id]
+        assert x.n_random == int(want[v] > limits[min(6, int(math.log2(len(v) / 20)))])
+
+
+def test_p_values_of_random_strings_are_about_uniform(spark):
+    r = random.Random(5)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    df = spark.createDataFrame([("".join(r.choice(base62) for _ in range(40)),) for _ in range(4_000)], "value string")
+    p = np.array([x.p for x in secret_scan.battery(df).select("p").collect()])
+    assert all(abs((p > t).mean() - (1 - t)) < 0.05 for t in (0.01, 0.05, 0.2))
+
+
 def test_randomness_battery_tells_random_from_text(spark):
     r = random.Random(11)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

@@ -5,8 +5,9 @@ made from hashes of the word and the position decide which (word, quantised weig
 the same one with a probability equal to their generalised Jaccard similarity (sum of minima over sum of maxima).
 
 The minimum over a text's words is kept as one integer: the sampled value in its high bits, the sample's name in its low 32.
-A term holds a count of at most 2**20 - 1; a word that occurs more often has further terms for the rest, filled in order, whose
-minima and maxima sum to those of the whole counts.
+A term holds 60 bits of the word's hash and a count of at most 15; a word that occurs more often has further terms for the rest,
+filled in order, whose minima and maxima sum to those of the whole counts. Two of n distinct terms meet with probability
+n*n / 2**61.
 
 Defined results: null is the empty text; empty texts have a fingerprint of their own, alike only to one another; rows with equal
 doc_id and text count as one document when the next is sought and each have a row; the document after the last is the
@@ -26,7 +27,7 @@ MASK = (1 << 32) - 1
 
 
 #: Bits of a packed term that hold its count; the others hold the word's hash.
-COUNT_BITS = 20
+COUNT_BITS = 4
 TERM_COUNT = (1 << COUNT_BITS) - 1
 
 

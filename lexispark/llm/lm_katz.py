@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexispark.llm.shared import ascii_lower, partitions, word_hashes, written
 
@@ -105,16 +106,23 @@ class Block:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
-    """(block number, rows, words of each row): the same numbers for the same rows in every pass over a table."""
-    number = TaskContext.get().partitionId() << 32
+    """(block number, rows, words of each row): the same numbers for the same rows in every pass over a table.
+
+    A number comes from the block's place and from the hashes of its words, so answers can never meet a block of other rows; if
+    a pass should deal rows otherwise than the one before, it finds no answers and fails (score_udf)."""
+    place = TaskContext.get().partitionId() << 32
     for batch in batches:
         words = pc.list_value_length(batch.column("_h")).to_numpy(zero_copy_only=False).astype(np.int64)
         total = np.append(0, np.cumsum(words + 1))
         a = 0
         while a < batch.num_rows:
             b = min(a + DOCS, max(a + 1, int(np.searchsorted(total, total[a] + TOKENS, side="right")) - 1))
-            yield number, batch.slice(a, b - a), words[a:b]
-            number, a = number + 1, b
+            rows = batch.slice(a, b - a)
+            content = np.concatenate([words[a:b].astype(np.uint64), rows.column("_h").flatten().to_numpy(zero_copy_only=False).astype(np.uint64)])
+            with np.errstate(over="ignore"):
+                digest = int(mix(content + np.arange(len(content), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum() ^ mix(np.array([place], np.uint64))[0])
+            yield digest >> 2, rows, words[a:b]
+            place, a = place + 1, b
 
 
 def block_of(rows: pa.RecordBatch, words: np.ndarray) -> Block:
@@ -215,6 +223,8 @@ def score_udf(one: list[int], two: list[int], parts: int, kind: pa.DataType):
     p0, total, distinct = unseen_mass(one, d1), one[0], one[1]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows != 1 or not right.num_rows:
+            raise ValueError("the rows of a block changed between two passes over the documents")
         row = left.to_pylist()[0]
         lengths = unpack(row["lengths"], np.int64)
         docs = len(lengths)
@@ -333,7 +343,7 @@ def katz_scores(docs: DataFrame, held: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     parts = partitions(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
     held = held_out(F.col("doc_id")) if held is None else held
     rows = docs.select("doc_id", held.alias("held"), word_hashes(ascii_lower(F.col("text"))).alias("_h"))
     sent = rows.mapInArrow(send_udf(parts), "part int, block bigint, n int, keys binary, counts binary")

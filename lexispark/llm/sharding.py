@@ -68,17 +68,17 @@ def ordinal(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
     return rows.join(ranks, F.col(column).eqNullSafe(F.col("_v"))).drop("_v")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFrame:
-    """docs (doc_id, text, source, lang) -> doc_id, size, text_crc32, curve_index, shard, slot.
+def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS, carry: Column | None = None) -> DataFrame:
+    """docs (doc_id, text, source, lang) -> doc_id, size, text_crc32, curve_index, shard, slot, and _carry if it is given.
 
     Dimensions: source and language by rank, and the logarithm of the size."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "source", "lang", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = written(rows, "shard-rows")
+    rows = docs.select("doc_id", "source", "lang", (F.octet_length(text).cast("bigint") + 1).alias("size"), F.crc32(text).alias("text_crc32"), (F.lit(None) if carry is None else carry).alias("_carry"))
+    rows = written(rows.withColumn("_carry", F.col("_carry").cast("string")) if carry is None else rows, "shard-rows")
     for column in ("source", "lang"):
         rows = ordinal(rows, column, bits)
     length = F.least(F.lit((1 << bits) - 1), F.floor(F.log2(F.col("size")) * (1 << bits) / 32)).cast("int")
-    rows = rows.select("doc_id", "size", "text_crc32", curve([F.col("_q_source"), F.col("_q_lang"), length], bits).alias("curve_index"))
+    rows = rows.select("doc_id", "size", "text_crc32", curve([F.col("_q_source"), F.col("_q_lang"), length], bits).alias("curve_index"), "_carry")
     order = ["curve_index", "doc_id", "text_crc32", "size"]
     spark = docs.sparkSession
     dealt = rows.repartitionByRange(partitions(spark), *order).withColumn("_range", F.spark_partition_id())
@@ -90,11 +90,13 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS) -> DataFr
     ranked = ranked.join(offsets, F.col("_range") == F.col("_r")).withColumn("_rank", F.col("_offset") + F.col("_in"))
     ranked = ranked.withColumn("shard", F.expr(f"(_rank * {shards}) div _total").cast("int"))
     first = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
-    return ranked.select("doc_id", "size", "text_crc32", "curve_index", "shard", (F.col("_rank") - first).cast("bigint").alias("slot"))
+    placed = ranked.select("doc_id", "size", "text_crc32", "curve_index", "shard", (F.col("_rank") - first).cast("bigint").alias("slot"), "_carry")
+    return placed.drop("_carry") if carry is None else placed
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Writes the documents to one folder for each shard, in slot order within files."""
-    keys = placed.select(F.col("doc_id").alias("_id"), "shard", "slot")
-    rows = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = BITS) -> None:
+    """Writes the documents, each row once, to one folder for each shard, files in slot order: rows travel with their keys, so
+    nothing is joined."""
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    placed = hilbert_shards(docs, shards, bits, whole).select("_carry.*", F.col("shard").alias("_shard"))
+    placed.write.partitionBy("_shard").parquet(path)

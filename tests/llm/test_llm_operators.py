@@ -286,6 +286,8 @@ def test_katz(docs, empty):
         assert (r.held_out, r.n_known, r.train_tokens) == (held(i), sum(one[x] > 0 for x in w), total)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
     assert lm_katz.katz_scores(empty).count() == 0
+    ids = docs.withColumn("doc_id", F.col("doc_id").cast("decimal(12,0)"))
+    assert {(r.doc_id, r.n_tokens) for r in lm_katz.katz_scores(ids).collect()} == set(got)
 
 
 def test_discounts_lie_between_0_and_1():
@@ -513,7 +515,35 @@ def test_mixing(docs, empty):
     again = sorted((str(r.doc_id), r["size"], r.taken) for r in mixing.mix(docs.repartition(5)).collect())
     assert again == sorted((str(r.doc_id), r["size"], r.taken) for r in got)
     assert mixing.mix(empty).count() == 0
-    assert mixing.mixed(docs).count() == sum(r.copies for r in got)
+    assert all(r.copies == 0 for r in got if not r["size"])
+    times = collections.Counter()
+    for r in got:
+        times[(r.doc_id, r.row_key)] += r.copies
+    written_out = collections.Counter((r.doc_id, r.k) for r in mixing.mixed(docs).select("doc_id", mixing.row_key().alias("k")).collect())
+    assert written_out == +times
+
+
+@pytest.mark.parametrize("weights", [(5, 2, 1), (1, 1, 1)])
+def test_mixing_selects_by_key(spark, weights):
+    """Which documents are taken once more than others: those whose keys come first, up to the rest of the target."""
+    r = random.Random(12)
+    texts = [(i, " ".join(r.choice("abcdefghij") for _ in range(r.choice([0, 1, 3, 30, 80]))), f"s{i % 3}") for i in range(600)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, source string").repartition(3)
+    got = {x.doc_id: x for x in mixing.mix(df, weights).collect()}
+    for name in ("s0", "s1", "s2"):
+        own = [(i, t.split()) for i, t, s in texts if s == name]
+        total, target = sum(len(w) for _, w in own), got[own[0][0]].target
+        keys = {}
+        for i, w in own:
+            digest = hashlib.md5((" ".join(w)).encode()).hexdigest()
+            u = (int(hashlib.md5(f"mix:{i}:{digest}".encode()).hexdigest()[:12], 16) + 0.5) / 2.0**48
+            keys[i] = -math.log(u) / (0.1 + 0.9 * len(set(w)) / len(w) if w else 0.1)
+        epochs = 3 if target >= 3 * total else int(target // total)
+        rest, before = target - epochs * total, 0
+        for i, w in sorted(own, key=lambda x: keys[x[0]]):
+            want = (epochs + (before + len(w) / 2 <= rest)) if w else 0
+            assert got[i].copies == want
+            before += len(w)
 
 
 def test_sharding(docs, empty):
@@ -523,6 +553,23 @@ def test_sharding(docs, empty):
     assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in sorted(counts) for i in range(counts[s])]
     assert sorted(r.text_crc32 for r in got) == sorted(zlib.crc32((r[1] or "").encode()) for r in rows())
     assert sharding.hilbert_shards(empty).count() == 0
+    names = [sorted({r[c] for r in rows()}, key=lambda v: (v is not None, v)) for c in (3, 2)]
+    cell = lambda r: [names[k].index(r[c]) * 256 // len(names[k]) for k, c in enumerate((3, 2))] + [min(255, int(math.log2(len((r[1] or "").encode()) + 1) * 256 / 32))]
+    points = np.array([cell(r) for r in rows()])
+    index = sharding.hilbert_index([points[:, k] for k in range(3)], 8)
+    want = sorted(((int(i), r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode())) for i, r in zip(index, rows(), strict=True)))
+    placed = [(x.curve_index, x.doc_id is not None, x.doc_id or 0, x.text_crc32) for x in sorted(got, key=lambda x: (x.shard, x.slot))]
+    assert placed == want
+
+
+def test_written_shards_hold_each_row_once(spark, docs, empty, tmp_path):
+    twice = docs.unionByName(docs.where("doc_id = 5"))
+    sharding.write_shards(twice, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.groupBy("_shard").count().select("count").collect(), key=str)[0]["count"] >= (len(rows()) + 2) // 8
+    same = lambda df: sorted((str(r.asDict()) for r in df.select(*docs.columns).collect()))
+    assert same(back) == same(twice)
+    sharding.write_shards(empty, str(tmp_path / "none"))
 
 
 @pytest.mark.parametrize("d", [2, 3])

@@ -30,25 +30,24 @@ def grade_penalty(grade: Column) -> Column:
     return choose(grade, GRADE_PENALTIES, F.lit(0))
 
 
+# Frequency tags with their penalties, the first that a word has counts; then the highest rank of a band, after nf,
+# with its penalty.
+TAG_PENALTIES = (("news1", -20), ("ichi1", -20), ("news2", -10), ("ichi2", -10), ("gai1", 0), ("spec1", 0), ("gai2", 5), ("spec2", 5))
+BAND_PENALTIES = ((5, 10), (10, 15), (20, 20), (30, 30))
+OTHER_BAND, NO_TAG, SHORT_KANA = 40, 50, -20
+
+
 def freq_penalty(priorities: Column, word: Column, short_kana: str) -> Column:
     """Penalty by frequency tags; priorities is null where a word has no variant, and short function words then get a bonus."""
-    has = lambda *tags: F.arrays_overlap(priorities, F.array(*[F.lit(t) for t in tags]))
     band = F.get(F.filter(priorities, lambda p: p.startswith("nf")), F.lit(0))
-    number = F.regexp_extract(F.coalesce(band, F.lit("")), r"^nf(\d+)", 1)
-    n = F.when(number != "", number.cast("int"))
-    return (
-        F.when(priorities.isNull() & word.rlike(short_kana), -20)
-        .when(has("news1", "ichi1"), -20)
-        .when(has("news2", "ichi2"), -10)
-        .when(has("gai1", "spec1"), 0)
-        .when(has("gai2", "spec2"), 5)
-        .when(n <= 5, 10)
-        .when(n <= 10, 15)
-        .when(n <= 20, 20)
-        .when(n <= 30, 30)
-        .when(n.isNotNull(), 40)
-        .otherwise(50)
-    )
+    rank = F.regexp_extract(F.coalesce(band, F.lit("")), r"^nf(\d+)", 1).try_cast("int")  # absurd ranks have none
+    by_band = F.when(band.isNull(), NO_TAG)
+    for last, penalty in BAND_PENALTIES:
+        by_band = by_band.when(rank <= last, penalty)
+    by_tag = F.when(priorities.isNull() & word.rlike(short_kana), SHORT_KANA)
+    for tag, penalty in TAG_PENALTIES:
+        by_tag = by_tag.when(F.array_contains(priorities, tag), penalty)
+    return by_tag.otherwise(by_band.otherwise(OTHER_BAND))
 
 
 def word_score(level: Column, grade: Column, frequency: Column) -> Column:

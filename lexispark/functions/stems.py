@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Last character of a polite or negative stem and the dictionary endings it can stand for.
-POLITE_ENDINGS = {"き": "く", "ぎ": "ぐ", "ち": "つ", "し": "す", "び": "ぶ", "み": "む", "に": "ぬ", "り": "るう"}
-NEGATIVE_ENDINGS = {"か": "く", "が": "ぐ", "た": "つ", "さ": "す", "ば": "ぶ", "ま": "む", "な": "ぬ", "ら": "るう"}
+POLITE_ENDINGS = {"き": "く", "ぎ": "ぐ", "ち": "つ", "し": "す", "び": "ぶ", "み": "む", "に": "ぬ", "り": ("る", "う")}
+NEGATIVE_ENDINGS = {"か": "く", "が": "ぐ", "た": "つ", "さ": "す", "ば": "ぶ", "ま": "む", "な": "ぬ", "ら": ("る", "う")}
 # Suffix, characters cut off, endings put in their place ("" keeps the bare stem), table for the stem's last character.
 JA_RULES = (
     ("ました", 3, ("",), POLITE_ENDINGS, ()),

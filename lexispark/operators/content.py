@@ -34,8 +34,8 @@ def import_content(submitted: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(content: DataFrame) -> DataFrame:
-    """Digests of texts that occur more than once: hash, copies, first_id and bytes of one copy."""
-    return content.groupBy(F.md5("text").alias("hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("content_id").alias("first_id"), F.max(F.octet_length("text")).alias("bytes")).where("copies > 1")
+    """Digests of texts that occur more than once: hash, copies, first_id and bytes of one copy. Absent texts are no duplicates."""
+    return content.where("text IS NOT NULL").groupBy(F.md5("text").alias("hash")).agg(F.count(F.lit(1)).alias("copies"), F.min("content_id").alias("first_id"), F.max(F.octet_length("text")).alias("bytes")).where("copies > 1")
 
 
 def duplicate_plan(content: DataFrame) -> DataFrame:
@@ -75,8 +75,8 @@ def vocab_merge(existing: DataFrame, imported: DataFrame, fields: tuple[str, ...
 
 
 def vocab_update_word(vocab: DataFrame, changes: DataFrame, fields: tuple[str, ...] = ("meaning", "score")) -> DataFrame:
-    """changes (word, fields) take effect in every content that has the word."""
-    new = changes.select("word", *[F.col(c).alias(f"_{c}") for c in fields])
+    """changes (word, fields) take effect in every content that has the word; of several for a word, the greatest value of each field."""
+    new = changes.groupBy("word").agg(*[F.max(c).alias(f"_{c}") for c in fields])
     rows = vocab.join(new, "word", "left")
     for c in fields:
         rows = rows.withColumn(c, F.coalesce(f"_{c}", c))

@@ -73,6 +73,6 @@ def top_missing(missing: DataFrame, n: int = 20) -> DataFrame:
 
 def critical_word_check(tokens: DataFrame, expected: DataFrame) -> DataFrame:
     """tokens (method, surface) against expected (word): words found by each method, of how many, and the percent."""
-    seen = tokens.join(F.broadcast(expected.select(F.col("word").alias("surface"))), "surface", "left_semi").select("method", "surface").distinct()
+    seen = tokens.join(expected.select(F.col("word").alias("surface")), "surface", "left_semi").select("method", "surface").distinct()
     total = expected.select("word").distinct().agg(F.count(F.lit(1)).alias("expected"))
     return seen.groupBy("method").agg(F.count(F.lit(1)).alias("found")).join(F.broadcast(total)).withColumn("percent", T.percent(F.col("found"), F.col("expected")))

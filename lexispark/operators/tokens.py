@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,8 +22,7 @@ def base_form(surface: Column) -> Column:
 def tokenize(content: DataFrame, profile: ScriptProfile, method: str = "script_run", lexicon: list[str] | None = None) -> DataFrame:
     """content (content_id, text) -> content_id, pos, surface, base_form, in order of the text.
 
-    script_run takes runs of one script by a native expression; lexicon takes the longest word of a list that is small
-    enough to travel with the task, else one character, by Arrow batches."""
+    script_run takes runs of one script; lexicon takes the longest word of a list, else one character. Both are native."""
     if method == "lexicon":
         return lexicon_tokens(content, lexicon or [])
     text = F.lower("text") if profile.lower else F.col("text")
@@ -31,25 +31,19 @@ def tokenize(content: DataFrame, profile: ScriptProfile, method: str = "script_r
     return rows.withColumn("base_form", base_form(F.col("surface")) if profile.lower else F.col("surface"))
 
 
-def lexicon_tokens(content: DataFrame, lexicon: list[str]) -> DataFrame:
-    known = frozenset(lexicon)
-    longest = max(map(len, known), default=1)
-
-    def cut(text: str) -> list[str]:
-        out, i = [], 0
-        while i < len(text):
-            size = next((n for n in range(min(longest, len(text) - i), 1, -1) if text[i : i + n] in known), 1)
-            out.append(text[i : i + size])
-            i += size
-        return [t for t in out if t.strip()]
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"content_id": frame["content_id"], "surfaces": [cut(t or "") for t in frame["text"]]})
+#: Words of a list that one expression can hold.
+LEXICON_WORDS = 20_000
 
-    kind = dict(content.dtypes)["content_id"]
-    rows = content.select("content_id", "text").mapInPandas(batches, f"content_id {kind}, surfaces array<string>")
-    return rows.select("content_id", F.posexplode("surfaces").alias("pos", "surface")).withColumn("base_form", F.col("surface"))
+
+def lexicon_tokens(content: DataFrame, lexicon: list[str]) -> DataFrame:
+    """The list travels in the expression, so it has a bound: the first alternative that fits wins, hence the longest come first."""
+    words = sorted({w for w in lexicon if len(w) > 1}, key=lambda w: (-len(w), w))
+    if len(words) > LEXICON_WORDS:
+        raise ValueError(f"a list of more than {LEXICON_WORDS} words is too large for an expression; look words up with operators.lookup")
+    pattern = "|".join([*(re.sub(r"([\\\[\](){}.*+?^$|])", r"\\\1", w) for w in words), r"[\s\S]"])
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))
+    kept = F.filter(found, lambda t: ~t.rlike(r"^[\s\p{Z}]+$"))
+    return content.select("content_id", F.posexplode(kept).alias("pos", "surface")).withColumn("base_form", F.col("surface"))
 
 
 def tokens_from_morphemes(morphemes: DataFrame) -> DataFrame:
@@ -104,10 +98,13 @@ def content_lines(content: DataFrame) -> DataFrame:
 
 
 def line_tokens(content: DataFrame, positioned: DataFrame) -> DataFrame:
-    """Each positioned token with the line that holds it: an interval join with equality on content_id."""
-    lines = content_lines(content).withColumnRenamed("content_id", "_c")
-    inside = (F.col("content_id") == F.col("_c")) & (F.col("start_idx") >= F.col("line_start")) & (F.col("end_idx") <= F.col("line_end"))
-    return positioned.join(lines, inside).drop("_c")
+    """Each positioned token with the line that holds it: tokens and lines of a text in one order, the last line before each token."""
+    columns = positioned.columns
+    lines = content_lines(content).select("content_id", F.col("line_start").cast("int").alias("_at"), F.struct("line_no", "line_start", "line_end").alias("_line"), F.lit(None).cast(positioned.select(F.struct(*columns).alias("t")).schema["t"].dataType).alias("_token"))
+    rows = positioned.select("content_id", F.col("start_idx").alias("_at"), F.lit(None).cast(lines.schema["_line"].dataType).alias("_line"), F.struct(*columns).alias("_token"))
+    order = W.partitionBy("content_id").orderBy("_at", F.col("_token").isNotNull())
+    rows = rows.unionByName(lines).withColumn("_line", F.last("_line", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return rows.where("_token IS NOT NULL AND _token.end_idx <= _line.line_end").select("_token.*", "_line.*")
 
 
 def classified(tokens: DataFrame, profile: ScriptProfile) -> DataFrame:

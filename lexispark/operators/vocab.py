@@ -32,12 +32,14 @@ def char_profile(words: DataFrame, char_meta: DataFrame, profile: ScriptProfile)
 
 
 def score_words(words: DataFrame, lexicon: DataFrame, char_meta: DataFrame, profile: ScriptProfile) -> DataFrame:
-    """Distinct words (word, base_form) -> reading, meaning, level, score and its parts: looked up by surface, else by base form."""
+    """Distinct words (word, base_form) -> reading, meaning, level, score and its parts: looked up by base form, else by surface.
+
+    Surfaces and base forms are looked up together, so the lexicon is joined once for each of its two keys."""
     keys = words.select("word", "base_form")
-    by_surface = lookup.best_variant(lookup.dict_lookup_exact(keys.select("word"), lexicon), profile)
-    by_base = lookup.best_variant(lookup.dict_lookup_exact(keys.select(F.col("base_form").alias("word")).distinct(), lexicon), profile)
-    first = by_surface.select("word", F.struct("pronounced", "priorities", "gloss").alias("_s"))
-    second = by_base.select(F.col("word").alias("base_form"), F.struct("pronounced", "priorities", "gloss").alias("_b"))
+    asked = keys.select(F.explode(F.array("word", "base_form")).alias("word")).where("word IS NOT NULL").distinct()
+    best = lookup.best_variant(lookup.dict_lookup_exact(asked, lexicon), profile).select("word", F.struct("pronounced", "priorities", "gloss").alias("_v"))
+    first = best.select("word", F.col("_v").alias("_s"))
+    second = best.select(F.col("word").alias("base_form"), F.col("_v").alias("_b"))
     rows = keys.join(first, "word", "left").join(second, "base_form", "left").withColumn("_v", F.coalesce("_b", "_s"))
     rows = rows.join(char_profile(keys.select("word"), char_meta, profile), "word")
     frequency = S.freq_penalty(F.when(F.col("_v").isNotNull(), F.coalesce("_v.priorities", F.array().cast("array<string>"))), F.col("word"), profile.kana_word.replace("+", "{1,3}"))
@@ -46,22 +48,40 @@ def score_words(words: DataFrame, lexicon: DataFrame, char_meta: DataFrame, prof
     return rows.select("word", F.coalesce("_v.pronounced", "word").alias("reading"), F.coalesce("_v.gloss", F.lit("Unknown meaning")).alias("meaning"), "jlpt", "joyo", "highest_grade", "freq_penalty", score.alias("score"))
 
 
+def surface_counts(tokens: DataFrame) -> DataFrame:
+    """Tokens -> content_id, surface, base_form (the last seen), frequency, ord (first position)."""
+    return tokens.groupBy("content_id", "surface").agg(F.max_by("base_form", "pos").alias("base_form"), F.count(F.lit(1)).alias("frequency"), F.min("pos").alias("ord"))
+
+
+def counted_words(surfaces: DataFrame, profile: ScriptProfile) -> DataFrame:
+    """surface_counts without noise and single letters, surfaces named word."""
+    surface = F.col("surface")
+    kept = surfaces.where(~T.token_is_noise(surface, profile) & ~surface.rlike(profile.single))
+    return kept.select("content_id", surface.alias("word"), "base_form", "frequency", "ord")
+
+
 def word_counts(tokens: DataFrame, profile: ScriptProfile) -> DataFrame:
     """Tokens -> content_id, word, base_form (the last seen), frequency, ord (first position); noise and single letters dropped."""
-    surface = F.col("surface")
-    kept = tokens.where(~T.token_is_noise(surface, profile) & ~surface.rlike(profile.single))
-    return kept.groupBy("content_id", F.col("surface").alias("word")).agg(F.max_by("base_form", "pos").alias("base_form"), F.count(F.lit(1)).alias("frequency"), F.min("pos").alias("ord"))
+    return counted_words(surface_counts(tokens), profile)
+
+
+def distinct_words(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("word").agg(F.min("base_form").alias("base_form"))
 
 
 def vocab_extract(tokens: DataFrame, lexicon: DataFrame, char_meta: DataFrame, morphemes: DataFrame, profile: ScriptProfile) -> DataFrame:
-    """Tokens of texts -> one row for each (content, word), scored, then the defined single letters with score 0.
+    """Tokens of texts -> one row for each (content, word), scored, then the defined single letters with score 0."""
+    return vocab_of(surface_counts(tokens), lexicon, char_meta, morphemes, profile)
+
+
+def vocab_of(surfaces: DataFrame, lexicon: DataFrame, char_meta: DataFrame, morphemes: DataFrame, profile: ScriptProfile) -> DataFrame:
+    """vocab_extract from surface_counts, which are read several times and so better written before (sources.staging).
 
     Words are made distinct before lookups, so those cost by vocabulary and not by text."""
-    counts = word_counts(tokens, profile)
-    distinct = counts.groupBy("word").agg(F.min("base_form").alias("base_form"))
-    scored = score_words(distinct, lexicon, char_meta, profile)
+    counts = counted_words(surfaces, profile)
+    scored = score_words(distinct_words(counts), lexicon, char_meta, profile)
     rows = counts.join(scored, "word").withColumn("is_morpheme", F.lit(False))
-    singles = tokens.where(F.col("surface").rlike(profile.single)).groupBy("content_id", F.col("surface").alias("word")).agg(F.count(F.lit(1)).alias("frequency"), F.min("pos").alias("ord"))
+    singles = surfaces.where(F.col("surface").rlike(profile.single)).select("content_id", F.col("surface").alias("word"), "frequency", "ord")
     singles = singles.join(F.broadcast(morphemes.select(F.col("morpheme").alias("word"), F.col("definition").alias("meaning"))), "word")
     singles = singles.select("content_id", "word", F.col("word").alias("reading"), "meaning", F.lit(0).alias("jlpt"), F.lit(False).alias("joyo"), F.lit(0).alias("score"), "frequency", "ord", F.lit(True).alias("is_morpheme"))
     columns = ("content_id", "word", "reading", "meaning", "jlpt", "joyo", "score", "frequency", "ord", "is_morpheme")
@@ -135,8 +155,8 @@ def known_words_clean(words: DataFrame) -> DataFrame:
 
 
 def score_missing(vocab: DataFrame, scored: DataFrame) -> DataFrame:
-    """Absent scores, levels and joyo flags are filled from scored; present values, 0 included, stay."""
-    fill = scored.select("word", *[F.col(c).alias(f"_{c}") for c in ("score", "jlpt", "joyo")])
+    """Absent scores, levels and joyo flags are filled from scored (the least of a word that occurs more than once); present values, 0 included, stay."""
+    fill = scored.groupBy("word").agg(*[F.min(c).alias(f"_{c}") for c in ("score", "jlpt", "joyo")])
     rows = vocab.join(fill, "word", "left")
     for c in ("score", "jlpt", "joyo"):
         rows = rows.withColumn(c, F.coalesce(c, f"_{c}"))
@@ -144,7 +164,10 @@ def score_missing(vocab: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def word_override(vocab: DataFrame, corrections: DataFrame) -> DataFrame:
-    """corrections (word, score, grade, priorities: strings as typed) replace values: bad numbers become 0, joyo is grade up to 8."""
+    """corrections (word, score, grade, priorities: strings as typed) replace values: bad numbers become 0, joyo is grade up to 8.
+
+    Of several corrections of a word the last in order of its strings takes effect."""
+    corrections = corrections.groupBy("word").agg(F.max(F.struct("score", "grade", "priorities")).alias("_c")).select("word", "_c.*")
     number = lambda c: F.coalesce(F.expr(f"try_cast({c} AS int)"), F.lit(0))
     fixed = corrections.select(F.col("word"), number("score").alias("_score"), (number("grade") <= 8).alias("_joyo"), F.array_join(F.filter(F.transform(F.split("priorities", ","), lambda p: F.trim(p)), lambda p: p != ""), ",").alias("priorities"))
     rows = vocab.join(fixed, "word", "left")

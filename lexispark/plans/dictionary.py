@@ -8,6 +8,7 @@ from lexispark.functions import scoring as S
 from lexispark.functions import stems
 from lexispark.functions import text as T
 from lexispark.functions.profiles import LATIN
+from lexispark.operators import base_forms as B
 from lexispark.operators import content as C
 from lexispark.operators import lookup as L
 from lexispark.operators import reports as R
@@ -16,6 +17,7 @@ from lexispark.plans import inputs as I
 from lexispark.plans.inputs import sql
 from lexispark.plans.vocabulary import STEM_SQL
 from lexispark.sources import files, sinks
+from lexispark.sources.staging import new_path
 from lexispark.streaming import incremental
 
 QUERIES, ORACLE = {}, {}
@@ -23,7 +25,7 @@ QUERIES, ORACLE = {}, {}
 
 def query(name: str, oracle: str | None = None):
     def register(f):
-        QUERIES[name] = f
+        QUERIES[name] = I.fresh(f)
         if oracle is not None:
             ORACLE[name] = oracle
         return f
@@ -48,12 +50,12 @@ STEM = STEM_SQL.replace("word", "{c}")
 CAND = f"(CASE WHEN length(base_form) > 2 THEN {STEM.format(c='base_form')} ELSE [base_form] END) || (CASE WHEN length(word) > 2 THEN {STEM_SQL} ELSE [word] END)"
 
 
-@query("dict_lookup_fallback", sql(f"SELECT word, arg_min(key, r) AS key FROM (SELECT word, unnest(cs) AS key, generate_subscripts(cs, 1) r FROM (SELECT word, {CAND} AS cs FROM words)) WHERE key IN (SELECT written FROM lexicon UNION SELECT pronounced FROM lexicon) GROUP BY word", "words", "lexicon"))
+@query("dict_lookup_fallback", sql(f"SELECT word, arg_min(key, r) AS key FROM (SELECT word, unnest(cs) AS key, generate_subscripts(cs, 1) r FROM (SELECT word, {CAND} AS cs FROM words)) JOIN keys USING (key) GROUP BY word", "words", "keys"))
 def dict_lookup_fallback(spark, d):
     return L.dict_lookup_fallback(I.words(spark, d), I.lexicon(spark, d), stems.LATIN_RULES).select("word", "key")
 
 
-@query("stem_lookup", sql(f"SELECT w.word, coalesce(f.key, w.word) AS found FROM words w LEFT JOIN (SELECT word, arg_min(key, r) AS key FROM (SELECT word, unnest(cs) AS key, generate_subscripts(cs, 1) r FROM (SELECT word, CASE WHEN length(word) > 2 THEN {STEM_SQL} ELSE [word] END AS cs FROM words)) WHERE key IN (SELECT written FROM lexicon UNION SELECT pronounced FROM lexicon) GROUP BY word) f USING (word)", "words", "lexicon"))
+@query("stem_lookup", sql(f"SELECT w.word, coalesce(f.key, w.word) AS found FROM words w LEFT JOIN (SELECT word, arg_min(key, r) AS key FROM (SELECT word, unnest(cs) AS key, generate_subscripts(cs, 1) r FROM (SELECT word, CASE WHEN length(word) > 2 THEN {STEM_SQL} ELSE [word] END AS cs FROM words)) JOIN keys USING (key) GROUP BY word) f USING (word)", "words", "keys"))
 def stem_lookup(spark, d):
     return L.stem_lookup(I.words(spark, d).select("word"), I.lexicon(spark, d), stems.LATIN_RULES)
 
@@ -181,7 +183,7 @@ def word_detail(spark, d):
     return L.word_detail(plain(spark, d), I.lexicon(spark, d), LATIN).select("word", "written", "variant_score", "glosses", "n_glosses")
 
 
-@query("related_words")
+@query("related_words", sql("SELECT word, n, related FROM (SELECT a.word, b.word AS related, row_number() OVER (PARTITION BY a.word ORDER BY b.o, b.word) AS n FROM (SELECT a.word, b.word AS related FROM (SELECT DISTINCT word, ch FROM chars) a JOIN (SELECT DISTINCT word, ch FROM chars) b ON a.ch = b.ch AND a.word <> b.word GROUP BY 1, 2) a JOIN (SELECT word, min((content_id, ord)) AS o FROM counts GROUP BY word) b ON b.word = a.related) WHERE n <= 10", "chars", "counts"))
 def related_words(spark, d):
     first = I.counts(spark, d).groupBy("word").agg(F.min(F.struct("content_id", "ord")).alias("ord"))
     return L.related_words(first, LATIN)
@@ -211,19 +213,28 @@ def word_dict_ingest(spark, d):
     senses = F.array(F.struct(F.array(gloss("en", F.lit("rare x"))).alias("gloss")), F.struct(F.array(gloss("fr", F.concat(F.lit("plain "), "written"))).alias("gloss")))
     one = lambda c: F.array(F.struct(F.col(c).alias("text")))
     lines = I.lexicon(spark, d).select(F.to_json(F.struct(F.col("written").alias("id"), one("written").alias("kanji"), one("pronounced").alias("kana"), senses.alias("sense"))).alias("value"))
-    return files.word_dict_entries(lines).select("entry_id", "pronounced", "n_kanji", "n_senses", F.array_join(F.flatten("senses"), "; ").alias("meanings"))
+    path = new_path(spark, "entries")
+    lines.write.text(path)
+    return files.word_dict_ingest(spark, path).select("entry_id", "pronounced", "n_kanji", "n_senses", F.array_join(F.flatten("senses"), "; ").alias("meanings"))
+
+
+def through_file(lines, name):
+    """lines (value) written as text and read back."""
+    path = new_path(lines.sparkSession, name)
+    lines.select("value").write.text(path)
+    return lines.sparkSession.read.text(path)
 
 
 @query("backup_read", sql("SELECT content_id::VARCHAR AS content_id, word, reading, meaning, score FROM vocab", "vocab"))
 def backup_read(spark, d):
     """Vocabulary written as JSON lines and read back."""
-    return files.backup_read(sinks.backup_lines(I.vocab(spark, d)).select("value"))[1]
+    return files.backup_read(through_file(sinks.backup_lines(I.vocab(spark, d)), "backup"))[1]
 
 
 @query("backup_write", sql("SELECT word FROM known", "known"))
 def backup_write(spark, d):
     """Known words written as JSON lines, read back."""
-    return files.backup_read(sinks.known_lines(I.known_words(spark, d)))[0]
+    return files.backup_read(through_file(sinks.known_lines(I.known_words(spark, d)), "known"))[0]
 
 
 @query("deck_export", sql("SELECT word || chr(9) || reading || '<br>' || meaning || chr(9) || CASE WHEN jlpt > 0 THEN 'JLPT_N' || jlpt ELSE 'JLPT_native' END AS line FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY content_id, ord) rn FROM vocab WHERE jlpt IN (0, 1, 2) AND word NOT IN (SELECT word FROM known)) WHERE rn = 1", "vocab", "known"))
@@ -238,7 +249,7 @@ def story_export(spark, d):
 
 @query("report_write", sql("SELECT '{\"content_id\":' || content_id || ',\"total\":' || count(*) || ',\"with_definition\":' || count(*) FILTER (WHERE found) || ',\"accuracy\":' || floor(count(*) FILTER (WHERE found) * 100.0::DOUBLE / count(*) + 0.5)::BIGINT || '}' AS value FROM looked GROUP BY content_id", "looked"))
 def report_write(spark, d):
-    return sinks.report_lines(R.coverage_unique(I.counts(spark, d), I.lexicon(spark, d)))
+    return through_file(sinks.report_lines(R.coverage_unique(I.counts(spark, d), I.lexicon(spark, d))), "report")
 
 
 @query("vocab_cache_valid", sql("SELECT lang AS snapshot_id, bool_and(content_id % 97 <> 5) AS valid FROM content GROUP BY lang", "content"))
@@ -282,9 +293,9 @@ def title_search(spark, d):
     return I.content(spark, d).where(T.title_matches(F.col("title"), " SRC1 ")).select("content_id", "title")
 
 
-@query("slugify", sql("SELECT content_id, regexp_replace(regexp_replace(lower(title || '! ' || left(text, 40)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM content", "content"))
+@query("slugify", sql("SELECT content_id, regexp_replace(regexp_replace(lower(title || '! ' || text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM content", "content"))
 def slugify(spark, d):
-    return I.content(spark, d).select("content_id", T.slugify(F.concat("title", F.lit("! "), F.left("text", F.lit(40)))).alias("slug"))
+    return I.content(spark, d).select("content_id", T.slugify(F.concat("title", F.lit("! "), "text")).alias("slug"))
 
 
 @query("type_counts", sql("SELECT type, count(*) AS n, count(*) FILTER (WHERE length(text) = 0) AS n_empty FROM content GROUP BY type", "content"))
@@ -311,7 +322,7 @@ def content_sink_new_only(spark, d):
     return sinks.new_stories(c, c.where("content_id % 2 = 0").select(T.slugify(F.col("title")).alias("slug"))).select("content_id", "slug")
 
 
-@query("duplicate_groups", sql("SELECT md5(text) AS hash, count(*) AS copies, min(content_id) AS first_id, max(strlen(text))::INT AS bytes FROM content GROUP BY md5(text) HAVING count(*) > 1", "content"))
+@query("duplicate_groups", sql("SELECT md5(text) AS hash, count(*) AS copies, min(content_id) AS first_id, max(strlen(text))::INT AS bytes FROM content WHERE text IS NOT NULL GROUP BY md5(text) HAVING count(*) > 1", "content"))
 def duplicate_groups(spark, d):
     return C.duplicate_groups(I.content(spark, d))
 
@@ -372,6 +383,58 @@ def series_stories(spark, d):
     return C.series_stories(I.relations(spark, d), wanted)
 
 
+def as_files(rows, file, value):
+    return rows.select(F.col("folder"), F.lit(file).alias("file"), value.alias("value"))
+
+
+@query("content_scan", sql("SELECT content_id::VARCHAR AS id, title, type, content_id % 2 = 0 AS dated, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS text FROM content WHERE content_id % 7 <> 3 AND content_id % 11 <> 4", "content"))
+def content_scan(spark, d):
+    """Documents as folders of two files: some lack the body, the metadata of some don't parse."""
+    c = I.content(spark, d).withColumn("folder", F.col("content_id").cast("string"))
+    meta = F.to_json(F.struct(F.col("folder").alias("id"), "title", "type", F.when(F.col("content_id") % 2 == 0, "2024-01-01").alias("dateAdded")))
+    meta = F.when(F.col("content_id") % 11 == 4, F.concat(F.lit("not json {"), meta)).otherwise(meta)
+    files_ = as_files(c, "metadata.json", meta).unionByName(as_files(c.where("content_id % 7 <> 3"), "content.md", F.concat(F.lit(" \n"), "text", F.lit("\n\n"))))
+    path = new_path(spark, "folders")
+    sinks.folder_sink(files_, path)
+    return files.content_scan(spark, path).select("id", "title", "type", F.col("dateAdded").isNotNull().alias("dated"), "text")
+
+
+@query("series_scan", sql("SELECT DISTINCT series_id AS id, 'series ' || series_id AS title FROM content", "content"))
+def series_scan(spark, d):
+    """A folder with metadata for each series."""
+    rows = I.content(spark, d).select(F.col("series_id").alias("folder")).distinct()
+    path = new_path(spark, "series")
+    sinks.folder_sink(as_files(rows, "metadata.json", F.to_json(F.struct(F.col("folder").alias("id"), F.concat(F.lit("series "), "folder").alias("title")))), path)
+    return files.series_scan(spark, path).select("id", "title")
+
+
+@query("names_xml_ingest", sql("SELECT pronounced AS kana, CASE WHEN n % 2 = 0 THEN written END AS kanji, 'name ' || written || '; n' || n AS meanings FROM lexicon WHERE n % 5 <> 0", "lexicon"))
+def names_xml_ingest(spark, d):
+    """Lexicon entries as name XML; some have no meaning and go."""
+    lex = I.lexicon(spark, d)
+    one = lambda name, c: F.array(F.struct(c.alias(name)))
+    details = F.when(F.col("n") % 5 != 0, F.array(F.struct(F.array(F.concat(F.lit("name "), "written"), F.concat(F.lit("n"), F.col("n").cast("string"))).alias("trans_det"))))
+    entries_ = lex.select(one("reb", F.col("pronounced")).alias("r_ele"), F.when(F.col("n") % 2 == 0, one("keb", F.col("written"))).alias("k_ele"), details.alias("trans"))
+    path = new_path(spark, "names")
+    entries_.write.format("xml").option("rowTag", "entry").option("rootTag", "names").save(path)
+    return files.names_xml_ingest(spark, path).select("kana", "kanji", F.array_join("meanings", "; ").alias("meanings"))
+
+
+@query("content_sink", sql("SELECT type, count(*) AS n, count(*) FILTER (WHERE length(text) = 0) AS n_empty FROM content GROUP BY type", "content"))
+def content_sink(spark, d):
+    return sinks.content_sink(I.content(spark, d), new_path(spark, "content"))
+
+
+@query("pos_base_form", sql("SELECT word || CASE length(word) % 4 WHEN 0 THEN 'い' WHEN 1 THEN 'れ' WHEN 2 THEN 'し' ELSE '' END AS surface, word || CASE length(word) % 4 WHEN 0 THEN 'く' WHEN 1 THEN 'れる' WHEN 2 THEN 'する' ELSE '' END AS base_form FROM words", "words"))
+def pos_base_form(spark, d):
+    """Words with the endings and part-of-speech slots of three kinds of verbs, or of a noun."""
+    case = F.length("word") % 4
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (case + 1).cast("int"))
+    slots = F.array(pick("動詞", "動詞", "動詞", "名詞"), F.lit("*"), F.lit("*"), F.lit("*"), pick("五段-カ行", "下一段-ラ行", "サ行変格", "*"), pick("連用形-一般", "未然形-一般", "連用形-一般", "*"))
+    rows = I.words(spark, d).select(F.concat("word", pick("い", "れ", "し", "")).alias("surface"), slots.alias("pos_tags"))
+    return B.pos_base_form(rows).select("surface", "base_form")
+
+
 @query("vocab_incremental", sql("SELECT content_id, word, score FROM vocab WHERE content_id % 4 <> 0 OR content_id % 8 = 0", "vocab"))
 def vocab_incremental(spark, d):
     """A quarter of the content is extracted already; half of that has changed since."""

@@ -5,6 +5,8 @@ lexicon is made from word counts over all documents, known words are those of us
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,35 @@ from lexispark.functions.profiles import ACCENTS, LATIN, PLAIN
 from lexispark.operators import content as C
 from lexispark.operators import tokens as K
 from lexispark.operators import vocab as V
+from lexispark.sources.staging import staged as written
+
+#: Tables that the running query has written: its branches read them, the next query makes its own.
+_made: dict[tuple[str, str], DataFrame] = {}
+
+
+def fresh(query):
+    """query with no table of an earlier one."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _made.clear()
+        return query(spark, sf_dir)
+
+    return run
+
+
+def once(name: str):
+    def wrap(make):
+        @functools.wraps(make)
+        def table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if (name, sf_dir) not in _made:
+                _made[(name, sf_dir)] = written(make(spark, sf_dir), name)
+            return _made[(name, sf_dir)]
+
+        return table_of
+
+    return wrap
+
 
 # Level and grade of complex letters, their repetition stages, meanings of single letters.
 CHAR_META = (("é", 5, 1), ("è", 4, 2), ("à", 3, 3), ("ç", 2, 4), ("ê", 1, 5), ("ä", 5, 6), ("ö", 4, 8), ("ü", 3, 9), ("ß", 2, 10), ("ñ", 1, None), ("í", None, 1), ("ó", None, None))
@@ -39,8 +70,15 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.tokenize(content(spark, sf_dir), LATIN)
 
 
+@once("surfaces")
+def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's distinct surfaces with counts: texts are read and tokenized once for all that follows."""
+    return V.surface_counts(tokens(spark, sf_dir))
+
+
+@once("lexicon")
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens(spark, sf_dir).groupBy(F.col("surface").alias("written")).agg(F.count(F.lit(1)).alias("n"))
+    counts = surfaces(spark, sf_dir).groupBy(F.col("surface").alias("written")).agg(F.sum("frequency").alias("n"))
     counts = counts.where(~F.substring(F.md5("written"), 1, 1).isin("0", "1")).withColumn("pronounced", K.base_form(F.col("written")))
     n = F.col("n")
     tag = F.when(n >= 500, "ichi1").when(n >= 200, "news2").when(n >= 100, "gai1").when(n >= 50, "spec2").when(n >= 2, F.concat(F.lit("nf"), F.lpad((50 - n).cast("string"), 2, "0")))
@@ -70,15 +108,15 @@ def morphemes(spark: SparkSession) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.word_counts(tokens(spark, sf_dir), LATIN)
+    return V.counted_words(surfaces(spark, sf_dir), LATIN)
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts(spark, sf_dir).groupBy("word").agg(F.min("base_form").alias("base_form"))
+    return V.distinct_words(counts(spark, sf_dir))
 
 
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.vocab_extract(tokens(spark, sf_dir), lexicon(spark, sf_dir), char_meta(spark), morphemes(spark), LATIN)
+    return V.vocab_of(surfaces(spark, sf_dir), lexicon(spark, sf_dir), char_meta(spark), morphemes(spark), LATIN)
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +192,13 @@ CTE = {
     CASE WHEN coalesce(total_count, 0) = 0 THEN 0 ELSE floor((total_count - unknown_count) * 100.0::DOUBLE / total_count + 0.5)::BIGINT END AS comprehension
     FROM content LEFT JOIN (SELECT content_id, count(*) total_count, count(*) FILTER (NOT kn) unknown_count, coalesce(sum(score) FILTER (NOT kn), 0) tus, sum(CASE WHEN NOT kn OR stage IS NOT NULL THEN score * 1.0::DOUBLE ELSE score * 0.5::DOUBLE END) ss
       FROM (SELECT *, (word IN (SELECT word FROM known) OR coalesce(stage >= 7, false)) kn FROM staged) GROUP BY content_id) USING (content_id)""",
-    "looked": "SELECT c.*, (EXISTS (SELECT 1 FROM lexicon l WHERE l.written = c.word) OR EXISTS (SELECT 1 FROM lexicon l WHERE l.pronounced = c.word) OR EXISTS (SELECT 1 FROM lexicon l WHERE l.written = c.base_form) OR EXISTS (SELECT 1 FROM lexicon l WHERE l.pronounced = c.base_form)) AS found FROM counts c",
+    "looked": "SELECT c.*, (a.key IS NOT NULL OR b.key IS NOT NULL) AS found FROM counts c LEFT JOIN (SELECT written AS key FROM lexicon UNION SELECT pronounced FROM lexicon) a ON a.key = c.word LEFT JOIN (SELECT written AS key FROM lexicon UNION SELECT pronounced FROM lexicon) b ON b.key = c.base_form",
 }
+CTE["keys"] = "SELECT written AS key FROM lexicon UNION SELECT pronounced FROM lexicon"
 CTE["known_adv"] = "SELECT word FROM known UNION SELECT written FROM lexicon WHERE n >= 2"
 CTE["status_adv"] = CTE["status"].replace("FROM known)", "FROM known_adv)")
 NEEDS = {
+    "keys": ["lexicon"],
     "known_adv": ["known", "lexicon"], "status_adv": ["content", "staged", "known_adv"],
     "relations": ["content"], "tokens": ["content"], "lexicon": ["tokens"], "counts": ["tokens"], "words": ["counts"], "chars": ["words"],
     "profile": ["words", "chars", "char_meta"], "best_surface": ["words", "lexicon"], "best_base": ["words", "lexicon"],

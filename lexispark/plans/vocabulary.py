@@ -13,13 +13,14 @@ from lexispark.operators import tokens as K
 from lexispark.operators import vocab as V
 from lexispark.plans import inputs as I
 from lexispark.plans.inputs import sql
+from lexispark.sources.staging import staged
 
 QUERIES, ORACLE = {}, {}
 
 
 def query(name: str, oracle: str | None = None):
     def register(f):
-        QUERIES[name] = f
+        QUERIES[name] = I.fresh(f)
         if oracle is not None:
             ORACLE[name] = oracle
         return f
@@ -39,7 +40,7 @@ def vocab_extract(spark, d):
 def vocab_extract_batch(spark, d):
     checked = C.validated(I.content(spark, d), LATIN)
     rows = K.tokenize(checked.where("error IS NULL"), LATIN)
-    vocab = V.vocab_extract(rows, I.lexicon(spark, d), I.char_meta(spark), I.morphemes(spark), LATIN)
+    vocab = V.vocab_of(staged(V.surface_counts(rows), "checked"), I.lexicon(spark, d), I.char_meta(spark), I.morphemes(spark), LATIN)
     per = vocab.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total_score"))
     out = checked.select("content_id", "error").join(per, "content_id", "left")
     return out.select("content_id", "error", F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).alias("n_words"), "total_score")
@@ -50,6 +51,19 @@ def tokenize(spark, d):
     return I.tokens(spark, d)
 
 
+#: Words that the longest-match tokenizer knows, the longest first as alternatives are tried in order.
+LISTED = ("tion", "ment", "und", "die", "que", "the", "ing", "and", "ent", "de", "la", "of", "in", "er")
+
+
+@query("tokenize_lexicon", sql(f"SELECT content_id, len(ws)::BIGINT AS n_tokens, md5(array_to_string(ws, '|')) AS digest FROM (SELECT content_id, list_filter(regexp_extract_all(text, '(?s){'|'.join(LISTED)}|.'), lambda t: NOT regexp_matches(t, '^[\\s\\p{{Z}}]+$')) AS ws FROM content)", "content"))
+def tokenize_lexicon(spark, d):
+    rows = K.tokenize(I.content(spark, d), LATIN, "lexicon", list(LISTED))
+    per = rows.groupBy("content_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.array_sort(F.collect_list(F.struct("pos", "surface"))).alias("_t"))
+    per = per.select("content_id", "n_tokens", F.md5(F.array_join(F.transform("_t", lambda t: t["surface"]), "|")).alias("digest"))
+    nothing = F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("digest", F.md5(F.lit(""))).alias("digest")
+    return I.content(spark, d).select("content_id").join(per, "content_id", "left").select("content_id", *nothing)
+
+
 @query("tokens_from_morphemes", sql("SELECT content_id, pos::INT AS pos, surface, CASE WHEN pos % 3 = 0 THEN surface ELSE base_form END AS base_form FROM tokens WHERE pos % 7 <> 0", "tokens"))
 def tokens_from_morphemes(spark, d):
     tags = F.array(F.when(F.col("pos") % 7 == 0, "補助記号").otherwise("名詞"))
@@ -201,12 +215,12 @@ def missing_by_script(spark, d):
     return R.missing_by_script(I.counts(spark, d), I.lexicon(spark, d), LATIN)
 
 
-@query("critical_word_check", sql("SELECT method, count(*) AS found, (SELECT count(DISTINCT surface) FROM tokens WHERE content_id = 0) AS expected, floor(count(*) * 100.0::DOUBLE / (SELECT count(DISTINCT surface) FROM tokens WHERE content_id = 0) + 0.5)::BIGINT AS percent FROM (SELECT DISTINCT lang AS method, surface FROM tokens JOIN content USING (content_id) WHERE surface IN (SELECT surface FROM tokens WHERE content_id = 0)) GROUP BY method", "tokens"))
+@query("critical_word_check", sql("SELECT method, count(*) AS found, (SELECT count(DISTINCT surface) FROM tokens) AS expected, floor(count(*) * 100.0::DOUBLE / (SELECT count(DISTINCT surface) FROM tokens) + 0.5)::BIGINT AS percent FROM (SELECT DISTINCT lang AS method, surface FROM tokens JOIN content USING (content_id)) GROUP BY method", "tokens"))
 def critical_word_check(spark, d):
-    """Required words are those of the first document, methods the languages: how many of them each language's documents have."""
-    tokens = I.tokens(spark, d)
-    rows = tokens.join(I.content(spark, d).select("content_id", F.col("lang").alias("method")), "content_id")
-    return R.critical_word_check(rows, tokens.where("content_id = 0").select(F.col("surface").alias("word")).distinct())
+    """Required words are those of all documents, methods the languages: how many of them each language's documents have."""
+    surfaces = I.surfaces(spark, d)
+    rows = surfaces.join(I.content(spark, d).select("content_id", F.col("lang").alias("method")), "content_id")
+    return R.critical_word_check(rows, surfaces.select(F.col("surface").alias("word")).distinct())
 
 
 @query("mode_compare", sql("SELECT method, count(*) AS found, 8 AS expected, floor(count(*) * 100.0::DOUBLE / 8 + 0.5)::BIGINT AS percent FROM (SELECT DISTINCT 'surface' AS method, surface FROM tokens UNION SELECT DISTINCT 'base', base_form FROM tokens) WHERE surface IN ('the', 'of', 'and', 'de', 'là', 'la', 'für', 'über') GROUP BY method", "tokens"))

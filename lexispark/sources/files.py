@@ -12,18 +12,19 @@ VOCAB = "array<struct<word:string,reading:string,meaning:string,score:int>>"
 
 
 def folder(path) -> F.col:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    """The name of a content's folder; Spark's writers make a folder for each file too and put name= before both."""
+    return F.regexp_extract(path, r"([^/=]+)/(?:[^/=]+=[^/]+/)?[^/]+$", 1)
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
-    rows = spark.read.schema(META).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{root}/*/metadata.json")
+    rows = spark.read.schema(META).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{root}/*/*metadata.json")
     rows = rows.withColumn("_folder", folder(F.col("_metadata.file_path")))
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
 
 
 def content_scan(spark: SparkSession, root: str, body: str = "content.md") -> DataFrame:
     """Folders with metadata.json and a body: both must exist and the JSON must parse; bodies are trimmed."""
-    texts = spark.read.text(f"{root}/*/{body}", wholetext=True).select(folder(F.col("_metadata.file_path")).alias("_f"), F.regexp_replace("value", r"^[\s　]+|[\s　]+$", "").alias("text"))
+    texts = spark.read.text(f"{root}/*/*{body}", wholetext=True).select(folder(F.col("_metadata.file_path")).alias("_f"), F.regexp_replace("value", r"^[\s　]+|[\s　]+$", "").alias("text"))
     return metadata(spark, root).join(texts, F.col("_folder") == F.col("_f")).drop("_f", "_folder")
 
 

@@ -9,9 +9,14 @@ from lexispark.functions import text as T
 
 
 def content_sink(content: DataFrame, path: str) -> DataFrame:
-    """Writes content by type and returns counts by type, empty bodies flagged."""
+    """Writes content by type and returns what is there by type, empty bodies counted."""
     content.write.mode("overwrite").partitionBy("type").parquet(path)
-    return content.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.length("text") == 0, 1)).alias("n_empty"))
+    return content.sparkSession.read.parquet(path).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.length("text") == 0, 1)).alias("n_empty"))
+
+
+def folder_sink(files: DataFrame, path: str) -> None:
+    """files (folder, file, value) -> one folder for each content with its files, as the reader of folders takes them."""
+    files.repartition("folder").write.mode("overwrite").partitionBy("folder", "file").text(path)
 
 
 def new_stories(content: DataFrame, existing: DataFrame) -> DataFrame:

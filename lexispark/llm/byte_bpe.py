@@ -21,6 +21,7 @@ import base64
 import hashlib
 import os
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 from lexispark.llm.pretokens import pretokens
 
 #: Words of one recursive query.
-WORDS = 50_000
+WORDS = 20_000
 #: Documents of one Arrow batch that are handled together.
-ROWS = 2_000
+ROWS = 500
 #: Words that a Python worker remembers between batches; others are encoded anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 SHIFT = 32
 
 ENCODE = f"""
@@ -56,7 +57,7 @@ WITH RECURSIVE step(w, toks, done) AS (
 SELECT w, toks FROM step WHERE done ORDER BY w
 """
 #: Bytes beyond which a word is a long one, and bytes of long words in one query.
-LONG, LONG_BYTES = 64, 500_000
+LONG, LONG_BYTES = 64, 200_000
 
 
 def encode_long(span: int) -> str:
@@ -101,7 +102,7 @@ class Merger:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pairs, made = [], []
+        pairs, made = array("q"), array("i")
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
                 left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
@@ -112,7 +113,7 @@ class Merger:
         self.known: dict[bytes, tuple[bytes, bytes, int]] = {}
         self.long = encode_long(max(map(len, self.ranks)))
         spill = os.path.join(tempfile.gettempdir(), f"duckdb-{os.getpid()}")  # made only when a word outgrows the memory limit, gone with the worker
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": spill})
         self.table("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "new": pa.array(made, pa.int32())}))
         self.table("vocabulary", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
 

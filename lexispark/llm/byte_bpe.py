@@ -163,18 +163,9 @@ class Merger:
         return out
 
 
-_mergers: dict[str, Merger] = {}
-
-
-def merger(path: str) -> Merger:
-    if path not in _mergers:
-        _mergers[path] = Merger(path)
-    return _mergers[path]
-
-
 def encode_udf(path: str, with_ids: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = merger(path)
+        own = Merger(path)  # made for each task and gone with it: workers are used again by stages that need their memory
         for whole in batches:
             for a in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(a, ROWS)
@@ -197,6 +188,9 @@ def encode_udf(path: str, with_ids: bool):
                     columns += [digest(id_texts), digest(texts)]
                 names = ["doc_id", "n_tokens", *(["ids", "decoded"] if with_ids else ["ids_sha256", "decoded_sha256"])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        own.db.close()
+        own.known.clear()
+        pa.default_memory_pool().release_unused()
 
     return encode
 

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents conversations events".split()
-NAMES = "tokenize compound_merge token_offsets filter_stats coverage_unique missing_words best_variant dict_chain word_score content_status srs_adjust rank_content duplicate_plan vocab_merge related_stories deck_export known_words_stream".split()
+NAMES = "tokenize compound_merge token_offsets filter_stats coverage_unique missing_words best_variant dict_chain word_score content_status srs_adjust rank_content duplicate_plan vocab_merge related_stories deck_export known_words_stream series_scan names_xml_ingest content_sink pos_base_form tokenize_lexicon related_words stem_lookup dict_compare line_tokens slugify critical_word_check backup_read report_write word_dict_ingest".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.shared import without, words, written
 
-#: Labelled rows that the regression is fitted on: all, or where there are more, about this many by a hash of their ids.
+#: Labelled documents that the regression is fitted on: all, or where there are more, about this many by a hash of their ids.
 FIT_ROWS = 20_000
 FEATURES = ("symbols", "upper", "marks", "digits", "same", "fresh", "lines", "length", "few")
 
@@ -59,14 +59,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 
 
 def evidence_weights(rows: DataFrame, labels: DataFrame, bound: int) -> tuple[np.ndarray, float]:
-    """Weights of the features and the intercept. Only rows of the sample reach the driver, however many partitions there are."""
+    """Weights of the features and the intercept. Only rows of the sample reach the driver, however many partitions there are; a
+    doc_id with several rows is one of them (the least by its features), so repeated rows don't fill the sample."""
     one = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_y"))
     labelled = rows.join(one.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"))
+    columns = ["_y", *FEATURES]
+    labelled = labelled.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("_row"))
     share = bound / max(labelled.count(), 1)
     if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    columns = ["_y", *FEATURES]
-    sample = labelled.select(*columns).toPandas().sort_values(columns)
+        labelled = labelled.where(F.xxhash64("doc_id") < int((2 * share - 1) * 2**63))
+    sample = labelled.select("_row.*").toPandas().sort_values(columns)
     y = sample["_y"].to_numpy(float)
     if len(set(y)) < 2:
         return np.zeros(len(FEATURES)), 0.0

@@ -602,6 +602,21 @@ def test_quality_classifier(spark, docs, empty):
     assert nothing.where("NOT kept").count() == 0
 
 
+def test_sample_stays_within_its_bound(spark, monkeypatch):
+    """A doc_id that fills a third of the labelled rows is one row of the sample, and the sample is about as large as its bound."""
+    fitted = []
+    fit = quality_classifier.fit_logistic
+    monkeypatch.setattr(quality_classifier, "fit_logistic", lambda x, y: fitted.append(len(y)) or fit(x, y))
+    good, bad = "a quiet text of {} plain words", "BUY {} !!! $$$ ### now now now"
+    rows = [(i, (good if i % 2 else bad).format(i)) for i in range(2_000)] + [(7, good.format(7))] * 1_000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"source": F.lit("s"), "lang": F.lit("en")})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2_000)], "doc_id bigint, quality int")
+    for bound, least, most in ((10_000, 2_000, 2_000), (400, 300, 500)):
+        fitted.clear()
+        kept = {r.doc_id for r in quality_classifier.quality_scores(docs, labels, bound=bound).where("kept").collect()}
+        assert least <= fitted[0] <= most and kept == set(range(1, 2_000, 2))
+
+
 def test_sparse_sites_are_shrunk(spark):
     rows = [(i, "good words in a row here " * 5, "big", "p") for i in range(50)] + [(99, "good words in a row here " * 5, "small", "p")]
     rows += [(200 + i, "BAD!! " * 20, "worse", "p") for i in range(50)]

@@ -44,7 +44,9 @@ WEAK = 3.0
 #: Members of a signature group, and partners of a hub, that are handled together; larger groups are split.
 BLOCK = 2048
 PARTNERS = 512
-#: Bits of a parity sketch: about half the set's size, between these.
+#: Bits of a parity sketch: this times the differences that a link allows, between these. With fewer, elements that differ often
+#: flip the same bit, and sets well below the similarity pass.
+SKETCH_SPREAD = 8
 SKETCH_BITS = (64, 8192)
 
 
@@ -160,15 +162,15 @@ def node_names(value: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return mix(digest ^ np.bincount(doc, minlength=docs).astype(np.uint64), 7).astype(np.int64)
 
 
-def sketch_widths(size: np.ndarray) -> np.ndarray:
+def sketch_widths(size: np.ndarray, percent: int) -> np.ndarray:
     """Bits of the sketch of each set: a power of two."""
-    half = np.maximum(size // 2, 1)
-    return np.clip(2 ** np.ceil(np.log2(half)).astype(np.int64), *SKETCH_BITS)
+    wanted = np.maximum(SKETCH_SPREAD * ((100 - percent) * 2 * size // (100 + percent)), 1)
+    return np.clip(2 ** np.ceil(np.log2(wanted)).astype(np.int64), *SKETCH_BITS)
 
 
-def sketches(value: np.ndarray, doc: np.ndarray, size: np.ndarray) -> pa.Array:
+def sketches(value: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: int) -> pa.Array:
     """Parity sketches: every element flips one bit. A sketch folds to half its width by xor of its halves."""
-    width = sketch_widths(size)
+    width = sketch_widths(size, percent)
     start = np.append(0, np.cumsum(width))
     at = start[doc] + (mix(value, 991) & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
     bits = np.bincount(at, minlength=start[-1]) & 1
@@ -200,7 +202,7 @@ def sets_udf(n: int, percent: int, kind: pa.DataType):
                     use = (reaches & fresh)[doc]
                     found.append(band_signatures(value[use], doc[use], own + up, edges[own + 1 + up] - 1, percent))
                 sig, place = (np.concatenate(x) for x in zip(*found, strict=True))
-                about = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(size), sketches(value, doc, size)], names=["doc_id", "rid", "size", "sketch"])
+                about = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(size), sketches(value, doc, size, percent)], names=["doc_id", "rid", "size", "sketch"])
                 spread = mix(np.arange(at, at + docs, dtype=np.uint64) ^ node.astype(np.uint64), 5).astype(np.int64)
                 at += docs
                 yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(node), about], names=["sig", "node", "doc"])

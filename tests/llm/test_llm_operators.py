@@ -221,10 +221,10 @@ def test_candidates_of_one_band_stay_few(spark):
 
 def test_parity_sketches_bound_differences():
     r = np.random.default_rng(6)
-    for size in (1, 3, 40, 300, 3000):
+    for size, percent in [(s, p) for s in (1, 3, 40, 300, 3000) for p in (80, 90)]:
         a = np.unique(r.choice(1 << 62, size).astype(np.uint64))
         b = np.unique(np.concatenate([a[size // 10 :], r.choice(1 << 62, size).astype(np.uint64)]))
-        both = jaccard_join.sketches(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]))
+        both = jaccard_join.sketches(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]), percent)
         fold = lambda bits, n: bits if len(bits) == n else fold(bits[: len(bits) // 2] ^ bits[len(bits) // 2 :], n)
         x, y = (np.unpackbits(np.frombuffer(s.as_buffer(), np.uint8)) for s in both)
         narrow = min(len(x), len(y))

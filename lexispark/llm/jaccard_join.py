@@ -11,7 +11,8 @@ Signatures meet in one shuffle. What follows works on pairs, and a pair is verif
 1. each node is compared with the one node with which it shares most signatures; links make components;
 2. in signature groups that still hold several components, pairs across components are candidates if sizes allow the
    similarity, if their parity sketches differ in at most H bits (each element flips one bit, so more bits mean more differing
-   elements) and if they share as many signatures as the pigeonhole promises; these are compared too.
+   elements) and if they share as many signatures as the pigeonhole promises; of the candidates between two components the one
+   that shares most is compared first, and the others only where that leaves their ends in different components.
 Every link lies in one component after the first step or is a candidate of the second, so none is lost, while a group of
 thousands of near copies needs a comparison for each, not for each two. Texts travel once for each comparison with their hub;
 hubs with many partners and signature groups with many members are split.
@@ -366,7 +367,7 @@ def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent:
 
 
 def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """met (sig, node): members of signature groups -> candidate pairs (u, v) across components."""
+    """met (sig, node): members of signature groups -> candidate pairs (u, v, shared) across components."""
     parts = partitions(met.sparkSession)
     labelled = met.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
     group = W.partitionBy("sig")
@@ -378,7 +379,19 @@ def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent:
     members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     members = members.select("sig", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "node", "root", "size", "sketch")
     pairs = members.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(pairs_udf(percent), "u bigint, v bigint, need bigint")
-    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_shared"), F.min("need").alias("_need")).where("_shared >= _need").select("u", "v")
+    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_shared"), F.min("need").alias("_need")).where("_shared >= _need").select("u", "v", F.col("_shared").alias("shared"))
+
+
+def as_edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components, with root_u and root_v."""
+    for end in ("u", "v"):
+        known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+        pairs = pairs.join(known, F.col(end) == F.col("_node"), "left").withColumn(f"root_{end}", F.coalesce("_root", end)).drop("_node", "_root")
+    return pairs.where("root_u <> root_v")
 
 
 def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -402,8 +415,13 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     first = written(linked(docs, nodes, stars, n, percent), "links")
     roots = written(connected_components(first), "roots")
     pairs = written(candidate_pairs(met.select("sig", "node"), nodes, roots, percent), "pairs")
-    second = linked(docs, nodes, pairs, n, percent)
-    roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(second))
+    # of the pairs between two components the one with most shared signatures goes first; a link makes the others needless
+    ends = ("least(root_u, root_v)", "greatest(root_u, root_v)")
+    best = apart(pairs, roots).groupBy(*(F.expr(e).alias(k) for e, k in zip(ends, ("a", "b"), strict=True)))
+    best = best.agg(F.max_by(F.struct("u", "v"), F.struct("shared", "u", "v")).alias("_pair")).select("_pair.u", "_pair.v")
+    roots = written(connected_components(as_edges(roots).unionByName(linked(docs, nodes, best, n, percent))), "roots")
+    rest = apart(pairs, roots).select("u", "v")
+    roots = connected_components(as_edges(roots).unionByName(linked(docs, nodes, rest, n, percent)))
     rows = rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     return rows.select("doc_id", "rid", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("root", "node")).alias("root"))
 

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import byte_bpe, fingerprints, jaccard_join, lm_katz, mixing, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from lexispark.llm import byte_bpe, cover_tree_codes, cover_tree_sql, fingerprints, jaccard_join, lm_katz, mixing, quality_classifier, quality_rules
+from lexispark.llm import rank_array_bpe, secret_scan, sharding, spelling_variants, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_array_bpe.encode_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +81,9 @@ QUERIES = {
         op8_fingerprints,
         op9_mixing,
         op10_sharding,
+        op11_rank_array_bpe,
+        op12_vector_codes,
+        op13_spelling_variants,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_vector_codes": cover_tree_sql.vector_codes_sql()}

@@ -144,7 +144,9 @@ def trees_udf(parts: int, scale: int):
 
 def assign(points: np.ndarray, tree: dict[str, np.ndarray], book: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
     """Nearest entry of every place in a tree's order; the runs (begin, end, entry) that subtrees took whole; and the places compared
-    one by one. points: in the tree's order."""
+    one by one. points: in the tree's order. Of equal entries only the first can be nearest, so the others are left out."""
+    own = np.sort(np.unique(book, axis=0, return_index=True)[1])
+    book = book[own]
     to_centres = squared_distances(tree["points_of_net"], book)
     nearest = to_centres.argmin(axis=1)
     rest = to_centres.copy()
@@ -164,7 +166,7 @@ def assign(points: np.ndarray, tree: dict[str, np.ndarray], book: np.ndarray) ->
     left = np.flatnonzero(entry < 0)
     if len(left):
         entry[left] = squared_distances(points[left], book).argmin(axis=1)
-    return entry, runs, left
+    return own[entry], [(b, e, int(own[x])) for b, e, x in runs], left
 
 
 def read_block(batch: pa.RecordBatch, k: int, parts: int) -> Iterator[tuple[int, np.ndarray, dict[str, np.ndarray]]]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
 from lexispark.functions.profiles import ACCENTS, PLAIN, ScriptProfile
+from lexispark.operators.trie import lexicon_tokens
 
 
 def base_form(surface: Column) -> Column:
@@ -19,33 +19,21 @@ def base_form(surface: Column) -> Column:
     return F.translate(surface, ACCENTS, PLAIN)
 
 
-def tokenize(content: DataFrame, profile: ScriptProfile, method: str = "script_run", lexicon: list[str] | None = None) -> DataFrame:
+def tokenize(content: DataFrame, profile: ScriptProfile, method: str = "script_run", lexicon: DataFrame | list[str] | None = None) -> DataFrame:
     """content (content_id, text) -> content_id, pos, surface, base_form, in order of the text.
 
-    script_run takes runs of one script; lexicon takes the longest word of a list, else one character. Both are native."""
-    if method == "lexicon":
-        return lexicon_tokens(content, lexicon or [])
+    script_run takes runs of one script by a native expression; lexicon takes the longest word of a table (word[, base_form]) or list,
+    else one character, without white space."""
     text = F.lower("text") if profile.lower else F.col("text")
+    if method == "lexicon":
+        if not isinstance(lexicon, DataFrame):
+            lexicon = content.sparkSession.createDataFrame([(w,) for w in lexicon or []], "word string")
+        return lexicon_tokens(content, text, lexicon)
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(profile.token), F.lit(0))
     rows = content.select("content_id", F.posexplode(runs).alias("pos", "surface"))
     return rows.withColumn("base_form", base_form(F.col("surface")) if profile.lower else F.col("surface"))
 
 
-#: Words of a list that one expression can hold.
-LEXICON_WORDS = 20_000
-
-
-def lexicon_tokens(content: DataFrame, lexicon: list[str]) -> DataFrame:
-    """The list travels in the expression, so it has a bound: the first alternative that fits wins, hence the longest come first."""
-    words = sorted({w for w in lexicon if len(w) > 1}, key=lambda w: (-len(w), w))
-    if len(words) > LEXICON_WORDS:
-        raise ValueError(f"a list of more than {LEXICON_WORDS} words is too large for an expression; look words up with operators.lookup")
-    pattern = "|".join([*(re.sub(r"([\\\[\](){}.*+?^$|])", r"\\\1", w) for w in words), r"[\s\S]"])
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))
-    kept = F.filter(found, lambda t: ~t.rlike(r"^[\s\p{Z}]+$"))
-    return content.select("content_id", F.posexplode(kept).alias("pos", "surface")).withColumn("base_form", F.col("surface"))
-
-
 def tokens_from_morphemes(morphemes: DataFrame) -> DataFrame:
     """An analyzer's table (content_id, pos, surface, pos_tags, normalized_form) -> tokens, without supplementary symbols and space."""
     kept = morphemes.where((F.coalesce(F.get("pos_tags", F.lit(0)), F.lit("")) != "補助記号") & ~F.col("surface").rlike(r"^[\s　]+$"))

@@ -221,4 +221,7 @@ def sql(body: str, *needs: str) -> str:
         add(n)
     if not wanted:
         return body
-    return "WITH " + ",\n".join(f"{k} AS MATERIALIZED ({CTE[k]})" for k in CTE if k in wanted) + "\n" + body
+    start = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+    body = body.removeprefix("WITH RECURSIVE ")
+    tables = ",\n".join(f"{k} AS MATERIALIZED ({CTE[k]})" for k in CTE if k in wanted)
+    return f"{start}{tables}{',' if start != 'WITH ' else ''}\n{body}"

@@ -52,15 +52,28 @@ def tokenize(spark, d):
 
 
 #: Words that the longest-match tokenizer knows, the longest first as alternatives are tried in order.
-LISTED = ("tion", "ment", "und", "die", "que", "the", "ing", "and", "ent", "de", "la", "of", "in", "er")
-
-
-@query("tokenize_lexicon", sql(f"SELECT content_id, len(ws)::BIGINT AS n_tokens, md5(array_to_string(ws, '|')) AS digest FROM (SELECT content_id, list_filter(regexp_extract_all(text, '(?s){'|'.join(LISTED)}|.'), lambda t: NOT regexp_matches(t, '^[\\s\\p{{Z}}]+$')) AS ws FROM content)", "content"))
+#: A lexicon of letters never reaches beyond a run of letters, so SQL walks through distinct runs.
+PIECES = """WITH RECURSIVE runs AS MATERIALIZED (SELECT DISTINCT surface AS run FROM tokens),
+entries AS MATERIALIZED (SELECT written AS w, pronounced AS f FROM lexicon WHERE length(written) > 1),
+matches AS MATERIALIZED (SELECT run, i, max(l) AS l FROM (SELECT run, i, unnest(range(2, length(run) - i + 2)) AS l FROM (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM runs)) JOIN entries ON w = substr(run, i, l) GROUP BY run, i),
+steps(run, i, l) AS (SELECT r.run, 1::BIGINT, coalesce(m.l, 1) FROM runs r LEFT JOIN matches m ON m.run = r.run AND m.i = 1
+  UNION ALL SELECT s.run, s.i + s.l, coalesce(m.l, 1) FROM steps s LEFT JOIN matches m ON m.run = s.run AND m.i = s.i + s.l WHERE s.i + s.l <= length(s.run)),
+pieces AS MATERIALIZED (SELECT run, list(substr(run, i, l) ORDER BY i) AS ws, list(coalesce(f, substr(run, i, l)) ORDER BY i) AS fs FROM steps LEFT JOIN entries ON w = substr(run, i, l) GROUP BY run),
+parts AS (SELECT content_id, unnest(ps) AS run, generate_subscripts(ps, 1) AS k FROM (SELECT content_id, regexp_extract_all(lower(text), '(?s)\\p{L}+|.') AS ps FROM content))
+SELECT content_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(digest, md5('')) AS digest, coalesce(forms, md5('')) AS forms FROM content LEFT JOIN (
+  SELECT content_id, sum(coalesce(len(ws), 1))::BIGINT AS n_tokens, md5(string_agg(coalesce(array_to_string(ws, '|'), run), '|' ORDER BY k)) AS digest, md5(string_agg(coalesce(array_to_string(fs, '|'), run), '|' ORDER BY k)) AS forms
+  FROM parts LEFT JOIN pieces USING (run) WHERE NOT regexp_matches(run, '^[\\s\\x0B\\p{Z}]+$') GROUP BY content_id) USING (content_id)"""
+
+
+@query("tokenize_lexicon", sql(PIECES, "content", "tokens", "lexicon"))
 def tokenize_lexicon(spark, d):
-    rows = K.tokenize(I.content(spark, d), LATIN, "lexicon", list(LISTED))
-    per = rows.groupBy("content_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.array_sort(F.collect_list(F.struct("pos", "surface"))).alias("_t"))
-    per = per.select("content_id", "n_tokens", F.md5(F.array_join(F.transform("_t", lambda t: t["surface"]), "|")).alias("digest"))
-    nothing = F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("digest", F.md5(F.lit(""))).alias("digest")
+    """The whole lexicon over whole texts: tokens and base forms in order, as digests."""
+    words = I.lexicon(spark, d).select(F.col("written").alias("word"), F.col("pronounced").alias("base_form"))
+    rows = K.tokenize(I.content(spark, d), LATIN, "lexicon", words)
+    per = rows.groupBy("content_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.array_sort(F.collect_list(F.struct("pos", "surface", "base_form"))).alias("_t"))
+    joined = lambda c: F.md5(F.array_join(F.transform("_t", lambda t: t[c]), "|"))
+    per = per.select("content_id", "n_tokens", joined("surface").alias("digest"), joined("base_form").alias("forms"))
+    nothing = [F.coalesce(c, other).alias(c) for c, other in (("n_tokens", F.lit(0)), ("digest", F.md5(F.lit(""))), ("forms", F.md5(F.lit(""))))]
     return I.content(spark, d).select("content_id").join(per, "content_id", "left").select("content_id", *nothing)
 
 

@@ -16,7 +16,7 @@ from lexispark.operators import vocab as V
 from lexispark.plans import inputs as I
 from lexispark.plans.inputs import sql
 from lexispark.plans.vocabulary import STEM_SQL
-from lexispark.sources import files, sinks
+from lexispark.sources import files, sinks, stored
 from lexispark.sources.staging import new_path
 from lexispark.streaming import incremental
 
@@ -202,8 +202,14 @@ def dict_accuracy(spark, d):
 
 @query("lookup_snapshot", sql("SELECT word, gloss AS meaning, gloss IS NOT NULL AS found FROM words LEFT JOIN best_surface ON k = word", "words", "best_surface"))
 def lookup_snapshot(spark, d):
-    words = I.words(spark, d).select("word")
-    return sinks.lookup_snapshot(words, L.best_variant(L.dict_lookup_exact(words, I.lexicon(spark, d)), LATIN))
+    """Half of the words are looked up first; then all, of which only the other half is looked up. Answers of an older dictionary don't count."""
+    lexicon, words = I.lexicon(spark, d), I.words(spark, d).select("word")
+    path = new_path(spark, "lookups")
+    look = lambda absent: L.best_variant(L.dict_lookup_exact(absent, lexicon), LATIN).select("word", F.col("gloss").alias("meaning"))
+    stored.LookupCache(spark, path, "older").resolve(words.where("length(word) < 4"), lambda absent: absent.withColumn("meaning", F.lit("old")))
+    cache = stored.LookupCache(spark, path, stored.table_version(lexicon))
+    cache.resolve(words.where("length(word) % 2 = 0"), look)
+    return cache.resolve(words, look)
 
 
 @query("word_dict_ingest", sql("SELECT written AS entry_id, pronounced, 1 AS n_kanji, 2 AS n_senses, 'rare x; plain ' || written AS meanings FROM lexicon", "lexicon"))
@@ -435,15 +441,25 @@ def pos_base_form(spark, d):
     return B.pos_base_form(rows).select("surface", "base_form")
 
 
-@query("vocab_incremental", sql("SELECT content_id, word, score FROM vocab WHERE content_id % 4 <> 0 OR content_id % 8 = 0", "vocab"))
+@query("vocab_incremental", sql("SELECT content_id, word, score, frequency, ord, is_morpheme FROM vocab", "vocab"))
 def vocab_incremental(spark, d):
-    """A quarter of the content is extracted already; half of that has changed since."""
-    c = I.content(spark, d)
-    done = c.where("content_id % 4 = 0").select("content_id", F.when(F.col("content_id") % 8 == 0, "old").otherwise(F.md5("text")).alias("text_hash"))
-    return incremental.vocab_incremental(c, done, I.lexicon(spark, d), I.char_meta(spark), I.morphemes(spark), LATIN).select("content_id", "word", "score")
+    """Content comes in two runs: a quarter is missing in the first, and an eighth has another text then."""
+    c = I.content(spark, d).select("content_id", "text")
+    extract = incremental.extractor(I.lexicon(spark, d), I.char_meta(spark), I.morphemes(spark), LATIN)
+    table = incremental.VocabTable(spark, new_path(spark, "vocab"), dict(c.dtypes)["content_id"], extract)
+    old = F.when(F.col("content_id") % 8 == 0, F.concat(F.lit("an old text and stale words "), F.reverse("text"))).otherwise(F.col("text"))
+    table.update(c.where("content_id % 4 <> 1").select("content_id", old.alias("text")))
+    table.update(c)
+    return table.vocabulary().select("content_id", "word", "score", "frequency", "ord", "is_morpheme")
 
 
 @query("known_words_stream", sql("SELECT DISTINCT user_id, event_type AS word FROM events"))
 def known_words_stream(spark, d):
+    """Events come as files in two portions; the stream ends after the first and starts again from its checkpoint."""
     events = I.table(spark, d, "events").select("user_id", F.col("event_type").alias("word"), "ts")
-    return incremental.known_words_stream(events)
+    source, target, checkpoint = (new_path(spark, name) for name in ("events", "known", "checkpoint"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    for portion in (0, 1):
+        events.where(F.pmod(F.xxhash64("user_id", "ts"), F.lit(2)) == portion).write.mode("append").parquet(source)
+        incremental.collect_known_words(spark, source, schema, target, checkpoint).awaitTermination()
+    return spark.read.parquet(target).select("user_id", "word")

@@ -73,7 +73,3 @@ def story_lines(content: DataFrame, vocab: DataFrame, known: DataFrame) -> DataF
 def report_lines(coverage: DataFrame) -> DataFrame:
     return coverage.where("is_total = 0").select(F.to_json(F.struct("content_id", "total", "with_definition", "accuracy")).alias("value"))
 
-
-def lookup_snapshot(words: DataFrame, best: DataFrame) -> DataFrame:
-    """Resolved lookups with misses: word, found, meaning. Written as a table it is the cache; overwriting clears it."""
-    return words.select("word").join(best.select("word", F.col("gloss").alias("meaning")), "word", "left").withColumn("found", F.col("meaning").isNotNull())

@@ -66,10 +66,11 @@ def test_vocab_stream_skips_what_it_has_seen(spark, tmp_path):
     letters = spark.createDataFrame([("ね", "particle")], "morpheme string, definition string")
     source, schema = str(tmp_path / "in"), "content_id int, text string"
 
+    table = incremental.VocabTable(spark, str(tmp_path / "out"), "int", incremental.extractor(lexicon, meta, letters, JA))
+
     def run():
-        stream = incremental.vocab_stream(spark, source, schema, str(tmp_path / "out"), str(tmp_path / "check"), lexicon, meta, letters, JA)
-        stream.awaitTermination()
-        return spark.read.parquet(str(tmp_path / "out")).select("content_id", "word", "meaning").collect()
+        incremental.vocab_stream(spark, source, schema, table, str(tmp_path / "check")).awaitTermination()
+        return table.vocabulary().select("content_id", "word", "meaning").collect()
 
     spark.createDataFrame([(1, "猫ね")], schema).write.mode("append").parquet(source)
     assert {(r.content_id, r.word, r.meaning) for r in run()} == {(1, "猫ね", "Unknown meaning")}

@@ -4,18 +4,25 @@ A document is the set of its distinct n-word shingles; documents with equal sets
 into segments; how many there are depends on the size band of the larger document of a pair. Two sets that reach the similarity
 differ in at most H elements, so if segments have allocations (1: the segment itself is indexed; 2: the segment and its
 one-deletion neighbourhood) that sum to H + 1 + 2 * s, the segments on which the pair agrees hold at least 1 + 2 * s of it.
-Every document leaves out its weakest segments up to s - 1, so linked documents share several signatures, not just one. The
-allocation of a band is the cheapest by a cost model: index entries against how weak the segments' signatures are.
+The allocation of a band is the cheapest by a cost model: index entries against how weak the segments' signatures are.
+
+Where no segment has allocation 2 there are SEGMENTS * H segments, and a document that can differ from its partners in D elements
+indexes only D + KEPT of them: the first in an order of signatures that is the same for all documents. Linked documents share all
+but D segments at least, and what each leaves out of these comes last in that order, so KEPT of them are indexed by both. The order puts signatures last that many documents have, by
+how often their rarest shingle occurs in a bounded sample of documents: pages made from one template share the frequent ones alone and
+don't meet. Any order gives the same links, so the sample decides only how much work there is. Small sets, whose segments may have
+allocation 2, leave out their weakest segments up to s - 1 and so share several signatures too.
 
 Signatures meet in one shuffle. What follows works on pairs, and a pair is verified before it joins anything:
 1. each node is compared with the one node with which it shares most signatures; links make components;
-2. in signature groups that still hold several components, pairs across components are candidates if sizes allow the
-   similarity, if their parity sketches differ in at most H bits (each element flips one bit, so more bits mean more differing
-   elements) and if they share as many signatures as the pigeonhole promises; of the candidates between two components the one
-   that shares most is compared first, and the others only where that leaves their ends in different components.
-Every link lies in one component after the first step or is a candidate of the second, so none is lost, while a group of
-thousands of near copies needs a comparison for each, not for each two. Texts travel once for each comparison with their hub;
-hubs with many partners and signature groups with many members are split.
+2. in signature groups that still hold several components, pairs across components are candidates if sizes allow the similarity and
+   if their parity sketches differ in at most H bits (each element flips one bit, so more bits mean more differing elements); of the
+   candidates between two components the one whose sketches differ least is compared, and links join components;
+3. in groups that hold several components even then, all candidates are compared that share as many signatures as the pigeonhole
+   promises.
+Every link lies in one component after the first two steps or is a candidate of the third, so none is lost, while a group of
+thousands of near copies needs a comparison for each, not for each two. Texts travel once for each comparison with their hub; hubs
+with many partners and signature groups with many members are split.
 
 Shingles are compared by 64-bit hashes: two of n distinct shingles meet with probability n*n / 2**65.
 
@@ -48,6 +55,10 @@ PARTNERS = 512
 #: Bits of a parity sketch: this times the differences that a link allows, between these. With fewer, elements that differ often
 #: flip the same bit, and sets well below the similarity pass.
 SKETCH_SPREAD = 8
+#: Signatures that linked documents share at least, and segments for each difference that a link allows.
+KEPT, SEGMENTS = 3, 3
+#: Documents and frequent shingles that the order of signatures rests on, at most: what is sent to all tasks is 12 bytes for each shingle.
+SAMPLE, FREQUENT = 10_000, 500_000
 SKETCH_BITS = (64, 8192)
 
 
@@ -118,14 +129,21 @@ def allocation(largest: int, percent: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def band_signatures(value: np.ndarray, doc: np.ndarray, band: np.ndarray, upper: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets under given bands. value, doc: set elements sorted by document; band, upper: per document -> (signature, document)."""
+def segments(largest: int, percent: int) -> tuple[int, int]:
+    """(segments, how many of them have allocation 2) that are indexed for sets of at most this size."""
+    m, twos = allocation(largest, percent)
+    return (m, twos) if twos else (SEGMENTS * most_differences(largest, percent) + KEPT, 0)
+
+
+def band_signatures(value: np.ndarray, doc: np.ndarray, band: np.ndarray, upper: np.ndarray, percent: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets under given bands. value, doc: set elements sorted by document; band, upper: per document; often: how often
+    each element occurs in the sample -> (signature, document)."""
     out_s, out_d = [], []
     for b in np.unique(band[doc]) if len(doc) else ():
         largest = int(upper[np.flatnonzero(band == b)[0]])
         if most_differences(largest, percent) == 0:
             continue  # only equal sets link, and they are one node
-        m, twos = allocation(largest, percent)
+        m, twos = segments(largest, percent)
         here = band[doc] == b
         v, d = value[here], doc[here]
         docs, local = np.unique(d, return_inverse=True)
@@ -136,14 +154,22 @@ def band_signatures(value: np.ndarray, doc: np.ndarray, band: np.ndarray, upper:
         total = np.zeros(cells, np.uint64)
         np.add.at(total, cell, element)
         count = np.bincount(cell, minlength=cells)
-        weight = np.where(np.arange(m) < twos, 2, 1)
-        by_load = np.argsort(count.reshape(-1, m), axis=1, kind="stable")
-        skipped_weight = np.cumsum(weight[by_load], axis=1)
-        skip = np.zeros((len(docs), m), bool)
-        np.put_along_axis(skip, by_load, skipped_weight <= left_out(largest, percent), axis=1)
         name = mix(np.tile(np.arange(m, dtype=np.uint64), len(docs)), int(b) + 5000)
-        keep = ~skip.ravel()
-        out_s.append(mix(total ^ name, 3)[keep])
+        signature = mix(total ^ name, 3)
+        if twos:
+            weight = np.where(np.arange(m) < twos, 2, 1)
+            by_load = np.argsort(count.reshape(-1, m), axis=1, kind="stable")
+            skip = np.zeros((len(docs), m), bool)
+            np.put_along_axis(skip, by_load, np.cumsum(weight[by_load], axis=1) <= left_out(largest, percent), axis=1)
+            keep = ~skip.ravel()
+        else:
+            rarest = np.full(cells, np.iinfo(np.int64).max)
+            np.minimum.at(rarest, cell, often[here])
+            order = np.lexsort((signature, -count, rarest, np.repeat(np.arange(len(docs)), m)))
+            apart = (100 - percent) * (np.bincount(local) + largest) // (100 + percent)
+            keep = np.zeros(cells, bool)
+            keep[order.reshape(-1, m)[np.arange(m) < (apart + KEPT)[:, None]]] = True
+        out_s.append(signature[keep])
         out_d.append(np.repeat(docs, m)[keep])
         near = np.flatnonzero((segment < twos) & keep[cell])
         if len(near):
@@ -179,17 +205,45 @@ def sketches(value: np.ndarray, doc: np.ndarray, size: np.ndarray, percent: int)
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(data)])
 
 
-def sets_udf(n: int, percent: int, kind: pa.DataType):
+def batch_sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of the word hashes of a batch."""
+    lists = batch.column("_h")
+    offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+    return shingle_sets(lists.flatten().to_numpy(zero_copy_only=False), offsets, n)
+
+
+def frequent_shingles(lists: DataFrame, n: int):
+    """Shingles that several documents of a bounded sample have, with how many do: sorted arrays on all executors."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, times = np.unique(batch_sets(batch, n)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(times)], names=["value", "times"])
+
+    spark = lists.sparkSession
+    share = min(1.0, SAMPLE / max(1, lists.count()))
+    chosen = lists.where(F.pmod(F.xxhash64("rid", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("_h")
+    found = chosen.mapInArrow(count, "value bigint, times bigint").groupBy("value").agg(F.sum("times").alias("times")).where("times > 2")
+    rows = found.orderBy(F.col("times").desc(), "value").limit(FREQUENT).toArrow()
+    value, times = (rows[c].to_numpy() for c in ("value", "times"))
+    order = np.argsort(value.astype(np.uint64))
+    return spark.sparkContext.broadcast((value.astype(np.uint64)[order], times[order]))
+
+
+def sets_udf(n: int, percent: int, frequent):
     """Rows of two kinds: for each document its name, set size, node and sketch (doc); and its signatures (doc is null)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
+        shingles, times = frequent.value
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
-                lists = batch.column("_h")
-                offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
-                value, doc = shingle_sets(lists.flatten().to_numpy(zero_copy_only=False), offsets, n)
+                value, doc = batch_sets(batch, n)
+                often = np.zeros(len(value), np.int64)
+                if len(shingles):
+                    place = np.minimum(np.searchsorted(shingles, value), len(shingles) - 1)
+                    often = np.where(shingles[place] == value, times[place], 0)
                 docs = batch.num_rows
                 size = np.bincount(doc, minlength=docs).astype(np.int64)
                 node = node_names(value, doc, docs)
@@ -201,7 +255,7 @@ def sets_udf(n: int, percent: int, kind: pa.DataType):
                 for up in (0, 1):
                     reaches = (edges[own + up] * percent <= 100 * size) & (size > 0)
                     use = (reaches & fresh)[doc]
-                    found.append(band_signatures(value[use], doc[use], own + up, edges[own + 1 + up] - 1, percent))
+                    found.append(band_signatures(value[use], doc[use], own + up, edges[own + 1 + up] - 1, percent, often[use]))
                 sig, place = (np.concatenate(x) for x in zip(*found, strict=True))
                 about = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(size), sketches(value, doc, size, percent)], names=["doc_id", "rid", "size", "sketch"])
                 spread = mix(np.arange(at, at + docs, dtype=np.uint64) ^ node.astype(np.uint64), 5).astype(np.int64)
@@ -240,14 +294,17 @@ def promised(larger: int, differences: int, percent: int) -> int:
     """How many signatures two sets share at least if they differ in no more elements than this."""
     edges = band_edges(percent, larger)
     largest = int(edges[np.searchsorted(edges, larger, side="right")]) - 1
-    m, twos = allocation(largest, percent)
+    m, twos = segments(largest, percent)
+    if not twos:
+        return KEPT
     weight = m + twos - differences - 2 * left_out(largest, percent)
-    return -(-weight // 2) if twos else weight
+    return -(-weight // 2)
 
 
-def pairs_udf(percent: int):
-    """Members of signature groups, group by group -> pairs across components that sizes and sketches allow, with the number of
-    signatures that a link would have to share."""
+def pairs_udf(percent: int, best: bool):
+    """Members of signature groups, group by group -> pairs across components that sizes and sketches allow: u, v, the number of
+    signatures that a link would have to share (need), the bits in which sketches differ, and the components (a, b). With best only the
+    pair of fewest bits for each two components of a group."""
 
     def candidates(rows: pa.RecordBatch) -> pa.RecordBatch | None:
         number = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
@@ -255,7 +312,7 @@ def pairs_udf(percent: int):
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         group = np.cumsum(fresh)
-        at, step, out = np.arange(len(sig)), 1, []
+        at, step, found = np.arange(len(sig)), 1, []
         while True:
             at = at[at + step < len(sig)]
             at = at[group[at] == group[at + step]]
@@ -265,16 +322,24 @@ def pairs_udf(percent: int):
             small, large = np.minimum(size[at], size[to]), np.maximum(size[at], size[to])
             use = (root[at] != root[to]) & (node[at] != node[to]) & (100 * small >= percent * large) & ((own[at] != own[to]) | (i[at] == j[at]))
             x, y, most = at[use], to[use], ((100 - percent) * (small + large) // (100 + percent))[use]
-            near = differing_bits(rows.column("sketch"), x, y) <= most
-            x, y, most, large = x[near], y[near], most[near], large[use][near]
-            if len(x):
-                u, v = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-                out.append((u, v, np.array([promised(int(a), int(b), percent) for a, b in zip(large, most, strict=True)], np.int64)))
+            bits = differing_bits(rows.column("sketch"), x, y)
+            near = bits <= most
+            if near.any():
+                found.append((x[near], y[near], most[near], bits[near]))
             step += 1
-        if not out:
+        if not found:
             return None
-        u, v, need = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(need)], names=["u", "v", "need"])
+        x, y, most, bits = (np.concatenate(f) for f in zip(*found, strict=True))
+        a, b = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        if best:
+            order = np.lexsort((node[y], node[x], bits, b, a, group[x]))
+            keys = np.stack([group[x], a, b])[:, order]
+            order = order[np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))]
+            x, y, most, bits, a, b = (f[order] for f in (x, y, most, bits, a, b))
+        larger = np.maximum(size[x], size[y])
+        need = np.array([promised(int(m), int(d), percent) for m, d in zip(larger, most, strict=True)], np.int64)
+        columns = {"u": np.minimum(node[x], node[y]), "v": np.maximum(node[x], node[y]), "need": need, "bits": bits, "a": a, "b": b}
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -313,7 +378,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         before, edges = edges, written(small.where("u <> v").distinct(), "edges")
         discard(before)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        name = F.xxhash64("u", "v")
+        state = edges.agg(F.count(F.lit(1)), F.bit_xor(name), F.sum(name.cast("decimal(20,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = state
@@ -327,9 +393,7 @@ def verify_udf(n: int, percent: int):
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
-                lists = batch.column("_h")
-                offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
-                value, doc = shingle_sets(lists.flatten().to_numpy(zero_copy_only=False), offsets, n)
+                value, doc = batch_sets(batch, n)
                 cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
                 u, v = [], []
                 for k, (of, node) in enumerate(zip(batch.column("hub").to_pylist(), batch.column("node").to_pylist(), strict=True)):
@@ -366,41 +430,42 @@ def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent:
     return texts.mapInArrow(verify_udf(n, percent), "u bigint, v bigint").distinct()
 
 
-def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """met (sig, node): members of signature groups -> candidate pairs (u, v, shared) across components."""
-    parts = partitions(met.sparkSession)
+def across(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """met (sig, node) -> sig, node, root and the number of members of the signature groups that hold several components."""
     labelled = met.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left")
     group = W.partitionBy("sig")
     labelled = labelled.select("sig", "node", F.coalesce("root", "node").alias("root")).distinct()
     labelled = labelled.select("*", F.min("root").over(group).alias("_low"), F.max("root").over(group).alias("_high"), F.count(F.lit(1)).over(group).alias("_k"))
-    labelled = labelled.where("_low <> _high").withColumn("_blocks", F.ceil(F.col("_k") / BLOCK).cast("int"))
+    return labelled.where("_low <> _high").drop("_low", "_high")
+
+
+def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
+    """met (sig, node): members of signature groups -> candidate pairs (u, v) across components: the best of any two, or all."""
+    parts = partitions(met.sparkSession)
+    labelled = across(met, roots).withColumn("_blocks", F.ceil(F.col("_k") / BLOCK).cast("int"))
     labelled = labelled.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     members = labelled.join(nodes.select(F.col("node").alias("_node"), "size", "sketch"), F.col("node") == F.col("_node"))
     members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     members = members.select("sig", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "node", "root", "size", "sketch")
-    pairs = members.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(pairs_udf(percent), "u bigint, v bigint, need bigint")
-    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_shared"), F.min("need").alias("_need")).where("_shared >= _need").select("u", "v", F.col("_shared").alias("shared"))
+    members = members.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    pairs = members.mapInArrow(pairs_udf(percent, best), "u bigint, v bigint, need bigint, bits bigint, a bigint, b bigint")
+    if best:
+        first = pairs.groupBy("a", "b").agg(F.min(F.struct("bits", "u", "v")).alias("_pair"))
+        return first.select("_pair.u", "_pair.v")
+    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_shared"), F.min("need").alias("_need")).where("_shared >= _need").select("u", "v")
 
 
 def as_edges(roots: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components, with root_u and root_v."""
-    for end in ("u", "v"):
-        known = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-        pairs = pairs.join(known, F.col(end) == F.col("_node"), "left").withColumn(f"root_{end}", F.coalesce("_root", end)).drop("_node", "_root")
-    return pairs.where("root_u <> root_v")
-
-
 def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """docs (doc_id, text) -> doc_id, rid, n_shingles, root: rows of linked documents share a root; null without words."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     lists = docs.select("doc_id", row_name().alias("rid"), word_hashes(ascii_lower(F.col("text"))).alias("_h"))
     schema = f"sig bigint, node bigint, doc struct<doc_id: {kind.simpleString()}, rid: bigint, size: bigint, sketch: binary>"
-    found = lists.mapInArrow(sets_udf(n, percent, kind), schema)
+    found = lists.mapInArrow(sets_udf(n, percent, frequent_shingles(lists, n)), schema)
     # documents travel beside the signatures, which so needn't be made twice; their keys spread them evenly
     group = W.partitionBy("sig", "_is_doc")
     found = found.withColumn("_is_doc", F.col("doc").isNotNull())
@@ -414,14 +479,11 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     stars = stars.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("u")).select("u", F.col("node").alias("v"))
     first = written(linked(docs, nodes, stars, n, percent), "links")
     roots = written(connected_components(first), "roots")
-    pairs = written(candidate_pairs(met.select("sig", "node"), nodes, roots, percent), "pairs")
-    # of the pairs between two components the one with most shared signatures goes first; a link makes the others needless
-    ends = ("least(root_u, root_v)", "greatest(root_u, root_v)")
-    best = apart(pairs, roots).groupBy(*(F.expr(e).alias(k) for e, k in zip(ends, ("a", "b"), strict=True)))
-    best = best.agg(F.max_by(F.struct("u", "v"), F.struct("shared", "u", "v")).alias("_pair")).select("_pair.u", "_pair.v")
-    roots = written(connected_components(as_edges(roots).unionByName(linked(docs, nodes, best, n, percent))), "roots")
-    rest = apart(pairs, roots).select("u", "v")
-    roots = connected_components(as_edges(roots).unionByName(linked(docs, nodes, rest, n, percent)))
+    # a link between two components makes their other candidates needless, so the best are compared before all that are left
+    for best in (True, False):
+        pairs = written(candidate_pairs(met.select("sig", "node"), nodes, roots, percent, best), "pairs")
+        joined = connected_components(as_edges(roots).unionByName(linked(docs, nodes, pairs, n, percent)))
+        roots = written(joined, "roots")
     rows = rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     return rows.select("doc_id", "rid", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("root", "node")).alias("root"))
 

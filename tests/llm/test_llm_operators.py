@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexispark.llm import byte_bpe, fingerprints, jaccard_join, lm_katz, mixing, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from lexispark.llm.shared import ascii_lower, word_hashes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard string, _row string"
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -247,8 +248,32 @@ def test_pigeonhole_loses_no_pair():
                 edges = jaccard_join.band_edges(percent, 2000)
                 low, high = sorted((np.sort(a), b), key=len)
                 band = np.searchsorted(edges, len(high), side="right") - 1
-                sigs = [set(jaccard_join.band_signatures(x, np.zeros(len(x), int), np.array([band]), np.array([edges[band + 1] - 1]), percent)[0]) for x in (low, high)]
-                assert sigs[0] & sigs[1] or len(np.setxor1d(a, b)) == 0
+                upper = int(edges[band + 1]) - 1
+                often = lambda x: (jaccard_join.mix(x, 1) % np.uint64(7)).astype(np.int64) * (r_often > 0)  # noqa: E731, B023
+                for r_often in (0, 1):
+                    sigs = [set(jaccard_join.band_signatures(x, np.zeros(len(x), int), np.array([band]), np.array([upper]), percent, often(x))[0]) for x in (low, high)]
+                    need = jaccard_join.promised(len(high), len(np.setxor1d(a, b)), percent)
+                    assert len(sigs[0] & sigs[1]) >= need or len(np.setxor1d(a, b)) == 0
+
+
+def test_template_pages_are_not_compared_with_each_other(spark):
+    """Pages of one template that are no links: work follows the pages, not their pairs; those that are copies still meet."""
+    rng = random.Random(9)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(260)]
+    page = lambda: " ".join(w if k % 13 else f"f{rng.randrange(10**9)}" for k, w in enumerate(base))
+    for n in (300, 1200):
+        texts = [page() for _ in range(n)]
+        near = texts[7].split()
+        near[100] = "other"
+        df = spark.createDataFrame(list(enumerate([*texts, texts[3], " ".join(near)])), "doc_id bigint, text string").repartition(4)
+        found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, 5, 80).collect()}
+        assert {i: c for i, c in found.items() if i != c} == {n: 3, n + 1: 7}
+    pages = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lists = pages.select("doc_id", jaccard_join.row_name().alias("rid"), word_hashes(ascii_lower(F.col("text"))).alias("_h"))
+    schema = "sig bigint, node bigint, doc struct<doc_id: bigint, rid: bigint, size: bigint, sketch: binary>"
+    signatures = lists.mapInArrow(jaccard_join.sets_udf(5, 80, jaccard_join.frequent_shingles(lists, 5)), schema).where("doc IS NULL")
+    groups = [r.n for r in signatures.groupBy("sig").agg(F.countDistinct("node").alias("n")).collect()]
+    assert sum(n * (n - 1) // 2 for n in groups) < 20 * len(texts)
 
 
 def test_katz(docs, empty):

@@ -39,24 +39,34 @@ def duplicate_groups(content: DataFrame) -> DataFrame:
 
 
 def duplicate_plan(content: DataFrame) -> DataFrame:
-    """Each member of a duplicate group with keep or remove: stories before music before videos, then the lower id.
+    """Each member of a duplicate group with keep or remove and the reason: stories before music before videos, then the lower id.
 
-    The kept id is an aggregate joined back, so a group that holds a third of all rows is never sorted in one task."""
+    A row is named by its type and id, since an id may occur once in each type; of rows equal in both the plan keeps one name. The kept
+    row is an aggregate joined back, so a group that holds a third of all rows is never sorted in one task."""
     priority = F.lit(9)
     for name, p in TYPE_PRIORITY.items():
         priority = F.when(F.col("type") == name, p).otherwise(priority)
-    rows = content.select("content_id", "type", F.md5("text").alias("hash"), F.octet_length("text").alias("bytes"), priority.alias("_p"))
-    kept = rows.groupBy("hash").agg(F.min(F.struct("_p", "content_id")).alias("_k"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    rows = content.where("text IS NOT NULL").select("content_id", "type", F.md5("text").alias("hash"), F.octet_length("text").alias("bytes"), priority.alias("_p"))
+    kept = rows.groupBy("hash").agg(F.min(F.struct("_p", "type", "content_id")).alias("_k"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     plan = rows.join(kept, "hash")
-    keep = plan["content_id"] == F.col("_k.content_id")
-    action = F.when(keep, "keep").otherwise("remove")
-    return plan.select("content_id", "type", "hash", "bytes", "copies", action.alias("action"), F.col("_k.content_id").alias("kept_id"))
+    keep = plan["content_id"].eqNullSafe(F.col("_k.content_id")) & plan["type"].eqNullSafe(F.col("_k.type"))
+    others = F.concat(F.lit("first of "), F.col("copies").cast("string"), F.lit(" copies"))
+    reason = F.when(keep, others).otherwise(F.concat(F.lit("same text as "), F.coalesce("_k.type", F.lit("?")), F.lit("/"), F.col("_k.content_id").cast("string")))
+    return plan.select("content_id", "type", "hash", "bytes", "copies", F.when(keep, "keep").otherwise("remove").alias("action"), F.col("_k.content_id").alias("kept_id"), F.col("_k.type").alias("kept_type"), reason.alias("reason"))
 
 
 def deduplicate(content: DataFrame) -> DataFrame:
     """content without the rows that the plan removes."""
-    removed = duplicate_plan(content).where("action = 'remove'").select("content_id")
-    return content.join(removed, "content_id", "left_anti")
+    removed = duplicate_plan(content).where("action = 'remove'").select(F.col("content_id").alias("_id"), F.col("type").alias("_type")).distinct()
+    return content.join(removed, F.col("content_id").eqNullSafe(F.col("_id")) & F.col("type").eqNullSafe(F.col("_type")), "left_anti")
+
+
+def deduplicate_report(content: DataFrame) -> DataFrame:
+    """What removal comes to, by type and in all (type null): kept, removed and freed_bytes, in one pass over the plan and the content."""
+    removed = duplicate_plan(content).where("action = 'remove'").select("type", F.lit(0).alias("n"), F.lit(1).alias("gone"), F.col("bytes").cast("bigint").alias("bytes"))
+    rows = content.select("type", F.lit(1).alias("n"), F.lit(0).alias("gone"), F.lit(0).cast("bigint").alias("bytes")).unionByName(removed)
+    per = rows.rollup("type").agg(F.sum("n").alias("_n"), F.sum("gone").alias("removed"), F.sum("bytes").alias("freed_bytes"), F.grouping("type").alias("is_total"))
+    return per.select("type", "is_total", (F.col("_n") - F.col("removed")).alias("kept"), "removed", "freed_bytes")
 
 
 def type_counts(content: DataFrame) -> DataFrame:
@@ -67,9 +77,12 @@ def known_union(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [t.select("word") for t in tables]).distinct()
 
 
-def vocab_merge(existing: DataFrame, imported: DataFrame, fields: tuple[str, ...] = ("reading", "meaning", "score")) -> DataFrame:
-    """Per content and word: imported fields win where they aren't null, other rows of both stay."""
-    new = imported.select("content_id", "word", *[F.col(c).alias(f"_{c}") for c in fields])
+def vocab_merge(existing: DataFrame, imported: DataFrame, fields: tuple[str, ...] = ("reading", "meaning", "score"), order: str | None = None) -> DataFrame:
+    """Per content and word: imported fields win where they aren't null, other rows of both stay.
+
+    Several imported rows of one word count as one: by order each field's last value that isn't null, without order its greatest value."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order else F.max(c)
+    new = imported.groupBy("content_id", "word").agg(*[last(c).alias(f"_{c}") for c in fields])
     rows = existing.join(new, ["content_id", "word"], "full_outer")
     return rows.select("content_id", "word", *[F.coalesce(f"_{c}", c).alias(c) for c in fields])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexispark.functions import scoring as S
 from lexispark.functions import stems
 from lexispark.functions.profiles import ScriptProfile
+from lexispark.sources.char_index import CharIndex
 
 
 def dict_lookup_exact(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -116,11 +117,15 @@ def word_chars(words: DataFrame, profile: ScriptProfile) -> DataFrame:
     return words.select("word", F.posexplode(F.regexp_extract_all("word", F.lit(profile.kanji), F.lit(0))).alias("i", "ch"))
 
 
-def char_entries(words: DataFrame, lexicon: DataFrame, profile: ScriptProfile) -> DataFrame:
-    """How many entries each complex character of a word occurs in: an inverted index over the lexicon's writings."""
-    index = word_chars(lexicon.select(F.col("written").alias("word"), "entry_id").groupBy("word").agg(F.min("entry_id").alias("entry_id")).select("word"), profile).select("ch", "word").distinct()
-    counts = index.groupBy("ch").agg(F.count(F.lit(1)).alias("n_entries"))
-    return word_chars(words, profile).select("word", "ch").distinct().join(counts, "ch", "left").select("word", "ch", F.coalesce("n_entries", F.lit(0)).alias("n_entries"))
+def char_postings(lexicon: DataFrame, profile: ScriptProfile) -> DataFrame:
+    """lexicon (entry_id, written) -> ch, entry_id: every entry once for each complex character of its writings."""
+    chars = F.array_distinct(F.regexp_extract_all("written", F.lit(profile.kanji), F.lit(0)))
+    return lexicon.select(F.explode(chars).alias("ch"), "entry_id").distinct()
+
+
+def char_entries(words: DataFrame, index: CharIndex, profile: ScriptProfile) -> DataFrame:
+    """words (word) -> word, ch, entry_id: all entries that share a complex character with it, by the stored index."""
+    return index.entries(word_chars(words, profile).select("word", "ch").distinct())
 
 
 def related_words(words: DataFrame, profile: ScriptProfile, limit: int = 10, hot: int = 64) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
@@ -22,10 +23,19 @@ def filtered_tokens(tokens: DataFrame, profile: ScriptProfile) -> DataFrame:
     return classified(tokens, profile).where("token_class <> 'kept'").groupBy("token_class", "surface").agg(F.count(F.lit(1)).alias("n"))
 
 
-def coverage(rows: DataFrame) -> DataFrame:
-    """rows (content_id, found, weight) -> words with and without definition and accuracy, per content and in all; null for no words."""
+def coverage(rows: DataFrame, content: DataFrame | None = None, of_nothing: int | None = None) -> DataFrame:
+    """rows (content_id, found, weight) -> words with and without definition and accuracy, per content and in all.
+
+    With content (content_id) texts without words have a row too; of_nothing is the accuracy where there are no words."""
     per = rows.rollup("content_id").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("found"), F.col("weight")).otherwise(0)).alias("with_definition"), F.grouping("content_id").alias("is_total"))
-    return per.withColumn("without_definition", F.col("total") - F.col("with_definition")).withColumn("accuracy", T.percent(F.col("with_definition"), F.col("total")))
+    if content is not None:
+        counted = per.select(F.col("content_id").alias("_c"), "total", "with_definition").where("is_total = 0")
+        each = content.select("content_id").join(counted, F.col("content_id").eqNullSafe(F.col("_c")), "left")
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+        each = each.select("content_id", zero("total"), zero("with_definition"), F.lit(0).cast("tinyint").alias("is_total"))
+        per = each.unionByName(per.where("is_total = 1").select("content_id", zero("total"), zero("with_definition"), "is_total"))
+    accuracy = F.coalesce(T.percent(F.col("with_definition"), F.col("total")), F.lit(of_nothing))
+    return per.withColumn("without_definition", F.col("total") - F.col("with_definition")).withColumn("accuracy", accuracy)
 
 
 def looked_up(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -36,19 +46,26 @@ def looked_up(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
     return counts.join(hits.withColumn("_hit", F.lit(True)), ["word", "base_form"], "left").withColumn("found", F.col("_hit").isNotNull()).drop("_hit")
 
 
-def coverage_unique(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    return coverage(looked_up(counts, lexicon).select("content_id", "found", F.lit(1).alias("weight")))
+def coverage_unique(counts: DataFrame, lexicon: DataFrame, content: DataFrame | None = None) -> DataFrame:
+    """Coverage of each text's distinct words; null accuracy without words."""
+    return coverage(looked_up(counts, lexicon).select("content_id", "found", F.lit(1).alias("weight")), content)
 
 
-def coverage_occurrence(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    return coverage(looked_up(counts, lexicon).select("content_id", "found", F.col("frequency").alias("weight")))
+def coverage_occurrence(counts: DataFrame, lexicon: DataFrame, content: DataFrame | None = None) -> DataFrame:
+    """Coverage of all word occurrences; 100 without words."""
+    return coverage(looked_up(counts, lexicon).select("content_id", "found", F.col("frequency").alias("weight")), content, 100)
 
 
 def missing_words(counts: DataFrame, lexicon: DataFrame, profile: ScriptProfile) -> DataFrame:
-    """Missing base forms with their occurrences, type and up to three surfaces in order."""
+    """Missing base forms with their occurrences, type and up to three surfaces in order.
+
+    Each partition passes on three surfaces of a base form at most, so a frequent one is never gathered whole."""
     missing = looked_up(counts, lexicon).where("NOT found").groupBy("base_form", "word").agg(F.sum("frequency").alias("n"), F.min(F.struct("content_id", "ord")).alias("_o"))
-    per = missing.groupBy("base_form").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("_o", "word"))), 1, 3).alias("_s"))
-    return per.select("base_form", "n", F.array_join(F.transform("_s", lambda s: s["word"]), ",").alias("surfaces"), T.missing_word_type(F.col("base_form"), profile).alias("type"))
+    order = W.partitionBy("base_form").orderBy("_o", "word")
+    heads = missing.select("base_form", "word", "_o").withColumn("_n", F.row_number().over(order)).where("_n <= 3")
+    heads = heads.groupBy("base_form").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "word"))), lambda s: s["word"]), ",").alias("surfaces"))
+    per = missing.groupBy("base_form").agg(F.sum("n").alias("n")).join(heads, "base_form")
+    return per.select("base_form", "n", "surfaces", T.missing_word_type(F.col("base_form"), profile).alias("type"))
 
 
 def missing_by_script(counts: DataFrame, lexicon: DataFrame, profile: ScriptProfile) -> DataFrame:

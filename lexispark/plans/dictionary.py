@@ -17,6 +17,7 @@ from lexispark.plans import inputs as I
 from lexispark.plans.inputs import sql
 from lexispark.plans.vocabulary import STEM_SQL
 from lexispark.sources import files, sinks, stored
+from lexispark.sources.char_index import CharIndex
 from lexispark.sources.staging import new_path
 from lexispark.streaming import incremental
 
@@ -173,9 +174,12 @@ def morpheme_join(spark, d):
     return I.vocab(spark, d).where("is_morpheme").select("content_id", "word", "meaning", "score", "jlpt", "joyo")
 
 
-@query("char_entries", sql("SELECT w.word, w.ch, coalesce(n, 0) AS n_entries FROM (SELECT DISTINCT word, ch FROM chars) w LEFT JOIN (SELECT ch, count(*) n FROM (SELECT DISTINCT written, unnest(regexp_extract_all(written, '[à-öø-ÿß]')) ch FROM lexicon) GROUP BY ch) USING (ch)", "chars", "lexicon"))
+@query("char_entries", sql("SELECT c.word, c.ch, e.entry_id FROM (SELECT DISTINCT word, ch FROM chars JOIN known USING (word)) c JOIN (SELECT DISTINCT entry_id, unnest(regexp_extract_all(written, '[à-öø-ÿß]')) AS ch FROM lexicon) e ON e.ch = c.ch", "chars", "known", "lexicon"))
 def char_entries(spark, d):
-    return L.char_entries(I.words(spark, d).select("word"), I.lexicon(spark, d), LATIN)
+    """The learner's words: all entries that share a complex character with them."""
+    index = CharIndex.write(L.char_postings(I.lexicon(spark, d), LATIN), new_path(spark, "characters"))
+    known = I.words(spark, d).select("word").join(I.known_words(spark, d), "word", "left_semi")
+    return L.char_entries(known, index, LATIN)
 
 
 @query("word_detail", sql("SELECT b.k AS word, b.written, b.vs AS variant_score, g.glosses, g.n_glosses FROM best_base b JOIN (SELECT word, string_agg(gloss, '; ' ORDER BY entry_pos, entry_id) AS glosses, count(*)::INT AS n_glosses FROM " + MATCH + " GROUP BY word) g ON g.word = b.k", "best_base"))
@@ -189,7 +193,7 @@ def related_words(spark, d):
     return L.related_words(first, LATIN)
 
 
-@query("dict_compare", sql("SELECT word, a, b, c, (CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN b IS NULL THEN 0 ELSE 1 END + CASE WHEN c IS NULL THEN 0 ELSE 1 END) AS n_found FROM words LEFT JOIN (SELECT written AS word, 'a ' || written AS a FROM lexicon WHERE n % 3 = 0) USING (word) LEFT JOIN (SELECT written AS word, 'b ' || written AS b FROM lexicon WHERE n % 5 < 2) USING (word) LEFT JOIN (SELECT written AS word, gloss AS c FROM lexicon) USING (word)", "words", "lexicon"))
+@query("dict_compare", sql("SELECT word, CASE WHEN n % 3 = 0 THEN 'a ' || written END AS a, CASE WHEN n % 5 < 2 THEN 'b ' || written END AS b, gloss AS c, (coalesce(n % 3 = 0, false)::INT + coalesce(n % 5 < 2, false)::INT + (gloss IS NOT NULL)::INT)::INT AS n_found FROM words LEFT JOIN lexicon ON written = word", "words", "lexicon"))
 def dict_compare(spark, d):
     return L.dict_compare(I.words(spark, d), dict(zip("abc", tiers(spark, d)[1:], strict=True)))
 
@@ -333,12 +337,12 @@ def duplicate_groups(spark, d):
     return C.duplicate_groups(I.content(spark, d))
 
 
-PLAN = "(SELECT *, count(*) OVER (PARTITION BY md5(text)) AS copies, first_value(content_id) OVER (PARTITION BY md5(text) ORDER BY CASE type WHEN 'story' THEN 1 WHEN 'music' THEN 2 ELSE 3 END, content_id) AS kept_id FROM content)"
+PLAN = "(SELECT *, count(*) OVER (PARTITION BY md5(text)) AS copies, first_value(content_id) OVER (PARTITION BY md5(text) ORDER BY CASE type WHEN 'story' THEN 1 WHEN 'music' THEN 2 ELSE 3 END, content_id) AS kept_id, first_value(type) OVER (PARTITION BY md5(text) ORDER BY CASE type WHEN 'story' THEN 1 WHEN 'music' THEN 2 ELSE 3 END, content_id) AS kept_type FROM content)"
 
 
-@query("duplicate_plan", sql(f"SELECT content_id, copies, CASE WHEN content_id = kept_id THEN 'keep' ELSE 'remove' END AS action, kept_id FROM {PLAN} WHERE copies > 1", "content"))
+@query("duplicate_plan", sql(f"SELECT content_id, copies, CASE WHEN content_id = kept_id THEN 'keep' ELSE 'remove' END AS action, kept_id, CASE WHEN content_id = kept_id THEN 'first of ' || copies || ' copies' ELSE 'same text as ' || kept_type || '/' || kept_id END AS reason FROM {PLAN} WHERE copies > 1", "content"))
 def duplicate_plan(spark, d):
-    return C.duplicate_plan(I.content(spark, d)).select("content_id", "copies", "action", "kept_id")
+    return C.duplicate_plan(I.content(spark, d)).select("content_id", "copies", "action", "kept_id", "reason")
 
 
 @query("deduplicate", sql(f"SELECT content_id, type FROM {PLAN} WHERE content_id = kept_id", "content"))
@@ -346,13 +350,24 @@ def deduplicate(spark, d):
     return C.deduplicate(I.content(spark, d)).select("content_id", "type")
 
 
-@query("vocab_merge", sql("SELECT coalesce(a.content_id, b.content_id) AS content_id, coalesce(a.word, b.word) AS word, coalesce(b.reading, a.reading) AS reading, coalesce(b.meaning, a.meaning) AS meaning, coalesce(b.score, a.score) AS score FROM vocab a FULL JOIN (SELECT content_id, CASE WHEN ord % 3 = 0 THEN 'new ' || word ELSE word END AS word, NULL::VARCHAR AS reading, 'imported ' || word AS meaning, score + 1 AS score FROM vocab WHERE ord % 2 = 0) b ON a.content_id = b.content_id AND a.word = b.word", "vocab"))
+@query("deduplicate_report", sql(f"SELECT type, grouping(type)::INT AS is_total, count(*) FILTER (WHERE content_id = kept_id) AS kept, count(*) FILTER (WHERE content_id <> kept_id) AS removed, coalesce(sum(strlen(text)) FILTER (WHERE content_id <> kept_id), 0)::BIGINT AS freed_bytes FROM {PLAN} GROUP BY ROLLUP (type)", "content"))
+def deduplicate_report(spark, d):
+    return C.deduplicate_report(I.content(spark, d)).withColumn("is_total", F.col("is_total").cast("int"))
+
+
+@query("vocab_merge", sql("""SELECT content_id, word, CASE WHEN ord % 8 = 2 THEN 'r' ELSE reading END AS reading, CASE WHEN ord % 2 = 0 THEN 'imported ' || word ELSE meaning END AS meaning, score + (ord % 2 = 0)::INT AS score FROM vocab WHERE ord % 2 = 1 OR ord % 3 > 0
+    UNION ALL SELECT content_id, word, reading, meaning, score FROM vocab WHERE ord % 6 = 0
+    UNION ALL SELECT content_id, 'new ' || word, CASE WHEN ord % 8 = 2 THEN 'r' END, 'imported ' || word, score + 1 FROM vocab WHERE ord % 6 = 0""", "vocab"))
 def vocab_merge(spark, d):
-    """Half of the words are imported again, a third of these under a name that the existing table doesn't have."""
+    """Half of the words are imported, a third of these under a name that the existing table doesn't have; some come twice, of which the
+    later row has no reading."""
     v = I.vocab(spark, d)
     name = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("new "), "word")).otherwise(F.col("word"))
-    new = v.where("ord % 2 = 0").select("content_id", name.alias("word"), F.lit(None).cast("string").alias("reading"), F.concat(F.lit("imported "), "word").alias("meaning"), (F.col("score") + 1).alias("score"))
-    return C.vocab_merge(v, new)
+    row = lambda seq, reading, meaning, score: F.struct(F.lit(seq).alias("seq"), reading.cast("string").alias("reading"), meaning.alias("meaning"), score.cast("int").alias("score"))
+    last = row(1, F.lit(None), F.concat(F.lit("imported "), "word"), F.col("score") + 1)
+    rows = F.when(F.col("ord") % 8 == 2, F.array(row(0, F.lit("r"), F.lit("older"), F.lit(0)), last)).otherwise(F.array(last))
+    imported = v.where("ord % 2 = 0").select("content_id", name.alias("word"), F.explode(rows).alias("_r")).select("content_id", "word", "_r.*")
+    return C.vocab_merge(v, imported, order="seq")
 
 
 @query("vocab_update_word", sql("SELECT content_id, word, CASE WHEN word LIKE 'th%' THEN 'new ' || word ELSE meaning END AS meaning, score FROM vocab", "vocab"))

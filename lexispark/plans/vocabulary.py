@@ -192,22 +192,23 @@ def top_filtered(spark, d):
     return R.top_filtered(R.filter_stats(I.tokens(spark, d), LATIN)).select("content_id", "filtered_percent")
 
 
-COVER = "SELECT content_id, sum(w)::BIGINT AS total, coalesce(sum(w) FILTER (WHERE found), 0)::BIGINT AS with_definition, grouping(content_id) AS is_total, (sum(w) - coalesce(sum(w) FILTER (WHERE found), 0))::BIGINT AS without_definition, floor(coalesce(sum(w) FILTER (WHERE found), 0) * 100.0::DOUBLE / sum(w) + 0.5)::BIGINT AS accuracy FROM (SELECT content_id, found, {w} AS w FROM looked) GROUP BY ROLLUP (content_id)"
+COVER = "SELECT content_id, sum(w)::BIGINT AS total, coalesce(sum(w) FILTER (WHERE found), 0)::BIGINT AS with_definition, grouping(content_id) AS is_total, (sum(w) - coalesce(sum(w) FILTER (WHERE found), 0))::BIGINT AS without_definition, coalesce(floor(coalesce(sum(w) FILTER (WHERE found), 0) * 100.0::DOUBLE / nullif(sum(w), 0) + 0.5)::BIGINT, {of_nothing}) AS accuracy FROM (SELECT content_id, found, {w} AS w FROM content LEFT JOIN looked USING (content_id)) GROUP BY ROLLUP (content_id)"
+UNIQUE = COVER.format(w="(found IS NOT NULL)::INT", of_nothing="NULL")
 
 
-@query("coverage_unique", sql(COVER.format(w="1"), "looked"))
+@query("coverage_unique", sql(UNIQUE, "content", "looked"))
 def coverage_unique(spark, d):
-    return R.coverage_unique(I.counts(spark, d), I.lexicon(spark, d))
+    return R.coverage_unique(I.counts(spark, d), I.lexicon(spark, d), I.content(spark, d))
 
 
-@query("coverage_occurrence", sql(COVER.format(w="frequency"), "looked"))
+@query("coverage_occurrence", sql(COVER.format(w="coalesce(frequency, 0)", of_nothing="100"), "content", "looked"))
 def coverage_occurrence(spark, d):
-    return R.coverage_occurrence(I.counts(spark, d), I.lexicon(spark, d))
+    return R.coverage_occurrence(I.counts(spark, d), I.lexicon(spark, d), I.content(spark, d))
 
 
-@query("worst_coverage", sql(f"SELECT content_id, accuracy FROM ({COVER.format(w='1')}) WHERE is_total = 0 ORDER BY accuracy, content_id LIMIT 5", "looked"))
+@query("worst_coverage", sql(f"SELECT content_id, accuracy FROM ({UNIQUE}) WHERE is_total = 0 ORDER BY accuracy, content_id LIMIT 5", "content", "looked"))
 def worst_coverage(spark, d):
-    return R.worst_coverage(R.coverage_unique(I.counts(spark, d), I.lexicon(spark, d))).select("content_id", "accuracy")
+    return R.worst_coverage(R.coverage_unique(I.counts(spark, d), I.lexicon(spark, d), I.content(spark, d))).select("content_id", "accuracy")
 
 
 MISSING = "SELECT base_form, sum(n)::BIGINT AS n, array_to_string(list(word ORDER BY c, o)[1:3], ',') AS surfaces FROM (SELECT base_form, word, sum(frequency) n, min(content_id) c, arg_min(ord, content_id) o FROM looked WHERE NOT found GROUP BY 1, 2) GROUP BY base_form"

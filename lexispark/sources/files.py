@@ -2,38 +2,67 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lexispark.sources.staging import staged
+from lexispark.sources.stored import exists
 
 META = "id string, title string, type string, description string, level string, author string, artist string, creator string, imageUrl string, mediaUrl string, parentId string, seriesId string, episodeNumber int, variantType string, dateAdded string, tags array<string>, relatedStories array<struct<id:string,type:string,description:string>>, _corrupt_record string"
+META_COLUMNS = re.split(r", (?=\w+ )", META.removesuffix(", _corrupt_record string"))
 WORD_ENTRY = "id string, kanji array<struct<text:string,common:boolean>>, kana array<struct<text:string,common:boolean>>, sense array<struct<gloss:array<struct<lang:string,text:string>>>>"
 VOCAB = "array<struct<word:string,reading:string,meaning:string,score:int>>"
 
 
-def folder(path) -> F.col:
-    """The name of a content's folder; Spark's writers make a folder for each file too and put name= before both."""
-    return F.regexp_extract(path, r"([^/=]+)/(?:[^/=]+=[^/]+/)?[^/]+$", 1)
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside put as many small files into a task as their bytes allow, not a few dozen."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "64k")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def packed_files(spark: SparkSession, root: str, *names: str) -> DataFrame:
+    """Files with exactly these names in the folders below root -> folder, file, value, written once as one table.
+
+    A file lies in its folder by its own name, or, as Spark's writers leave it, in parts in a folder of that name (folder=a/file=b/part-0).
+    Files are listed and read in one job whose tasks take them by bytes; whatever follows reads the table."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{','.join(names)},part-*}}").load(root)
+    place = rf"(?:^|/)(?:[^/=]+=)?([^/=]+)/(?:file=)?({'|'.join(re.escape(n) for n in names)})(?:/part-[^/]*)?$"
+    rows = found.select(F.regexp_extract("path", place, 1).alias("folder"), F.regexp_extract("path", place, 2).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
+    with small_files(spark):
+        return staged(rows.where("file <> ''"), "files")
 
 
-def metadata(spark: SparkSession, root: str) -> DataFrame:
-    rows = spark.read.schema(META).option("multiLine", True).option("mode", "PERMISSIVE").json(f"{root}/*/*metadata.json")
-    rows = rows.withColumn("_folder", folder(F.col("_metadata.file_path")))
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+def parsed_metadata(rows: DataFrame) -> DataFrame:
+    """value (JSON) -> the other columns and those of META; rows that don't parse go."""
+    others = [c for c in rows.columns if c != "value"]
+    doc = F.from_json("value", META, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return rows.select(*others, doc.alias("_d")).where("_d IS NOT NULL AND _d._corrupt_record IS NULL").select(*others, "_d.*").drop("_corrupt_record")
 
 
 def content_scan(spark: SparkSession, root: str, body: str = "content.md") -> DataFrame:
     """Folders with metadata.json and a body: both must exist and the JSON must parse; bodies are trimmed."""
-    texts = spark.read.text(f"{root}/*/*{body}", wholetext=True).select(folder(F.col("_metadata.file_path")).alias("_f"), F.regexp_replace("value", r"^[\s　]+|[\s　]+$", "").alias("text"))
-    return metadata(spark, root).join(texts, F.col("_folder") == F.col("_f")).drop("_f", "_folder")
+    found = packed_files(spark, root, "metadata.json", body)
+    value = lambda name: F.max(F.when(F.col("file") == name, F.col("value")))
+    both = found.groupBy("folder").agg(value("metadata.json").alias("value"), value(body).alias("text")).where("value IS NOT NULL AND text IS NOT NULL")
+    trimmed = F.regexp_replace("text", r"^[\s　]+|[\s　]+$", "").alias("text")
+    return parsed_metadata(both.select("value", trimmed)).select(*[c.split()[0] for c in META_COLUMNS], "text")
 
 
 def series_scan(spark: SparkSession, root: str) -> DataFrame:
     """Folders that need metadata only; a missing root gives an empty table of the same schema."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], T._parse_datatype_string(META)).drop("_corrupt_record")
-    return metadata(spark, root).drop("_folder")
+    if not exists(spark, root):
+        return spark.createDataFrame([], ", ".join(META_COLUMNS))
+    return parsed_metadata(packed_files(spark, root, "metadata.json").select("value"))
 
 
 def names_xml_ingest(spark: SparkSession, path: str) -> DataFrame:

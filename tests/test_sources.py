@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from lexispark.functions.profiles import JA
 from lexispark.sources import files, sinks
 from lexispark.streaming import incremental
@@ -53,11 +55,51 @@ def test_deck(spark):
     assert sorted(r.line for r in sinks.deck_lines(vocab, known).collect()) == ["水\tみず<br>water\tJLPT_N5 freq_ichi1", "雨\tあめ<br>rain\tJLPT_native"]
 
 
+def test_content_scan_takes_exact_names_and_few_columns(spark, tmp_path):
+    for name in ("a", "b"):
+        write(tmp_path / name / "metadata.json", json.dumps({"id": name, "title": name.upper(), "tags": ["x"]}))
+        write(tmp_path / name / "old-metadata.json", json.dumps({"id": "old"}))
+        write(tmp_path / name / "my-content.md", "other")
+        write(tmp_path / name / "content.md", f"text {name}")
+    write(tmp_path / "c" / "transcript.md", "t")
+    write(tmp_path / "c" / "metadata.json", "{}")
+    scanned = files.content_scan(spark, str(tmp_path))
+    assert scanned.count() == 2 and sorted(r.text for r in scanned.select("text").collect()) == ["text a", "text b"]
+    assert files.series_scan(spark, str(tmp_path)).count() == 3
+    assert files.content_scan(spark, str(tmp_path), "transcript.md").count() == 1
+
+
 def test_content_sink(spark, tmp_path):
-    df = spark.createDataFrame([("a", "story", "x"), ("b", "music", "")], "content_id string, type string, text string")
-    got = {r.type: (r.n, r.n_empty) for r in sinks.content_sink(df, str(tmp_path / "out")).collect()}
-    assert got == {"story": (1, 0), "music": (1, 1)}
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    df = spark.createDataFrame([("a", "story", "x", "T", "", ["n5"]), ("b", "music", "", "U", "hard", []), ("c", "video", None, "V", None, None)], "id string, type string, text string, title string, level string, tags array<string>")
+    path = str(tmp_path / "out")
+    for _ in range(2):
+        got = {r.kind: (r.n, r.n_empty) for r in sinks.content_sink(df, path).collect()}
+        assert got == {"stories": (1, 0), "music": (1, 1), "videos": (1, 1)}
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    story = files.content_scan(spark, f"{path}/kind=stories").collect()
+    assert [(r.id, r.title, r.level, r.tags, r.text) for r in story] == [("a", "T", None, ["n5"], "x")]
+    song = files.content_scan(spark, f"{path}/kind=music", "transcript.md").collect()
+    assert [(r.id, r.level, r.tags, r.text) for r in song] == [("b", "hard", None, "")]
+
+
+def test_stories_are_appended_once(spark, tmp_path):
+    c = spark.createDataFrame([(1, "story", "One"), (2, "story", "one!"), (3, "music", "Two"), (4, "story", "Three")], "content_id int, type string, title string")
+    path = str(tmp_path / "stories")
+    assert sinks.content_sink_new_only(c.where("content_id = 2"), path).count() == 1
+    for _ in range(2):
+        assert sorted((r.content_id, r.slug) for r in sinks.content_sink_new_only(c, path).collect()) == [(2, "one"), (4, "three")]
+
+
+def test_ordered_exports(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.concat(F.lit("line "), (F.col("id") * 7 % 1000).cast("string")).alias("value")).repartition(5)
+    for _ in range(2):
+        sinks.ordered_export(rows, ["k"], str(tmp_path / "out"), "head")
+    got = [r.value for r in sinks.read_export(spark, str(tmp_path / "out")).orderBy("n").collect()]
+    assert got == ["head", *(f"line {i}" for i in range(1000))]
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).split("\n")[:-1] == got and (tmp_path / "out" / "_SUCCESS").exists()
+    sinks.ordered_export(rows.limit(0), ["k"], str(tmp_path / "none"))
+    assert sinks.read_export(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_vocab_stream_skips_what_it_has_seen(spark, tmp_path):

@@ -16,10 +16,11 @@ allocation 2, leave out their weakest segments up to s - 1 and so share several
 Signatures meet in one shuffle. What follows works on pairs, and a pair is verified before it joins anything:
 1. each node is compared with the one node with which it shares most signatures; links make components;
 2. in signature groups that still hold several components, pairs across components are candidates if sizes allow the similarity and
-   if their parity sketches differ in at most H bits (each element flips one bit, so more bits mean more differing elements); of the
-   candidates between two components the one whose sketches differ least is compared, and links join components;
-3. in groups that hold several components even then, all candidates are compared that share as many signatures as the pigeonhole
-   promises.
+   if their parity sketches differ in at most H bits (each element flips one bit, so more bits mean more differing elements). Each
+   component is compared with another at the pair whose sketches differ least, and links join them; this is repeated as long as one
+   in eight comparisons finds a link, so that near copies become one component in a few comparisons each;
+3. then the pair of fewest differing bits of any two components left is compared, and at last all candidates between components that
+   share as many signatures as the pigeonhole promises.
 Every link lies in one component after the first two steps or is a candidate of the third, so none is lost, while a group of
 thousands of near copies needs a comparison for each, not for each two. Texts travel once for each comparison with their hub; hubs
 with many partners and signature groups with many members are split.
@@ -301,10 +302,10 @@ def promised(larger: int, differences: int, percent: int) -> int:
     return -(-weight // 2)
 
 
-def pairs_udf(percent: int, best: bool):
+def pairs_udf(percent: int, one_for: str | None):
     """Members of signature groups, group by group -> pairs across components that sizes and sketches allow: u, v, the number of
-    signatures that a link would have to share (need), the bits in which sketches differ, and the components (a, b). With best only the
-    pair of fewest bits for each two components of a group."""
+    signatures that a link would have to share (need), the bits in which sketches differ, and the components (a, b). In each group one
+    pair, of fewest bits, for each component (then a) or for each two components (one_for: component, pair), or all."""
 
     def candidates(rows: pa.RecordBatch) -> pa.RecordBatch | None:
         number = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
@@ -331,9 +332,12 @@ def pairs_udf(percent: int, best: bool):
             return None
         x, y, most, bits = (np.concatenate(f) for f in zip(*found, strict=True))
         a, b = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-        if best:
-            order = np.lexsort((node[y], node[x], bits, b, a, group[x]))
-            keys = np.stack([group[x], a, b])[:, order]
+        if one_for == "component":
+            x, y, most, bits, a, b = (np.concatenate(f) for f in ((x, x), (y, y), (most, most), (bits, bits), (a, b), (b, a)))
+        if one_for:
+            other = b if one_for == "pair" else np.zeros(len(b), np.int64)
+            order = np.lexsort((node[y], node[x], bits, other, a, group[x]))
+            keys = np.stack([group[x], a, other])[:, order]
             order = order[np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))]
             x, y, most, bits, a, b = (f[order] for f in (x, y, most, bits, a, b))
         larger = np.maximum(size[x], size[y])
@@ -439,8 +443,9 @@ def across(met: DataFrame, roots: DataFrame) -> DataFrame:
     return labelled.where("_low <> _high").drop("_low", "_high")
 
 
-def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
-    """met (sig, node): members of signature groups -> candidate pairs (u, v) across components: the best of any two, or all."""
+def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, one_for: str | None) -> DataFrame:
+    """met (sig, node): members of signature groups -> candidate pairs (u, v) across components: the best of each component, of each two
+    components, or all."""
     parts = partitions(met.sparkSession)
     labelled = across(met, roots).withColumn("_blocks", F.ceil(F.col("_k") / BLOCK).cast("int"))
     labelled = labelled.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
@@ -448,10 +453,11 @@ def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent:
     members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     members = members.select("sig", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "node", "root", "size", "sketch")
     members = members.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    pairs = members.mapInArrow(pairs_udf(percent, best), "u bigint, v bigint, need bigint, bits bigint, a bigint, b bigint")
-    if best:
-        first = pairs.groupBy("a", "b").agg(F.min(F.struct("bits", "u", "v")).alias("_pair"))
-        return first.select("_pair.u", "_pair.v")
+    pairs = members.mapInArrow(pairs_udf(percent, one_for), "u bigint, v bigint, need bigint, bits bigint, a bigint, b bigint")
+    if one_for:
+        of = ["a"] if one_for == "component" else ["a", "b"]
+        first = pairs.groupBy(*of).agg(F.min(F.struct("bits", "u", "v")).alias("_pair"))
+        return first.select("_pair.u", "_pair.v").distinct()
     return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_shared"), F.min("need").alias("_need")).where("_shared >= _need").select("u", "v")
 
 
@@ -479,11 +485,17 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     stars = stars.groupBy("node").agg(F.max_by("head", F.struct("c", "head")).alias("u")).select("u", F.col("node").alias("v"))
     first = written(linked(docs, nodes, stars, n, percent), "links")
     roots = written(connected_components(first), "roots")
-    # a link between two components makes their other candidates needless, so the best are compared before all that are left
-    for best in (True, False):
-        pairs = written(candidate_pairs(met.select("sig", "node"), nodes, roots, percent, best), "pairs")
-        joined = connected_components(as_edges(roots).unionByName(linked(docs, nodes, pairs, n, percent)))
-        roots = written(joined, "roots")
+    # a link between two components makes their other candidates needless, so all that are left are compared last
+    met, one_for = met.select("sig", "node"), "component"
+    while True:
+        pairs = written(candidate_pairs(met, nodes, roots, percent, one_for), "pairs")
+        links = written(linked(docs, nodes, pairs, n, percent), "links")
+        if joined := links.count():
+            roots = written(connected_components(as_edges(roots).unionByName(links)), "roots")
+        if one_for is None or not (compared := pairs.count()):
+            break  # all candidates have been compared, or there are none
+        if one_for == "pair" or 8 * joined < compared:
+            one_for = "pair" if one_for == "component" else None
     rows = rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     return rows.select("doc_id", "rid", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("root", "node")).alias("root"))
 

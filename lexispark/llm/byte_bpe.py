@@ -9,7 +9,10 @@ Long words (unspaced scripts, encoded data) have a query of their own that keeps
 in one step, every pair whose rank is the least within as many positions to either side as the longest token has bytes. No
 merge of a lower rank can reach such a pair, since what it would have to form with a neighbour is no token; so the result is
 that of one contraction after another, in a number of steps that doesn't grow with the word. This takes a vocabulary that was
-built by merging: while a token forms, ranks never fall (a test holds this for the vocabulary used).
+built by merging: while a token forms, ranks never fall. The vocabulary is tested for this when it is loaded; with one that lacks it,
+long words are contracted one pair at a time, exactly and slowly.
+
+The driver reads the file once and sends the merge table, whose size is the vocabulary's, to all tasks.
 
 Defined results: null is the empty text, which has no tokens; special strings are ordinary text; texts of any length are encoded whole;
 equal rows get equal results; an empty table gives an empty result; columns other than doc_id and text are ignored.
@@ -19,10 +22,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import os
 import tempfile
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,30 +98,66 @@ GROUP BY w ORDER BY w
 """
 
 
+#: One contraction a step, as in ENCODE, but keeping only the last state of a word.
+ENCODE_ONE = ENCODE.replace("step(w, toks, done) AS", "step(w, toks, done) USING KEY (w) AS").replace(" WHERE done ORDER BY w", " ORDER BY w")
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Tokens with their ids, all pairs of tokens that make one, and whether long words may be contracted in many places at once."""
+
+    tokens: list[bytes]
+    ids: list[int]
+    pairs: np.ndarray
+    made: np.ndarray
+    grows: bool
+
+
+def ranks_never_fall(ranks: dict[bytes, int]) -> bool:
+    """Whether each merge on the way to a token has a rank no lower than the one before."""
+    for token in ranks:
+        parts, last = [token[i : i + 1] for i in range(len(token))], -1
+        while len(parts) > 1:
+            rank, i = min((ranks.get(a + b, math.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == math.inf:
+                break
+            if rank < last:
+                return False
+            last = rank
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return True
+
+
+@lru_cache(maxsize=2)
+def load(path: str) -> Vocabulary:
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pairs, made = array("q"), array("i")
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            left, right = ranks.get(token[:k]), ranks.get(token[k:])
+            if left is not None and right is not None:
+                pairs.append((left << 20) | right)
+                made.append(rank)
+    return Vocabulary(list(ranks), list(ranks.values()), np.array(pairs, np.int64), np.array(made, np.int32), ranks_never_fall(ranks))
+
+
 class Merger:
     """One DuckDB of a task with the merge table, and the words met before.
 
     A pair's rank is the id of the token that it makes, so ids serve as ranks. A word of one token needs no merge."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: Vocabulary):
         import duckdb
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pairs, made = array("q"), array("i")
-        for token, rank in self.ranks.items():
-            for k in range(1, len(token)):
-                left, right = self.ranks.get(token[:k]), self.ranks.get(token[k:])
-                if left is not None and right is not None:
-                    pairs.append((left << 20) | right)
-                    made.append(rank)
+        self.ranks = dict(zip(vocabulary.tokens, vocabulary.ids, strict=True))
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[bytes, tuple[bytes, bytes, int]] = {}
-        self.long = encode_long(max(map(len, self.ranks)))
+        self.long = encode_long(max(map(len, vocabulary.tokens))) if vocabulary.grows else ENCODE_ONE
         spill = os.path.join(tempfile.gettempdir(), f"duckdb-{os.getpid()}")  # made only when a word outgrows the memory limit, gone with the worker
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": spill})
-        self.table("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "new": pa.array(made, pa.int32())}))
-        self.table("vocabulary", pa.table({"tok": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
+        self.table("merges", pa.table({"pair": vocabulary.pairs, "new": vocabulary.made}))
+        self.table("vocabulary", pa.table({"tok": pa.array(vocabulary.ids, pa.int32()), "hex": [t.hex() for t in vocabulary.tokens]}))
 
     def table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
@@ -163,9 +205,11 @@ class Merger:
         return out
 
 
-def encode_udf(path: str, with_ids: bool):
+def encode_udf(vocabulary, with_ids: bool):
+    """vocabulary: a Vocabulary that all executors have."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Merger(path)  # made for each task and gone with it: workers are used again by stages that need their memory
+        own = Merger(vocabulary.value)  # made for each task and gone with it: workers are used again by stages that need their memory
         for whole in batches:
             for a in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(a, ROWS)
@@ -199,13 +243,17 @@ def pieces(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("doc_id", pretokens(F.col("text"), pattern).alias("_p"))
 
 
+def shared_vocabulary(docs: DataFrame, path: str):
+    return docs.sparkSession.sparkContext.broadcast(load(path))
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids, decoded: the token ids and the text decoded from them."""
     kind = dict(docs.dtypes)["doc_id"]
-    return pieces(docs, pattern).mapInArrow(encode_udf(path, True), f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded string")
+    return pieces(docs, pattern).mapInArrow(encode_udf(shared_vocabulary(docs, path), True), f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, digests of what encode_texts gives."""
     kind = dict(docs.dtypes)["doc_id"]
-    return pieces(docs, pattern).mapInArrow(encode_udf(path, False), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return pieces(docs, pattern).mapInArrow(encode_udf(shared_vocabulary(docs, path), False), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

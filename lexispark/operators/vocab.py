@@ -78,8 +78,13 @@ def vocab_of(surfaces: DataFrame, lexicon: DataFrame, char_meta: DataFrame, morp
     """vocab_extract from surface_counts, which are read several times and so better written before (sources.staging).
 
     Words are made distinct before lookups, so those cost by vocabulary and not by text."""
+    scored = score_words(distinct_words(counted_words(surfaces, profile)), lexicon, char_meta, profile)
+    return vocab_with(surfaces, scored, morphemes, profile)
+
+
+def vocab_with(surfaces: DataFrame, scored: DataFrame, morphemes: DataFrame, profile: ScriptProfile) -> DataFrame:
+    """vocab_of from words that are scored already (scored: a row for each distinct word), so surfaces are read for their counts alone."""
     counts = counted_words(surfaces, profile)
-    scored = score_words(distinct_words(counts), lexicon, char_meta, profile)
     rows = counts.join(scored, "word").withColumn("is_morpheme", F.lit(False))
     singles = surfaces.where(F.col("surface").rlike(profile.single)).select("content_id", F.col("surface").alias("word"), "frequency", "ord")
     singles = singles.join(F.broadcast(morphemes.select(F.col("morpheme").alias("word"), F.col("definition").alias("meaning"))), "word")

@@ -12,7 +12,6 @@ from lexispark.operators import base_forms as B
 from lexispark.operators import content as C
 from lexispark.operators import lookup as L
 from lexispark.operators import reports as R
-from lexispark.operators import vocab as V
 from lexispark.plans import inputs as I
 from lexispark.plans.inputs import sql
 from lexispark.plans.vocabulary import STEM_SQL
@@ -156,14 +155,14 @@ OVERRIDE = "SELECT word, coalesce(CASE WHEN regexp_matches(word, '^[a-z]+$') OR
 
 @query("kana_override", sql(OVERRIDE, "words", "lexicon", "scored"))
 def kana_override(spark, d):
-    scored = V.score_words(I.words(spark, d), I.lexicon(spark, d), I.char_meta(spark), LATIN)
+    scored = I.scored(spark, d)
     rows = scored.select("word", F.when((F.col("meaning") != "Unknown meaning") & (F.length("word") % 2 == 0), F.col("meaning")).alias("meaning"))
     return L.kana_override(rows, dict_chain(spark, d), LATIN)
 
 
 @query("kana_default", sql("SELECT word, CASE WHEN meaning = 'Unknown meaning' AND regexp_matches(word, '^[a-z]+$') THEN 'Kana particle / expression' ELSE meaning END AS meaning FROM scored", "scored"))
 def kana_default(spark, d):
-    scored = V.score_words(I.words(spark, d), I.lexicon(spark, d), I.char_meta(spark), LATIN)
+    scored = I.scored(spark, d)
     nothing = F.nullif("meaning", F.lit("Unknown meaning"))
     rows = scored.select("word", nothing.alias("meaning"))
     return L.kana_override(rows, rows.where("false"), LATIN)
@@ -200,7 +199,7 @@ def dict_compare(spark, d):
 
 @query("dict_accuracy", sql("SELECT e.word, e.expected, s.meaning, coalesce(contains(lower(s.meaning), x) OR contains(x, lower(s.meaning)), false) AS correct FROM (SELECT word, base_form || ' (note)/x' AS expected, base_form AS x FROM words) e LEFT JOIN scored s USING (word)", "scored"))
 def dict_accuracy(spark, d):
-    scored = V.score_words(I.words(spark, d), I.lexicon(spark, d), I.char_meta(spark), LATIN).select("word", "meaning")
+    scored = I.scored(spark, d).select("word", "meaning")
     return L.dict_accuracy(scored, I.words(spark, d).select("word", F.concat("base_form", F.lit(" (note)/x")).alias("expected")))
 
 

@@ -6,6 +6,9 @@ lexicon is made from word counts over all documents, known words are those of us
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,29 +19,55 @@ from lexispark.operators import content as C
 from lexispark.operators import tokens as K
 from lexispark.operators import vocab as V
 from lexispark.sources.staging import staged as written
+from lexispark.sources.stored import remove
 
-#: Tables that the running query has written: its branches read them, the next query makes its own.
-_made: dict[tuple[str, str], DataFrame] = {}
+#: Tables that the running query has written, by name and folder of the inputs. Each query, in each thread, has its own.
+_made: ContextVar[dict[tuple[str, str], DataFrame] | None] = ContextVar("made", default=None)
+_shared: ContextVar[bool] = ContextVar("shared", default=False)
 
 
 def fresh(query):
-    """query with no table of an earlier one."""
+    """query with tables of its own, which its branches share; inside shared_inputs with those made there before."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _made.clear()
-        return query(spark, sf_dir)
+        if _shared.get():
+            return query(spark, sf_dir)
+        before = _made.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _made.reset(before)
 
     return run
 
 
+@contextmanager
+def shared_inputs() -> Iterator[None]:
+    """Queries inside read the same derived tables, whose files are removed at its end."""
+    made, shared = _made.set({}), _shared.set(True)
+    try:
+        yield
+    finally:
+        for table in _made.get().values():
+            for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+                remove(table.sparkSession, folder)
+        _made.reset(made)
+        _shared.reset(shared)
+
+
 def once(name: str):
+    """A derived table that is written when a query first asks for it."""
+
     def wrap(make):
         @functools.wraps(make)
         def table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-            if (name, sf_dir) not in _made:
-                _made[(name, sf_dir)] = written(make(spark, sf_dir), name)
-            return _made[(name, sf_dir)]
+            made = _made.get()
+            if made is None:
+                return make(spark, sf_dir)
+            if (name, sf_dir) not in made:
+                made[(name, sf_dir)] = written(make(spark, sf_dir), name)
+            return made[(name, sf_dir)]
 
         return table_of
 
@@ -115,8 +144,14 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.distinct_words(counts(spark, sf_dir))
 
 
+@once("scored")
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distinct words with what their lookups and scores come to."""
+    return V.score_words(words(spark, sf_dir), lexicon(spark, sf_dir), char_meta(spark), LATIN)
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.vocab_of(surfaces(spark, sf_dir), lexicon(spark, sf_dir), char_meta(spark), morphemes(spark), LATIN)
+    return V.vocab_with(surfaces(spark, sf_dir), scored(spark, sf_dir), morphemes(spark), LATIN)
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lexispark.plans.inputs import shared_inputs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents conversations events".split()
-NAMES = "tokenize compound_merge token_offsets filter_stats coverage_unique missing_words best_variant dict_chain word_score content_status srs_adjust rank_content duplicate_plan vocab_merge related_stories deck_export known_words_stream series_scan names_xml_ingest content_sink pos_base_form tokenize_lexicon related_words stem_lookup dict_compare line_tokens slugify critical_word_check backup_read report_write word_dict_ingest".split()
+NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
@@ -23,6 +24,13 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def inputs(spark):
+    """Derived tables are made once for all queries."""
+    with shared_inputs():
+        yield
+
+
 def plain(x):
     return round(float(x), 6) if isinstance(x, float) or type(x).__name__ == "Decimal" else x
 

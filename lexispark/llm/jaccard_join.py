@@ -19,8 +19,7 @@ Signatures meet in one shuffle. What follows works on pairs, and a pair is verif
    if their parity sketches differ in at most H bits (each element flips one bit, so more bits mean more differing elements). Each
    component is compared with another at the pair whose sketches differ least, and links join them; this is repeated as long as one
    in eight comparisons finds a link, so that near copies become one component in a few comparisons each;
-3. then the pair of fewest differing bits of any two components left is compared, and at last all candidates between components that
-   share as many signatures as the pigeonhole promises.
+3. all candidates between components left are compared that share as many signatures as the pigeonhole promises.
 Every link lies in one component after the first two steps or is a candidate of the third, so none is lost, while a group of
 thousands of near copies needs a comparison for each, not for each two. Texts travel once for each comparison with their hub; hubs
 with many partners and signature groups with many members are split.
@@ -53,6 +52,8 @@ WEAK = 3.0
 #: Members of a signature group, and partners of a hub, that are handled together; larger groups are split.
 BLOCK = 2048
 PARTNERS = 512
+#: Lists of a node's candidates that are counted apart.
+SLOTS = 4
 #: Bits of a parity sketch: this times the differences that a link allows, between these. With fewer, elements that differ often
 #: flip the same bit, and sets well below the similarity pass.
 SKETCH_SPREAD = 8
@@ -302,10 +303,10 @@ def promised(larger: int, differences: int, percent: int) -> int:
     return -(-weight // 2)
 
 
-def pairs_udf(percent: int, one_for: str | None):
-    """Members of signature groups, group by group -> pairs across components that sizes and sketches allow: u, v, the number of
-    signatures that a link would have to share (need), the bits in which sketches differ, and the components (a, b). In each group one
-    pair, of fewest bits, for each component (then a) or for each two components (one_for: component, pair), or all."""
+def pairs_udf(percent: int, best: bool):
+    """Members of signature groups, group by group -> pairs across components that sizes and sketches allow, as lists: u, slot (of v), v and
+    need (how many signatures a link would have to share), bits (in which sketches differ) and component. With best one pair, of
+    fewest bits, for each component of a group."""
 
     def candidates(rows: pa.RecordBatch) -> pa.RecordBatch | None:
         number = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
@@ -331,19 +332,25 @@ def pairs_udf(percent: int, one_for: str | None):
         if not found:
             return None
         x, y, most, bits = (np.concatenate(f) for f in zip(*found, strict=True))
-        a, b = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-        if one_for == "component":
-            x, y, most, bits, a, b = (np.concatenate(f) for f in ((x, x), (y, y), (most, most), (bits, bits), (a, b), (b, a)))
-        if one_for:
-            other = b if one_for == "pair" else np.zeros(len(b), np.int64)
-            order = np.lexsort((node[y], node[x], bits, other, a, group[x]))
-            keys = np.stack([group[x], a, other])[:, order]
-            order = order[np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))]
-            x, y, most, bits, a, b = (f[order] for f in (x, y, most, bits, a, b))
-        larger = np.maximum(size[x], size[y])
-        need = np.array([promised(int(m), int(d), percent) for m, d in zip(larger, most, strict=True)], np.int64)
-        columns = {"u": np.minimum(node[x], node[y]), "v": np.maximum(node[x], node[y]), "need": need, "bits": bits, "a": a, "b": b}
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+        of = group[x]
+        component = np.zeros(len(x), np.int64)
+        if best:
+            x, y, most, bits, of = (np.concatenate((f, f)) for f in (x, y, most, bits, of))
+            half = len(x) // 2
+            component = np.concatenate((root[x[:half]], root[y[half:]]))
+            order = np.lexsort((node[y], node[x], bits, component, of))
+            order = order[np.append(True, (np.diff(of[order]) != 0) | (np.diff(component[order]) != 0))]
+            x, y, most, bits, of, component = (f[order] for f in (x, y, most, bits, of, component))
+        u, v = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        need = np.array([promised(int(m), int(d), percent) for m, d in zip(np.maximum(size[x], size[y]), most, strict=True)], np.int64)
+        slot = (mix(v.astype(np.uint64), 17) % np.uint64(SLOTS)).astype(np.int64)
+        order = np.lexsort((slot, u, component, of))
+        u, v, need, slot, bits, of, component = (f[order] for f in (u, v, need, slot, bits, of, component))
+        new = np.append(True, (np.diff(of) != 0) | (np.diff(component) != 0) | (np.diff(u) != 0) | (np.diff(slot) != 0))
+        ends = pa.array(np.append(np.flatnonzero(new), len(u)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(f)) for f in (v, need)]
+        columns = [pa.array(u[new]), pa.array(slot[new]), *lists, pa.array(bits[new]), pa.array(component[new])]
+        return pa.RecordBatch.from_arrays(columns, names=["u", "slot", "v", "need", "bits", "component"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -368,6 +375,19 @@ def pairs_udf(percent: int, one_for: str | None):
     return pairs
 
 
+def often_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of a node's candidates, one for each signature group -> the pairs that occur as often as a link would."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        v, need = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("v", "need"))
+        order = np.lexsort((need, v, row))
+        row, v, need = row[order], v[order], need[order]
+        starts = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(v) != 0)))[: len(row)]
+        fine = starts[np.diff(np.append(starts, len(row))) >= need[starts]] if len(row) else starts
+        yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(row[fine])), pa.array(v[fine])], names=["u", "v"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (u, v) -> (node, root): alternating large-star and small-star rounds until nothing changes."""
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -443,9 +463,8 @@ def across(met: DataFrame, roots: DataFrame) -> DataFrame:
     return labelled.where("_low <> _high").drop("_low", "_high")
 
 
-def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, one_for: str | None) -> DataFrame:
-    """met (sig, node): members of signature groups -> candidate pairs (u, v) across components: the best of each component, of each two
-    components, or all."""
+def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
+    """met (sig, node): members of signature groups -> candidate pairs (u, v) across components: the best of each component, or all."""
     parts = partitions(met.sparkSession)
     labelled = across(met, roots).withColumn("_blocks", F.ceil(F.col("_k") / BLOCK).cast("int"))
     labelled = labelled.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
@@ -453,12 +472,12 @@ def candidate_pairs(met: DataFrame, nodes: DataFrame, roots: DataFrame, percent:
     members = members.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     members = members.select("sig", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "node", "root", "size", "sketch")
     members = members.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    pairs = members.mapInArrow(pairs_udf(percent, one_for), "u bigint, v bigint, need bigint, bits bigint, a bigint, b bigint")
-    if one_for:
-        of = ["a"] if one_for == "component" else ["a", "b"]
-        first = pairs.groupBy(*of).agg(F.min(F.struct("bits", "u", "v")).alias("_pair"))
+    pairs = members.mapInArrow(pairs_udf(percent, best), "u bigint, slot bigint, v array<bigint>, need array<bigint>, bits bigint, component bigint")
+    if best:
+        first = pairs.groupBy("component").agg(F.min(F.struct("bits", "u", F.col("v")[0].alias("v"))).alias("_pair"))
         return first.select("_pair.u", "_pair.v").distinct()
-    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("_shared"), F.min("need").alias("_need")).where("_shared >= _need").select("u", "v")
+    gathered = pairs.groupBy("u", "slot").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("v", "need")))
+    return gathered.select("u", "v", "need").mapInArrow(often_enough, "u bigint, v bigint")
 
 
 def as_edges(roots: DataFrame) -> DataFrame:
@@ -486,16 +505,15 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     first = written(linked(docs, nodes, stars, n, percent), "links")
     roots = written(connected_components(first), "roots")
     # a link between two components makes their other candidates needless, so all that are left are compared last
-    met, one_for = met.select("sig", "node"), "component"
+    met, best = met.select("sig", "node"), True
     while True:
-        pairs = written(candidate_pairs(met, nodes, roots, percent, one_for), "pairs")
+        pairs = written(candidate_pairs(met, nodes, roots, percent, best), "pairs")
         links = written(linked(docs, nodes, pairs, n, percent), "links")
         if joined := links.count():
             roots = written(connected_components(as_edges(roots).unionByName(links)), "roots")
-        if one_for is None or not (compared := pairs.count()):
+        if not best or not (compared := pairs.count()):
             break  # all candidates have been compared, or there are none
-        if one_for == "pair" or 8 * joined < compared:
-            one_for = "pair" if one_for == "component" else None
+        best = 8 * joined >= compared
     rows = rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     return rows.select("doc_id", "rid", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("root", "node")).alias("root"))
 

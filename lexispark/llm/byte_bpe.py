@@ -41,9 +41,10 @@ from lexispark.llm.pretokens import pretokens
 #: Words of one recursive query.
 WORDS = 20_000
 #: Documents of one Arrow batch that are handled together.
-ROWS = 500
-#: Words that a Python worker remembers between batches; others are encoded anew.
-REMEMBERED = 100_000
+ROWS = 1_000
+#: Words that a task remembers between batches, in two generations of this size (some 200 bytes a word); words not met for long are
+#: encoded anew.
+REMEMBERED = 200_000
 SHIFT = 32
 
 ENCODE = f"""
@@ -147,12 +148,15 @@ class Merger:
 
     A pair's rank is the id of the token that it makes, so ids serve as ranks. A word of one token needs no merge."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, remembered: int):
         import duckdb
 
+        self.bound = remembered
+
         self.ranks = dict(zip(vocabulary.tokens, vocabulary.ids, strict=True))
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[bytes, tuple[bytes, bytes, int]] = {}
+        self.before: dict[bytes, tuple[bytes, bytes, int]] = {}
         self.long = encode_long(max(map(len, vocabulary.tokens))) if vocabulary.grows else ENCODE_ONE
         spill = os.path.join(tempfile.gettempdir(), f"duckdb-{os.getpid()}")  # made only when a word outgrows the memory limit, gone with the worker
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": spill})
@@ -182,7 +186,7 @@ class Merger:
 
     def look_up(self, words: list[bytes]) -> list[tuple[bytes, bytes, int]]:
         """(ids joined by spaces, decoded bytes, number of ids) of each distinct word."""
-        out = [self.known.get(w) for w in words]
+        out = [self.remembered(w) for w in words]
         missing = [i for i, x in enumerate(out) if x is None]
         short = [i for i in missing if len(words[i]) <= LONG]
         parts = [short[a : a + WORDS] for a in range(0, len(short), WORDS)]
@@ -199,17 +203,28 @@ class Merger:
             joined = pc.binary_join(lists.cast(pa.list_(pa.string())), " ").cast(pa.binary()).to_pylist()
             sizes = pc.list_value_length(lists).to_pylist()
             for i, *row in zip(part, joined, decoded, sizes, strict=True):
-                out[i] = tuple(row)
-                if len(self.known) < REMEMBERED:
-                    self.known[words[i]] = out[i]
+                ids, text, n = row
+                out[i] = self.remember(words[i], (ids, words[i] if text == words[i] else text, n))
         return out
 
+    def remembered(self, word: bytes) -> tuple[bytes, bytes, int] | None:
+        found = self.known.get(word)
+        if found is None and (found := self.before.pop(word, None)) is not None:
+            self.remember(word, found)
+        return found
+
+    def remember(self, word: bytes, row: tuple[bytes, bytes, int]) -> tuple[bytes, bytes, int]:
+        if len(self.known) >= self.bound:
+            self.before, self.known = self.known, {}
+        self.known[word] = row
+        return row
+
 
-def encode_udf(vocabulary, with_ids: bool):
+def encode_udf(vocabulary, with_ids: bool, remembered: int):
     """vocabulary: a Vocabulary that all executors have."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Merger(vocabulary.value)  # made for each task and gone with it: workers are used again by stages that need their memory
+        own = Merger(vocabulary.value, remembered)  # made for each task and gone with it: workers are used again by stages that need their memory
         for whole in batches:
             for a in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(a, ROWS)
@@ -234,6 +249,7 @@ def encode_udf(vocabulary, with_ids: bool):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         own.db.close()
         own.known.clear()
+        own.before.clear()
         pa.default_memory_pool().release_unused()
 
     return encode
@@ -247,13 +263,13 @@ def shared_vocabulary(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(load(path))
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids, decoded: the token ids and the text decoded from them."""
     kind = dict(docs.dtypes)["doc_id"]
-    return pieces(docs, pattern).mapInArrow(encode_udf(shared_vocabulary(docs, path), True), f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded string")
+    return pieces(docs, pattern).mapInArrow(encode_udf(shared_vocabulary(docs, path), True, remembered), f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, digests of what encode_texts gives."""
     kind = dict(docs.dtypes)["doc_id"]
-    return pieces(docs, pattern).mapInArrow(encode_udf(shared_vocabulary(docs, path), False), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return pieces(docs, pattern).mapInArrow(encode_udf(shared_vocabulary(docs, path), False, remembered), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -15,7 +15,7 @@ from lexispark.operators import reports as R
 from lexispark.plans import inputs as I
 from lexispark.plans.inputs import sql
 from lexispark.plans.vocabulary import STEM_SQL
-from lexispark.sources import files, sinks, stored
+from lexispark.sources import backup, files, sinks, stored
 from lexispark.sources.char_index import CharIndex
 from lexispark.sources.staging import new_path
 from lexispark.streaming import incremental
@@ -240,6 +240,18 @@ def backup_read(spark, d):
     return files.backup_read(through_file(sinks.backup_lines(I.vocab(spark, d)), "backup"))[1]
 
 
+@query("backup_document", sql("SELECT content_id::VARCHAR AS content_id, word, reading, meaning, score FROM vocab", "vocab"))
+def backup_document(spark, d):
+    """Vocabulary written as 16 documents of all their contents, each read back in parallel."""
+    per = I.vocab(spark, d).groupBy("content_id").agg(F.sort_array(F.collect_list(F.struct("word", "reading", "meaning", "score"))).alias("_w"))
+    line = F.concat(F.lit('"'), F.col("content_id").cast("string"), F.lit('":'), F.to_json("_w"), F.lit(","))
+    rows = per.select(F.pmod(F.xxhash64("content_id"), F.lit(16)).alias("doc"), F.lit(1).alias("ord"), line.alias("value"))
+    ends = spark.range(16).select(F.col("id").alias("doc"), F.explode(F.expr("map(0, '{\"contentVocab\":{', 2, '\"last\":[]}}')")).alias("ord", "value"))
+    path = new_path(spark, "documents")
+    rows.unionByName(ends).repartition("doc").sortWithinPartitions("doc", "ord").write.partitionBy("doc").text(path)
+    return backup.backup_document(spark, path)[1]
+
+
 @query("backup_write", sql("SELECT word FROM known", "known"))
 def backup_write(spark, d):
     """Known words written as JSON lines, read back."""

@@ -248,7 +248,7 @@ def backup_document(spark, d):
     rows = per.select(F.pmod(F.xxhash64("content_id"), F.lit(16)).alias("doc"), F.lit(1).alias("ord"), line.alias("value"))
     ends = spark.range(16).select(F.col("id").alias("doc"), F.explode(F.expr("map(0, '{\"contentVocab\":{', 2, '\"last\":[]}}')")).alias("ord", "value"))
     path = new_path(spark, "documents")
-    rows.unionByName(ends).repartition("doc").sortWithinPartitions("doc", "ord").write.partitionBy("doc").text(path)
+    rows.unionByName(ends).repartition("doc").sortWithinPartitions("doc", "ord").select("doc", "value").write.partitionBy("doc").text(path)
     return backup.backup_document(spark, path)[1]
 
 

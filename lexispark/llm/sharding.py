@@ -94,9 +94,13 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = BITS, carry: Co
     return placed.drop("_carry") if carry is None else placed
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = BITS) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = BITS) -> str:
     """Writes the documents, each row once, to one folder for each shard, files in slot order: rows travel with their keys, so
-    nothing is joined."""
+    nothing is joined. Returns the folders' key: _shard, with more underscores where a column has that name."""
+    key = "_shard"
+    while key in {c.lower() for c in docs.columns}:
+        key = f"_{key}"
     whole = F.struct(*[F.col(c) for c in docs.columns])
-    placed = hilbert_shards(docs, shards, bits, whole).select("_carry.*", F.col("shard").alias("_shard"))
-    placed.write.partitionBy("_shard").parquet(path)
+    placed = hilbert_shards(docs, shards, bits, whole).select("_carry.*", F.col("shard").alias(key))
+    placed.write.partitionBy(key).parquet(path)
+    return key

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import ascii_lower, discard, written
+from lexispark.llm.shared import ascii_lower, discard, partitions, written
 
 # The letters of a word, and those whose lower case is left alone.
 LETTERS, KEPT_CAPITALS = r"A-Za-zÀ-ÿ", r"[À-Þ]"
@@ -75,7 +75,9 @@ def near_pairs(words: DataFrame, shortest: int = 6) -> DataFrame:
     """words (word, n) -> word, n, other, other_n: each word with every word exactly one edit away."""
     symbols = symbols_for(words, shortest)
     r = reduced(F.col("word"), symbols)
-    asking = words.select("word", "n", F.explode(neighbourhood(r, symbols)).alias("_key"))
+    # the vocabulary is small beside its neighbourhoods, so it is dealt out before they are made
+    dealt = words.select("word", "n").repartition(partitions(words.sparkSession), "word")
+    asking = dealt.select("word", "n", F.explode(neighbourhood(r, symbols)).alias("_key"))
     there = words.select(F.xxhash64(r).alias("_of"), F.col("word").alias("other"), F.col("n").alias("other_n"))
     met = asking.join(there, F.col("_key") == F.col("_of"))
     return met.where((F.abs(F.length("word") - F.length("other")) <= 1) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")

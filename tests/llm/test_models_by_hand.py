@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexispark.llm import lm_katz, quality_classifier, quality_rules
+from lexispark.llm import lm_katz, quality_classifier, quality_rules, sharding
 
 GOOD = "the river runs past quiet hills and farms where people tell long stories about rain and harvest every year number {}"
 BAD = "$$$ BUY!!! NOW 1234 *** 5678 CHEAP CHEAP CHEAP ### 99 | {} | !!! $$$ WIN WIN WIN"
@@ -138,3 +138,11 @@ def test_discounts_by_hand():
     # what discounts take off all counts up to k is what Good-Turing gives to words never seen
     assert math.isclose(sum((1 - got[r]) * r * n[r - 1] for r in range(1, 6)), n[0], rel_tol=1e-9)
     assert Counter(x < 1 for x in got[1:]) == {True: 5}
+
+
+def test_shards_of_documents_that_have_a_shard_column(spark, tmp_path):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(9).cast("bigint").alias("n_chars"), (F.col("id") * 2).alias("_shard"))
+    key = sharding.write_shards(docs, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert key == "__shard" and {r["doc_id"]: r["_shard"] for r in back.collect()} == {i: 2 * i for i in range(40)}
+    assert [r.n for r in back.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()] == [5] * 8

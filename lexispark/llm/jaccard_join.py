@@ -8,9 +8,9 @@ The allocation of a band is the cheapest by a cost model: index entries against
 
 Where no segment has allocation 2 there are SEGMENTS * H segments, and a document that can differ from its partners in D elements
 indexes only D + KEPT of them: the first in an order of signatures that is the same for all documents. Linked documents share all
-but D segments at least, and what each leaves out of these comes last in that order, so KEPT of them are indexed by both. The order puts signatures last that many documents have, by
-how often their rarest shingle occurs in a bounded sample of documents: pages made from one template share the frequent ones alone and
-don't meet. Any order gives the same links, so the sample decides only how much work there is. Small sets, whose segments may have
+but D segments at least, and what each leaves out of these comes last in that order, so KEPT of them are indexed by both. The order
+puts signatures last that many documents have, by how often their rarest shingle occurs in a bounded sample of documents: pages made
+from one template share the frequent ones alone and don't meet. Any order gives the same links, so the sample decides only how much work there is. Small sets, whose segments may have
 allocation 2, leave out their weakest segments up to s - 1 and so share several signatures too.
 
 Signatures meet in one shuffle. What follows works on pairs, and a pair is verified before it joins anything:
@@ -59,7 +59,7 @@ SLOTS = 4
 SKETCH_SPREAD = 8
 #: Signatures that linked documents share at least, and segments for each difference that a link allows.
 KEPT, SEGMENTS = 3, 3
-#: Documents and frequent shingles that the order of signatures rests on, at most: what is sent to all tasks is 12 bytes for each shingle.
+#: Documents and frequent shingles that the order of signatures rests on, at most: what is sent to all tasks is 16 bytes for each shingle.
 SAMPLE, FREQUENT = 10_000, 500_000
 SKETCH_BITS = (64, 8192)
 

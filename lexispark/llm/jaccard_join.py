@@ -52,6 +52,8 @@ WEAK = 3.0
 #: Members of a signature group, and partners of a hub, that are handled together; larger groups are split.
 BLOCK = 2048
 PARTNERS = 512
+#: Documents whose signatures are made together.
+ROWS = 500
 #: Lists of a node's candidates that are counted apart.
 SLOTS = 4
 #: Bits of a parity sketch: this times the differences that a link allows, between these. With fewer, elements that differ often
@@ -239,8 +241,8 @@ def sets_udf(n: int, percent: int, frequent):
         at = 0
         shingles, times = frequent.value
         for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                batch = whole.slice(a, 1000)
+            for a in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(a, ROWS)
                 value, doc = batch_sets(batch, n)
                 often = np.zeros(len(value), np.int64)
                 if len(shingles):
@@ -267,6 +269,7 @@ def sets_udf(n: int, percent: int, frequent):
                     part = slice(b, b + 50_000)
                     columns = [pa.array(sig[part].astype(np.int64)), pa.array(node[place[part]])]
                     yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), about.type)], names=["sig", "node", "doc"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return sets
 
@@ -371,6 +374,7 @@ def pairs_udf(percent: int, best: bool):
             found = candidates(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
             if found is not None:
                 yield found
+        pa.default_memory_pool().release_unused()
 
     return pairs
 
@@ -430,6 +434,7 @@ def verify_udf(n: int, percent: int):
                             u.append(of)
                             v.append(node)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        pa.default_memory_pool().release_unused()
 
     return verify
 

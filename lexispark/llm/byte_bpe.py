@@ -41,7 +41,7 @@ from lexispark.llm.pretokens import pretokens
 #: Words of one recursive query.
 WORDS = 20_000
 #: Documents of one Arrow batch that are handled together.
-ROWS = 1_000
+ROWS = 500
 #: Words that a task remembers between batches, in two generations of this size (some 200 bytes a word); words not met for long are
 #: encoded anew.
 REMEMBERED = 200_000

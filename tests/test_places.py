@@ -47,3 +47,31 @@ def test_slices_bound_what_is_counted_together(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"content_id": pa.array([1, 2, 3]), "runs": pa.array([["a", "b", "a"], None, ["b"] * 5])})
     got = [tuple(r.values()) for part in P.text_counts(iter([batch])) for r in part.to_pylist()]
     assert sorted(got) == [(1, "a", 2, 0), (1, "b", 1, 1), (3, "b", 5, 0)]
+
+
+def test_exports_are_read_line_by_line(spark, tmp_path):
+    from lexispark.sources import sinks
+
+    path = str(tmp_path / "out")
+    lines = spark.range(3000).selectExpr("id AS content_id", "concat('{', id, '}') AS value").repartition(3)
+    sinks.write_lines(lines, path)
+    read = sinks.read_export(spark, path)
+    assert "wholetext" not in plan(read) and max(len(r.value) for r in read.collect()) < 10
+    assert [r.value for r in read.orderBy("n").collect()] == [f"{{{i}}}" for i in range(3000)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        sinks.ordered_export(lines, ["content_id"], path)  # plain parts, of many blocks
+        assert [r.value for r in sinks.read_export(spark, path).orderBy("n").collect()] == [f"{{{i}}}" for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_backups_are_dealt_before_they_are_collected(spark):
+    from lexispark.sources import sinks
+
+    vocab = spark.createDataFrame([(1, 1, "b", "b", "m", 2), (1, 0, "a", "a", "m", 1)], "content_id bigint, ord int, word string, reading string, meaning string, score int")
+    lines = sinks.backup_lines(vocab)
+    assert lines.first().value.index('"a"') < lines.first().value.index('"b"')
+    final = plan(lines)
+    assert final.index("partial_collect_list") < final.index("Exchange")  # printed from the top: the exchange lies below both aggregates

@@ -75,3 +75,18 @@ def test_backups_are_dealt_before_they_are_collected(spark):
     assert lines.first().value.index('"a"') < lines.first().value.index('"b"')
     final = plan(lines)
     assert final.index("partial_collect_list") < final.index("Exchange")  # printed from the top: the exchange lies below both aggregates
+
+
+def test_small_files_lie_as_sparks_writer_lays_them(spark, tmp_path):
+    from lexispark.sources import sinks
+    from lexispark.sources.small_files import write_files
+
+    rows = spark.createDataFrame([("a b", "x.md", "one"), ("a b", "x.md", "two\nlines"), ("a/ü:%", "y.md", None), (None, "x.md", "")], "folder string, file string, value string")
+    rows = rows.coalesce(1).sortWithinPartitions("folder", "file", "value")
+    rows.write.partitionBy("folder", "file").text(str(tmp_path / "spark"))
+    write_files(rows, str(tmp_path / "own"), ("folder", "file"))
+    found = lambda root: {(str(p.parent.relative_to(root)), p.read_bytes()) for p in root.rglob("part-*")}
+    assert found(tmp_path / "own") == found(tmp_path / "spark")
+    sinks.folder_sink(rows, str(tmp_path / "sink"))
+    assert found(tmp_path / "sink") == found(tmp_path / "spark")
+    assert all(p.name == "part-00000.txt" for p in (tmp_path / "sink").rglob("part-*"))  # not one writer of Spark for each

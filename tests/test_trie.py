@@ -88,3 +88,20 @@ def timed(f):
     began = time.perf_counter()
     f()
     return time.perf_counter() - began
+
+
+def test_what_is_found_at_a_place_is_found_in_one_shard(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lexispark.operators import trie
+
+    monkeypatch.setattr(trie, "LETTERS", 8)
+    passes = []
+    keep = trie.staged
+    monkeypatch.setattr(trie, "staged", lambda df, name: passes.append(keep(df, name)) or passes[-1] if name == "matches" else keep(df, name))
+    words = spark.createDataFrame([(w,) for w in ("ab", "abc", "abcd", "abcde", "bc", "bcd", "cd")], "word string")
+    content = spark.createDataFrame([(1, "abcdeabc bcd"), (2, "")], "content_id bigint, text string")
+    lists = {r.content_id: [t.surface for t in r.tokens] for r in trie.lexicon_lists(content, F.col("text"), words).collect()}
+    assert lists == {1: ["abcde", "abc", "bcd"], 2: []}
+    places = [(r._row, m["at"]) for p in passes for r in p.collect() for m in r.found]
+    assert len(passes) > 1 and len(places) == len(set(places))

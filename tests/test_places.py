@@ -42,6 +42,25 @@ def test_places_and_lines(spark):
     assert rows(P.run_places(text, JA).drop("line_no")) == rows(spans)
 
 
+ODD = ["", None, "a", "é", "aé", "éa b", "1a2é3", "\n\na\nb", "x\U0001d400y \U0001f600z", "ÀÉ ß ŒØ", "日本 語a", "I\u0307İi ǅ", "e\u0301a", "ab", "١٢ عربي", "\u2028a\u00a0b", "ends"]
+
+
+def test_runs_are_cut_as_by_the_regular_expression(spark, monkeypatch):
+    import random
+    import re
+
+    rng = random.Random(1)
+    texts = list(enumerate(ODD + ["".join(rng.choices("aé \n\U0001d400日-", k=rng.randrange(40))) for _ in range(200)]))
+    content = spark.createDataFrame(texts, "content_id bigint, text string").coalesce(2)
+    of = lambda: [P.run_places(content, LATIN), P.run_counts(content, LATIN), P.run_totals(content, LATIN)]
+    monkeypatch.setattr(P, "BYTES", 100)
+    cut = of()
+    assert not any("regexp_extract_all" in plan(df) for df in cut)
+    got = [rows(df) for df in cut]
+    monkeypatch.setattr(P, "ONE_CLASS", re.compile("never"))
+    assert got == [rows(df) for df in of()]
+
+
 def test_slices_bound_what_is_counted_together(monkeypatch):
     monkeypatch.setattr(P, "TOKENS", 3)
     batch = pa.RecordBatch.from_pydict({"content_id": pa.array([1, 2, 3]), "runs": pa.array([["a", "b", "a"], None, ["b"] * 5])})

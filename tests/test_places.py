@@ -109,3 +109,14 @@ def test_small_files_lie_as_sparks_writer_lays_them(spark, tmp_path):
     sinks.folder_sink(rows, str(tmp_path / "sink"))
     assert found(tmp_path / "sink") == found(tmp_path / "spark")
     assert all(p.name == "part-00000.txt" for p in (tmp_path / "sink").rglob("part-*"))  # not one writer of Spark for each
+
+
+def test_each_key_is_looked_up_once(spark):
+    words = spark.createDataFrame([("là", "la"), ("la", "la"), ("été", "ete"), ("x", None)], "word string, base_form string")
+    entry = lambda w, p: (w, 0, 0, w, p, ["ichi1"], f"gloss of {w}")
+    lexicon = spark.createDataFrame([entry("là", "la"), entry("été", "e")], "entry_id string, entry_pos int, variant_pos int, written string, pronounced string, priorities array<string>, gloss string")
+    meta = spark.createDataFrame([("é", 5, 1)], "ch string, jlpt int, grade int")
+    scored = V.score_words(words, lexicon, meta, LATIN)
+    assert plan(scored).count("partial_max_by") == 1
+    got = {r.word: (r.reading, r.meaning, r.jlpt, r.joyo) for r in scored.collect()}
+    assert got == {"là": ("la", "gloss of là", 0, False), "la": ("la", "gloss of là", 5, True), "été": ("e", "gloss of été", 5, True), "x": ("x", "Unknown meaning", 5, True)}

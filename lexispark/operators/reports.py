@@ -68,6 +68,12 @@ def missing_words(counts: DataFrame, lexicon: DataFrame, profile: ScriptProfile)
     return per.select("base_form", "n", "surfaces", T.missing_word_type(F.col("base_form"), profile).alias("type"))
 
 
+def missing_counts(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """missing_words without types and surfaces: base_form, n. Words are added up over all texts before they are looked up."""
+    words = counts.groupBy("word", "base_form").agg(F.sum("frequency").alias("frequency"))
+    return looked_up(words, lexicon).where("NOT found").groupBy("base_form").agg(F.sum("frequency").alias("n"))
+
+
 def missing_by_script(counts: DataFrame, lexicon: DataFrame, profile: ScriptProfile) -> DataFrame:
     words = looked_up(counts, lexicon).where("NOT found").select("word").distinct()
     return words.groupBy(T.script_class(F.col("word"), profile).alias("script")).agg(F.count(F.lit(1)).alias("n_words"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))

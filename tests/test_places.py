@@ -120,3 +120,15 @@ def test_each_key_is_looked_up_once(spark):
     assert plan(scored).count("partial_max_by") == 1
     got = {r.word: (r.reading, r.meaning, r.jlpt, r.joyo) for r in scored.collect()}
     assert got == {"là": ("la", "gloss of là", 0, False), "la": ("la", "gloss of là", 5, True), "été": ("e", "gloss of été", 5, True), "x": ("x", "Unknown meaning", 5, True)}
+
+
+def test_missing_words_are_added_up_before_they_are_looked_up(spark):
+    from lexispark.operators import content as C
+    from lexispark.operators import reports as R
+
+    counts = spark.createDataFrame([(1, "là", "la", 2, 0), (2, "là", "la", 1, 0), (2, "lä", "la", 4, 1), (2, "b", "b", 1, 2)], "content_id bigint, word string, base_form string, frequency bigint, ord int")
+    lexicon = spark.createDataFrame([("b", "b")], "written string, pronounced string")
+    assert rows(R.missing_counts(counts, lexicon)) == rows(R.missing_words(counts, lexicon, LATIN).select("base_form", "n")) == [("la", 7)]
+    vocab = spark.createDataFrame([(1, "a", "r", "m", 1)], "content_id bigint, word string, reading string, meaning string, score int")
+    merged = C.vocab_merge(vocab, vocab.withColumn("seq", C.F.lit(1)), order="seq")
+    assert "keys=[word" in plan(merged).replace("key=[", "keys=[")  # in the order of words, in which equal values lie together

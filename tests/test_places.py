@@ -132,3 +132,11 @@ def test_missing_words_are_added_up_before_they_are_looked_up(spark):
     vocab = spark.createDataFrame([(1, "a", "r", "m", 1)], "content_id bigint, word string, reading string, meaning string, score int")
     merged = C.vocab_merge(vocab, vocab.withColumn("seq", C.F.lit(1)), order="seq")
     assert "keys=[word" in plan(merged).replace("key=[", "keys=[")  # in the order of words, in which equal values lie together
+
+
+def test_scores_ask_the_lexicon_once_and_characters_not_at_all(spark):
+    words = spark.createDataFrame([("là", "la"), ("x", None)], "word string, base_form string")
+    lexicon = spark.createDataFrame([("là", 0, 0, "là", "la", ["ichi1"], "g"), ("n", 0, 0, None, "x", ["ichi1"], "h")], "entry_id string, entry_pos int, variant_pos int, written string, pronounced string, priorities array<string>, gloss string")
+    scored = V.score_words(words, lexicon, spark.createDataFrame([("é", 5, 1)], "ch string, jlpt int, grade int"), LATIN)
+    assert plan(scored).count("Join") == 3  # words with the best variants, their characters with levels, both
+    assert rows(scored.select("word", "meaning")) == [("là", "g"), ("x", "Unknown meaning")]

@@ -134,6 +134,34 @@ def test_missing_words_are_added_up_before_they_are_looked_up(spark):
     assert "keys=[word" in plan(merged).replace("key=[", "keys=[")  # in the order of words, in which equal values lie together
 
 
+def test_groups_are_the_counts_by_word(spark, monkeypatch):
+    for texts in (TEXTS, TEXTS[1:]):  # ids that repeat, and not
+        content = spark.createDataFrame(texts, "content_id bigint, text string").coalesce(1)
+        for tokens in (2_000_000, 3):
+            monkeypatch.setattr(P, "TOKENS", tokens)
+            groups, counts = P.run_groups(content, LATIN), P.run_counts(content, LATIN)
+            assert rows(P.ungrouped(groups).select(counts.columns)) == rows(counts)
+            assert rows(groups.groupBy("surface").sum("n")) == rows(P.run_totals(content, LATIN))
+            first = counts.groupBy("surface").agg(P.F.min(P.F.struct("content_id", "ord")).alias("f"))
+            assert rows(P.ungrouped(P.first_places(groups)).groupBy("surface").agg(P.F.min(P.F.struct("content_id", "ord")).alias("f"))) == rows(first)
+            parts = groups.select("part", P.F.explode("places.content_id").alias("id")).distinct()
+            assert parts.groupBy("id").count().where("count > 1").isEmpty()  # a part has whole texts
+    monkeypatch.setattr(P, "TOKENS", 2_000_000)
+    assert P.run_groups(content, LATIN).where("surface = 'the'").count() == 1 < counts.where("surface = 'the'").count()
+
+
+def test_words_meet_groups_before_these_are_unfolded(spark):
+    content = spark.createDataFrame(TEXTS[1:], "content_id bigint, text string")
+    scored = spark.createDataFrame([("the", "r", "m", 5, True, 7), ("é", "r", "m", 5, True, 9), ("cat", "r", "m", 5, True, 1)], "word string, reading string, meaning string, jlpt int, joyo boolean, score int")
+    singles = V.single_words(spark.createDataFrame([("a", "Indefinite")], "morpheme string, definition string"))
+    flat = V.vocab_from(V.run_surfaces(content, LATIN), scored, singles, LATIN)
+    dealt = V.vocab_from(P.run_groups(content, LATIN), scored, singles, LATIN, by_part=True)
+    assert rows(dealt) == rows(flat) and dealt.where("is_morpheme").count() == 1
+    final = plan(dealt.groupBy("content_id").sum("score"))  # printed from the top
+    assert final.count("Join") == 1
+    assert final.index("partial_sum") < final.index("Generate inline") < final.index("hashpartitioning(part") < final.index("Join")
+
+
 def test_scores_ask_the_lexicon_once_and_characters_not_at_all(spark):
     words = spark.createDataFrame([("là", "la"), ("x", None)], "word string, base_form string")
     lexicon = spark.createDataFrame([("là", 0, 0, "là", "la", ["ichi1"], "g"), ("n", 0, 0, None, "x", ["ichi1"], "h")], "entry_id string, entry_pos int, variant_pos int, written string, pronounced string, priorities array<string>, gloss string")

@@ -148,28 +148,30 @@ class Merger:
 
     A pair's rank is the id of the token that it makes, so ids serve as ranks. A word of one token needs no merge."""
 
-    def __init__(self, vocabulary: Vocabulary, remembered: int):
+    def __init__(self, vocabulary: Vocabulary, remembered: int, packed: bool = False, decode: bool = True):
+        """packed: ids are kept as the bytes of 32-bit numbers, else as a text; decode: whether ids are decoded too."""
         import duckdb
 
-        self.bound = remembered
+        self.bound, self.packed, self.decode = remembered, packed, decode
 
         self.ranks = dict(zip(vocabulary.tokens, vocabulary.ids, strict=True))
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[bytes, tuple[bytes, bytes, int]] = {}
-        self.before: dict[bytes, tuple[bytes, bytes, int]] = {}
+        self.known: dict[bytes, tuple[bytes, bytes | None, int]] = {}
+        self.before: dict[bytes, tuple[bytes, bytes | None, int]] = {}
         self.long = encode_long(max(map(len, vocabulary.tokens))) if vocabulary.grows else ENCODE_ONE
         spill = os.path.join(tempfile.gettempdir(), f"duckdb-{os.getpid()}")  # made only when a word outgrows the memory limit, gone with the worker
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": spill})
         self.table("merges", pa.table({"pair": vocabulary.pairs, "new": vocabulary.made}))
-        self.table("vocabulary", pa.table({"tok": pa.array(vocabulary.ids, pa.int32()), "hex": [t.hex() for t in vocabulary.tokens]}))
+        if decode:
+            self.table("vocabulary", pa.table({"tok": pa.array(vocabulary.ids, pa.int32()), "hex": [t.hex() for t in vocabulary.tokens]}))
 
     def table(self, name: str, rows: pa.Table) -> None:
         self.db.register("incoming", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def encode(self, words: list[bytes]) -> tuple[pa.Array, list[bytes]]:
-        """Token ids of each word, all long or none, as a list array, and the bytes that they decode to."""
+    def encode(self, words: list[bytes]) -> tuple[pa.Array, list[bytes] | None]:
+        """Token ids of each word, all long or none, as a list array, and the bytes that they decode to, if these are asked for."""
         offsets = np.cumsum([0, *map(len, words)], dtype=np.int32)
         start = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         rows = pa.table({"w": np.arange(len(words), dtype=np.int32), "toks": pa.ListArray.from_arrays(pa.array(offsets), pa.array(start))})
@@ -181,11 +183,10 @@ class Merger:
             self.db.execute("UPDATE words SET toks = [t] FROM single WHERE single.w = words.w")
         self.db.execute(f"CREATE OR REPLACE TABLE coded AS {self.long if len(words[0]) > LONG else ENCODE}")
         lists = self.db.sql("SELECT toks FROM coded ORDER BY w").to_arrow_table()["toks"].combine_chunks()
-        decoded = self.db.sql(DECODE).to_arrow_table()["bytes"].to_pylist()
-        return lists, decoded
+        return lists, self.db.sql(DECODE).to_arrow_table()["bytes"].to_pylist() if self.decode else None
 
-    def look_up(self, words: list[bytes]) -> list[tuple[bytes, bytes, int]]:
-        """(ids joined by spaces, decoded bytes, number of ids) of each distinct word."""
+    def look_up(self, words: list[bytes]) -> list[tuple[bytes, bytes | None, int]]:
+        """(ids, packed or joined by spaces, decoded bytes if asked for, number of ids) of each distinct word."""
         out = [self.remembered(w) for w in words]
         missing = [i for i, x in enumerate(out) if x is None]
         short = [i for i in missing if len(words[i]) <= LONG]
@@ -200,31 +201,35 @@ class Merger:
                 total += len(words[i])
         for part in parts:
             lists, decoded = self.encode([words[i] for i in part])
-            joined = pc.binary_join(lists.cast(pa.list_(pa.string())), " ").cast(pa.binary()).to_pylist()
+            if self.packed:
+                flat, ends = lists.flatten().to_numpy().astype(np.int32).tobytes(), [0, *np.cumsum(4 * pc.list_value_length(lists).to_numpy()).tolist()]
+                joined = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            else:
+                joined = pc.binary_join(lists.cast(pa.list_(pa.string())), " ").cast(pa.binary()).to_pylist()
             sizes = pc.list_value_length(lists).to_pylist()
-            for i, *row in zip(part, joined, decoded, sizes, strict=True):
+            for i, *row in zip(part, joined, decoded or [None] * len(part), sizes, strict=True):
                 ids, text, n = row
                 out[i] = self.remember(words[i], (ids, words[i] if text == words[i] else text, n))
         return out
 
-    def remembered(self, word: bytes) -> tuple[bytes, bytes, int] | None:
+    def remembered(self, word: bytes) -> tuple[bytes, bytes | None, int] | None:
         found = self.known.get(word)
         if found is None and (found := self.before.pop(word, None)) is not None:
             self.remember(word, found)
         return found
 
-    def remember(self, word: bytes, row: tuple[bytes, bytes, int]) -> tuple[bytes, bytes, int]:
+    def remember(self, word: bytes, row: tuple[bytes, bytes | None, int]) -> tuple[bytes, bytes | None, int]:
         if len(self.known) >= self.bound:
             self.before, self.known = self.known, {}
         self.known[word] = row
         return row
 
 
-def encode_udf(vocabulary, with_ids: bool, remembered: int):
-    """vocabulary: a Vocabulary that all executors have."""
+def encode_udf(vocabulary, with_ids: bool, remembered: int, decode: bool = True):
+    """vocabulary: a Vocabulary that all executors have. Digests are always of ids and decoded texts; ids can go without these."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Merger(vocabulary.value, remembered)  # made for each task and gone with it: workers are used again by stages that need their memory
+        own = Merger(vocabulary.value, remembered, with_ids, decode)  # made for each task and gone with it: workers are used again by stages that need their memory
         for whole in batches:
             for a in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(a, ROWS)
@@ -234,19 +239,19 @@ def encode_udf(vocabulary, with_ids: bool, remembered: int):
                 ids, decoded, sizes = zip(*found, strict=True) if found else ((), (), ())
                 ends = np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int32)
                 nested = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.binary()).take(coded.indices))  # noqa: E731, B023
-                id_texts = pc.binary_join(nested(ids), b" ")
-                texts = pc.binary_join(nested(decoded), b"")
+                joined = lambda values, by: pc.binary_join(nested(values), by)  # noqa: E731, B023
                 total = np.append(0, np.cumsum(np.array(sizes, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)))
                 digest = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column])
-                columns = [batch.column("doc_id"), pa.array(total[ends[1:]] - total[ends[:-1]])]
+                columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(total[ends[1:]] - total[ends[:-1]])}
                 if with_ids:
-                    per_word = pc.split_pattern(pa.array(ids, pa.binary()).cast(pa.string()), " ").cast(pa.list_(pa.int32()))
-                    starts = total[ends].astype(np.int32)
-                    columns += [pa.ListArray.from_arrays(pa.array(starts), per_word.take(coded.indices).flatten()), texts.cast(pa.string())]
+                    of = np.append(0, np.cumsum(np.array(sizes, np.int64))).astype(np.int32)
+                    per_word = pa.ListArray.from_arrays(pa.array(of), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(total[ends].astype(np.int32)), per_word.take(coded.indices).flatten())
+                    if decode:
+                        columns["decoded"] = joined(decoded, b"").cast(pa.string())
                 else:
-                    columns += [digest(id_texts), digest(texts)]
-                names = ["doc_id", "n_tokens", *(["ids", "decoded"] if with_ids else ["ids_sha256", "decoded_sha256"])]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    columns |= {"ids_sha256": digest(joined(ids, b" ")), "decoded_sha256": digest(joined(decoded, b""))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
         own.db.close()
         own.known.clear()
         own.before.clear()
@@ -263,10 +268,10 @@ def shared_vocabulary(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(load(path))
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_tokens, ids, decoded: the token ids and the text decoded from them."""
-    kind = dict(docs.dtypes)["doc_id"]
-    return pieces(docs, pattern).mapInArrow(encode_udf(shared_vocabulary(docs, path), True, remembered), f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded string")
+def encode_texts(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED, decode: bool = True) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_tokens, ids and, unless decode is off, decoded: the token ids and the text decoded from them."""
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, ids array<int>" + ", decoded string" * decode
+    return pieces(docs, pattern).mapInArrow(encode_udf(shared_vocabulary(docs, path), True, remembered, decode), schema)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:

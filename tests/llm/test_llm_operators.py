@@ -79,6 +79,20 @@ def test_byte_bpe_of_long_words(spark):
         assert x.ids == encoding.encode_ordinary(texts[x.doc_id]) and x.decoded == texts[x.doc_id]
 
 
+def test_byte_bpe_ids_alone(spark):
+    """Without decoded texts nothing is decoded, and words that a task has forgotten or still knows get the same ids."""
+    texts = [f"some word{i % 7} of text {i} " + "x" * (i % 3) * 70 for i in range(40)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    want = {r.doc_id: (r.n_tokens, r.ids) for r in byte_bpe.encode_texts(df, RANKS, P.PATTERN).collect()}
+    for remembered in (3, 1_000):
+        got = byte_bpe.encode_texts(df, RANKS, P.PATTERN, remembered=remembered, decode=False)
+        assert got.columns == ["doc_id", "n_tokens", "ids"]
+        assert {r.doc_id: (r.n_tokens, r.ids) for r in got.collect()} == want
+    merger = byte_bpe.Merger(byte_bpe.load(RANKS), 10, packed=True, decode=False)
+    ids, decoded, n = merger.look_up([b"hello world"])[0]
+    assert decoded is None and len(ids) == 4 * n
+
+
 def test_ranks_never_fall_while_a_token_forms():
     assert byte_bpe.load(RANKS).grows
 

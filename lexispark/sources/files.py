@@ -9,8 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.sources.small_files import list_files, read_files
 from lexispark.sources.staging import staged
-from lexispark.sources.stored import exists
+from lexispark.sources.stored import exists, local_folder
 
 META = "id string, title string, type string, description string, level string, author string, artist string, creator string, imageUrl string, mediaUrl string, parentId string, seriesId string, episodeNumber int, variantType string, dateAdded string, tags array<string>, relatedStories array<struct<id:string,type:string,description:string>>, _corrupt_record string"
 META_COLUMNS = re.split(r", (?=\w+ )", META.removesuffix(", _corrupt_record string"))
@@ -34,8 +35,12 @@ def packed_files(spark: SparkSession, root: str, *names: str) -> DataFrame:
     """Files with exactly these names in the folders below root -> folder, file, value, written once as one table.
 
     A file lies in its folder by its own name, or, as Spark's writers leave it, in parts in a folder of that name (folder=a/file=b/part-0).
-    Files are listed and read in one job whose tasks take them by bytes; whatever follows reads the table."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{','.join(names)},part-*}}").load(root)
+    On a shared local path tasks list and read them, elsewhere Spark's reader, whose driver holds the names of all. Whatever follows reads
+    the table."""
+    if local := local_folder(spark, root):
+        found = read_files(list_files(spark, local, *names))
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{','.join(names)},part-*}}").load(root)
     place = rf"(?:^|/)(?:[^/=]+=)?([^/=]+)/(?:file=)?({'|'.join(re.escape(n) for n in names)})(?:/part-[^/]*)?$"
     rows = found.select(F.regexp_extract("path", place, 1).alias("folder"), F.regexp_extract("path", place, 2).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
     with small_files(spark):

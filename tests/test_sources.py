@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.profiles import JA
@@ -144,3 +145,28 @@ def test_known_words_stream_takes_late_events_and_no_repeats(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(r.word for r in spark.table("known_late").collect()) == ["a", "b", "c", "late"]
+
+
+def test_folders_on_a_local_path_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds neither names nor sizes of files: Spark's own listing of files isn't asked for."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from lexispark.sources import small_files
+
+    plain = DataFrameReader.format
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, source: plain(self, source) if source != "binaryFile" else pytest.fail("listed by the driver"))
+    rows = [(i, f"title {i}", ("story", "music", "video")[i % 3], "" if i % 5 == 0 else f"text é {i}") for i in range(60)]
+    content = spark.createDataFrame(rows, "id bigint, title string, type string, text string")
+    path = str(tmp_path / "sink")
+    assert {r.kind: (r.n, r.n_empty) for r in sinks.content_sink(content, path).collect()} == {"stories": (20, 4), "music": (20, 4), "videos": (20, 4)}
+    scanned = files.content_scan(spark, f"{path}/kind=stories").select("id", "text").collect()
+    assert {(r.id, r.text) for r in scanned} == {(str(i), t) for i, _, kind, t in rows if kind == "story"}
+
+    deep = tmp_path / "deep" / "a b" / "c%20d" / "é"
+    deep.mkdir(parents=True)
+    for name in ("metadata.json", "other.md", "part-7", ".part-8", "_metadata.json"):
+        (deep / name).write_bytes(b"x\xff")
+    (tmp_path / "deep" / "_hidden").mkdir()
+    (tmp_path / "deep" / "_hidden" / "metadata.json").write_text("{}")
+    found = small_files.read_files(small_files.list_files(spark, str(tmp_path / "deep"), "metadata.json")).collect()
+    assert {(r.path, bytes(r.content)) for r in found} == {(str(deep / name), b"x\xff") for name in ("metadata.json", "part-7")}
